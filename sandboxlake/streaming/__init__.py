@@ -1,0 +1 @@
+"""Empty on purpose: all lifecycle work is batch, so there is no streaming operator to offer."""
