@@ -33,19 +33,33 @@ def edge_sides(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return edges.select(*by, F.inline(both)).filter(F.col("fqn").isNotNull() & (F.col("fqn") != ""))
 
 
-def classify(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """One row per object (per request, with ``by=["dr_id"]``): type, access mode, format.
+def edge_facts(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Edges folded to one row per object: read or written, and the type hint that came first.
 
-    The type comes from the first edge side that names the object, also if that side has no hint.
     All aggregate buffers are fixed-width, so this is a hash aggregation with a partial step: an
     object named by a third of all edges costs one row per map task.
     """
-    seen = edge_sides(edges, by).groupBy(*by, "fqn").agg(
+    return edge_sides(edges, by).groupBy(*by, "fqn").agg(
         F.bool_or(~F.col("is_write")).alias("reads"),
         F.bool_or("is_write").alias("writes"),
         F.min_by("is_view", "seq").alias("is_view"),
+        F.min("seq").alias("seq"),
+    )
+
+
+def merge_facts(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Facts from several places folded once more."""
+    return facts.groupBy(*by, "fqn").agg(
+        F.bool_or("reads").alias("reads"),
+        F.bool_or("writes").alias("writes"),
+        F.min_by("is_view", "seq").alias("is_view"),
+        F.min("seq").alias("seq"),
     )
-    return seen.select(
+
+
+def from_facts(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Object type, access mode and format from folded edges."""
+    return facts.select(
         *by,
         "fqn",
         F.when(F.col("is_view"), "view").otherwise("table").alias("object_type"),
@@ -57,6 +71,14 @@ def classify(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def classify(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per object (per request, with ``by=["dr_id"]``): type, access mode, format.
+
+    The type comes from the first edge side that names the object, also if that side has no hint.
+    """
+    return from_facts(edge_facts(edges, by), by)
+
+
 def with_additional(classified: DataFrame, additional: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Add objects the user listed but no edge named; ``is_additional`` tells them apart."""
     keys = [*by, "fqn"]

@@ -25,6 +25,8 @@ def match_counts(inventory: DataFrame) -> DataFrame:
     def only(kind: str, column: str):
         return F.max(F.when(F.col("kind") == kind, F.col(column)))
 
+    if "task_keys" not in inventory.columns:
+        inventory = inventory.withColumn("task_keys", F.lit(None).cast("array<string>"))
     return inventory.groupBy("name").agg(
         F.count_if(F.col("kind") == "job").alias("jobs"),
         F.count_if(F.col("kind") == "pipeline").alias("pipelines"),

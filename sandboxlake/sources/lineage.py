@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sandboxlake import fixed
-from sandboxlake.operators.topn import first_rows, ranked_rows
+from sandboxlake.operators.topn import first_rows
 
 EDGE_COLUMNS = (
     "source_table_full_name", "target_table_full_name", "source_type", "target_type", "entity_id", "edge_seq",
@@ -19,27 +19,50 @@ def lineage_scan(lineage: DataFrame, entity_ids: DataFrame) -> DataFrame:
     return lineage.select(*EDGE_COLUMNS).join(wanted, "entity_id", "left_semi").select(*EDGE_COLUMNS)
 
 
-def lineage_of_requests(
-    lineage: DataFrame, streams: DataFrame, row_limit: int = fixed.LINEAGE_ROW_LIMIT
+def edge_counts(
+    lineage: DataFrame, members: DataFrame, row_limit: int = fixed.LINEAGE_ROW_LIMIT
 ) -> DataFrame:
-    """Edges per request with their rank, at most ``row_limit`` + 1 of each request.
+    """(dr_id, edges, row_limit_hit) for members (dr_id, entity_id).
+
+    Edges are counted per entity from that one column; requests only add up those counts.
+    """
+    ids = members.select("dr_id", "entity_id").distinct()
+    per_entity = (
+        lineage.select("entity_id").join(ids.select("entity_id").distinct(), "entity_id", "left_semi")
+        .groupBy("entity_id").agg(F.count(F.lit(1)).alias("edges"))
+    )
+    return (
+        ids.join(per_entity, "entity_id").groupBy("dr_id").agg(F.sum("edges").alias("edges"))
+        .withColumn("row_limit_hit", F.col("edges") > row_limit)
+    )
+
 
-    ``streams`` is (dr_id, resource_id).  The scan of a request is its edges up to ``row_limit``;
-    a row beyond it only tells that the limit was hit.  An edge that comes later than that within
-    its own entity cannot be among the first of any request, so entities are cut before the join:
-    an entity with very many edges, named by very many requests, does not blow up.
+def first_edges(lineage: DataFrame, members: DataFrame, row_limit: int = fixed.LINEAGE_ROW_LIMIT) -> DataFrame:
+    """The first ``row_limit`` edges of each request, in ``edge_seq`` order.
+
+    An edge that comes later than that within its own entity cannot be among the first of any
+    request, so entities are cut before they meet the requests that name them.
     """
-    members = streams.select("dr_id", F.col("resource_id").alias("entity_id")).distinct()
-    wanted = lineage_scan(lineage, members)
+    ids = members.select("dr_id", "entity_id").distinct()
     order = [F.col(c) for c in reversed(EDGE_COLUMNS)]
-    heads = first_rows(wanted, ["entity_id"], order, row_limit + 1)
-    edges = heads.join(members, "entity_id").select("dr_id", *EDGE_COLUMNS)
-    return ranked_rows(edges, ["dr_id"], order, row_limit + 1, "edge_rank")
+    heads = first_rows(lineage_scan(lineage, ids), ["entity_id"], order, row_limit)
+    edges = heads.join(ids, "entity_id").select("dr_id", *EDGE_COLUMNS)
+    return first_rows(edges, ["dr_id"], order, row_limit)
+
 
+def lineage_of_requests(
+    lineage: DataFrame, members: DataFrame, row_limit: int = fixed.LINEAGE_ROW_LIMIT
+) -> DataFrame:
+    """Edges per request, at most ``row_limit`` each, with ``row_limit_hit``.
 
-def limit_hits(ranked: DataFrame, row_limit: int = fixed.LINEAGE_ROW_LIMIT) -> DataFrame:
-    """Per request, whether its scan had more edges than the limit."""
-    return ranked.groupBy("dr_id").agg((F.max("edge_rank") > row_limit).alias("row_limit_hit"))
+    Only requests over the limit go through an ordering; all others are a plain join.
+    """
+    marked = members.select("dr_id", "entity_id").distinct().join(
+        edge_counts(lineage, members, row_limit).select("dr_id", "row_limit_hit"), "dr_id"
+    )
+    within = lineage.select(*EDGE_COLUMNS).join(marked.filter(~F.col("row_limit_hit")), "entity_id")
+    over = first_edges(lineage, marked.filter("row_limit_hit"), row_limit).withColumn("row_limit_hit", F.lit(True))
+    return within.select("dr_id", *EDGE_COLUMNS, "row_limit_hit").unionByName(over)
 
 
 def lineage_limited(lineage: DataFrame, row_limit: int = fixed.LINEAGE_ROW_LIMIT) -> tuple[DataFrame, bool]:
