@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sandboxlake import fixed
 
-_LATE = 9223372036854775806  # edges without a sequence number come last
+_LATE = 9223372036854775804  # edges without a sequence number come last ...
+_LAST = 9223372036854775807  # ... and names that only a user listed after them
 
 
 def edge_sides(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -47,6 +48,14 @@ def edge_facts(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def listed_facts(additional: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Facts of objects a user listed: they give a name and nothing else."""
+    no = F.lit(False)
+    return additional.select(
+        *by, "fqn", no.alias("reads"), no.alias("writes"), no.alias("is_view"), F.lit(_LAST).alias("seq")
+    ).filter(F.col("fqn").isNotNull())
+
+
 def merge_facts(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Facts from several places folded once more."""
     return facts.groupBy(*by, "fqn").agg(
@@ -58,7 +67,10 @@ def merge_facts(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def from_facts(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Object type, access mode and format from folded edges."""
+    """Object type, access mode and format from folded edges.
+
+    ``is_additional`` marks objects that no edge names; they count as tables that are read.
+    """
     return facts.select(
         *by,
         "fqn",
@@ -68,6 +80,7 @@ def from_facts(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         .otherwise(fixed.READ_ONLY)
         .alias("access_mode"),
         F.when(~F.col("is_view"), "delta").alias("format"),
+        (~F.col("reads") & ~F.col("writes")).alias("is_additional"),
     )
 
 
@@ -76,19 +89,9 @@ def classify(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     The type comes from the first edge side that names the object, also if that side has no hint.
     """
-    return from_facts(edge_facts(edges, by), by)
-
-
-def with_additional(classified: DataFrame, additional: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Add objects the user listed but no edge named; ``is_additional`` tells them apart."""
-    keys = [*by, "fqn"]
-    extra = additional.select(*keys).distinct().join(classified, keys, "left_anti")
-    return classified.withColumn("is_additional", F.lit(False)).unionByName(
-        extra.select(
-            *keys,
-            F.lit("table").alias("object_type"),
-            F.lit(fixed.READ_ONLY).alias("access_mode"),
-            F.lit("delta").alias("format"),
-            F.lit(True).alias("is_additional"),
-        )
-    )
+    return from_facts(edge_facts(edges, by), by).drop("is_additional")
+
+
+def classify_with_additional(edges: DataFrame, additional: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``classify`` plus the objects a user listed, in one aggregation; ``is_additional`` tells them apart."""
+    return from_facts(merge_facts(edge_facts(edges, by).unionByName(listed_facts(additional, by)), by), by)

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sandboxlake import fixed
-from sandboxlake.operators.classify import edge_facts, from_facts, merge_facts, with_additional
+from sandboxlake.operators.classify import edge_facts, from_facts, listed_facts, merge_facts
 from sandboxlake.operators.manifest import manifest_headers, non_prod_additional, with_sizes
 from sandboxlake.operators.resolve import resolve_streams, scannable_requests
+from sandboxlake.session import settle
 from sandboxlake.sources.lineage import edge_counts, enrichment_edges, first_edges, lineage_scan
 from sandboxlake.sources.sizes import table_sizes
 
@@ -40,12 +41,15 @@ def scan(
     """
     resolved = resolve_streams(streams, inventory)
     go = scannable_requests(resolved)
-    members = resolved.join(go, "dr_id", "left_semi").select("dr_id", "name", "resource_id", "task_keys")
+    # Everything below starts from the members, so they are worked out once.
+    members = settle(resolved.join(go, "dr_id", "left_semi").select("dr_id", "name", "resource_id", "task_keys"))
+    go = members.select("dr_id").distinct()
     listed = additional.join(go, "dr_id", "left_semi")
 
     ids = members.select("dr_id", F.col("resource_id").alias("entity_id")).distinct()
     counts = edge_counts(lineage, ids, row_limit).select("dr_id", "row_limit_hit")
-    marked = ids.join(counts, "dr_id")
+    marked = settle(ids.join(counts, "dr_id"))
+    counts = marked.select("dr_id", "row_limit_hit").distinct()
     # Edges are folded per entity before they meet the requests that share the entity.
     within = marked.filter(~F.col("row_limit_hit")).drop("row_limit_hit")
     facts = edge_facts(lineage_scan(lineage, within), ["entity_id"]).join(within, "entity_id").drop("entity_id")
@@ -56,8 +60,8 @@ def scan(
         curated = enrichment_edges(enrichment).withColumn("edge_seq", F.lit(None).cast("bigint"))
         facts = facts.unionByName(edge_facts(curated, ["entity_id"]).join(keys, "entity_id").drop("entity_id"))
 
-    classified = from_facts(merge_facts(facts, ["dr_id"]), ["dr_id"])
-    objects = with_additional(classified, listed, ["dr_id"])
+    facts = facts.unionByName(listed_facts(listed, ["dr_id"]))
+    objects = from_facts(merge_facts(facts, ["dr_id"]), ["dr_id"])
     sized = with_sizes(objects, table_sizes(metadata))
     return Scan(
         objects=sized,

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 
+def fields(flat_schema: str) -> list[tuple[str, str]]:
+    """(name, type) of the columns of one of the flat schemas below."""
+    return [tuple(field.split(maxsplit=1)) for field in flat_schema.split(",")]
+
+
 def columns(flat_schema: str) -> list[str]:
-    """Column names of one of the flat schemas below."""
-    return [field.split()[0] for field in flat_schema.split(",")]
+    return [name for name, _ in fields(flat_schema)]
 
 
 REQUESTS = (

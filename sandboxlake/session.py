@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sandboxlake.sources.files import remove_folder
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -46,13 +49,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def _settled_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/settled-{spark.sparkContext.applicationId}"
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there.
+    """Write ``df`` as a table in the shared folder and go on from there.
 
-    Used where two consumers must see the very same rows (row numbers, range slices), also after
-    an executor is lost and tasks run again.
+    Used where several consumers must see the very same rows (row numbers, range slices, plans that
+    are both stored and carried out), also after an executor is lost and tasks run again, and where
+    a costly part would otherwise be worked out once per consumer.  One pass over the rows; readers
+    get column pruning and true sizes for their join choices.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    folder = f"{_settled_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def forget_settled(spark: SparkSession) -> None:
+    """Remove what this application settled; frames that still rest on it can no longer be read."""
+    remove_folder(spark, shared_dir(spark), _settled_dir(spark))

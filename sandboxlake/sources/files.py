@@ -1,16 +1,25 @@
-"""Removing folders that belong to us."""
+"""Making and removing folders that belong to us, on whatever file system they are."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
 
+def _resolve(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def make_folder(spark: SparkSession, folder: str) -> None:
+    system, path = _resolve(spark, folder)
+    system.mkdirs(path)
+
+
 def remove_folder(spark: SparkSession, root: str, folder: str) -> None:
-    """Delete ``folder``, which has to lie under ``root``, on whatever file system it is."""
-    paths = spark.sparkContext._jvm.org.apache.hadoop.fs
-    target = paths.Path(folder)
-    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    """Delete ``folder``, which has to lie under ``root``."""
+    system, target = _resolve(spark, folder)
+    _, base = _resolve(spark, root)
     inside = system.makeQualified(target).toString()
-    if not inside.startswith(system.makeQualified(paths.Path(root)).toString().rstrip("/") + "/"):
+    if not inside.startswith(system.makeQualified(base).toString().rstrip("/") + "/"):
         raise ValueError(f"{folder} is not under {root}")
     system.delete(target, True)

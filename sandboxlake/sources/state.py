@@ -16,16 +16,19 @@ from sandboxlake import fixed, schemas
 from sandboxlake.operators.asof import as_of
 from sandboxlake.operators.lifecycle import audit_kept
 from sandboxlake.session import settle
-from sandboxlake.sources.files import remove_folder
+from sandboxlake.sources.files import make_folder, remove_folder
 
 _COMMIT = "commit_version bigint, commit_ts timestamp_ntz, op string"
 
 
 def evolve(rows: DataFrame, schema: str) -> DataFrame:
     """Rows under a newer schema: columns they lack are NULL, types and order follow the schema."""
-    empty = rows.sparkSession.createDataFrame([], schema)
-    merged = empty.unionByName(rows, allowMissingColumns=True)
-    return merged.select(*[F.col(f.name).cast(f.dataType) for f in empty.schema.fields])
+    return rows.select(
+        *[
+            (F.col(name) if name in rows.columns else F.lit(None)).cast(kind).alias(name)
+            for name, kind in schemas.fields(schema)
+        ]
+    )
 
 
 def rows_of_requests(rows: DataFrame, dr_ids: DataFrame) -> DataFrame:
@@ -49,9 +52,12 @@ class StateTables:
         return f"{self.root}/{name}"
 
     def create(self) -> None:
-        """Write the empty tables, so that readers find them before the first append."""
+        """Make the empty tables, so that readers find them before the first append.
+
+        Their schemas are those of ``schemas``; readers apply them, so a folder is all there is to make.
+        """
         for name in schemas.STATE_SCHEMAS:
-            self._write(name, self.spark.createDataFrame([], self._schema(name)))
+            make_folder(self.spark, self.path(name))
 
     @staticmethod
     def _schema(name: str) -> str:

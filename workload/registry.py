@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -62,7 +63,14 @@ class Tables:
         return self.spark.read.parquet(self.path(table))
 
     def sql(self, text: str) -> DataFrame:
-        return self.spark.sql(_with(text, lambda t: f"parquet.`{self.path(t)}`"))
+        return self.spark.sql(_with(text, self._temporary_view))
+
+    def _temporary_view(self, table: str) -> str:
+        """Name of a view over the file of a table; made once, so that its schema is read once."""
+        name = f"{table}_{zlib.crc32(self.folder.encode()):08x}"
+        if not self.spark.catalog.tableExists(name):
+            self.base(table).createOrReplaceTempView(name)
+        return name
 
     def view(self, name: str) -> DataFrame:
         return self.sql(f"SELECT * FROM {name}")

@@ -41,9 +41,9 @@ FROM {sides} WHERE fqn IS NOT NULL GROUP BY {by} fqn"""
 
 def edge_sides(edges: str, by: str = "") -> str:
     return f"""
-SELECT {by} source_table_full_name AS fqn, 0 AS w, coalesce(upper(source_type) = 'VIEW', false) AS is_view, coalesce(edge_seq * 2, 9223372036854775806) AS seq FROM {edges}
+SELECT {by} source_table_full_name AS fqn, 0 AS w, coalesce(upper(source_type) = 'VIEW', false) AS is_view, coalesce(edge_seq * 2, 9223372036854775804) AS seq FROM {edges}
 UNION ALL
-SELECT {by} target_table_full_name AS fqn, 1 AS w, coalesce(upper(target_type) = 'VIEW', false) AS is_view, coalesce(edge_seq * 2 + 1, 9223372036854775807) AS seq FROM {edges}"""
+SELECT {by} target_table_full_name AS fqn, 1 AS w, coalesce(upper(target_type) = 'VIEW', false) AS is_view, coalesce(edge_seq * 2 + 1, 9223372036854775805) AS seq FROM {edges}"""
 
 
 CURATED = """
@@ -165,7 +165,7 @@ def classify_query(t: Tables) -> DataFrame:
     UNION ALL SELECT DISTINCT fqn, 'table', 'READ_ONLY', 'delta', true FROM fx_additional WHERE fqn NOT IN (SELECT fqn FROM classified)""",
 )
 def _(t: Tables) -> DataFrame:
-    return classifying.with_additional(classifying.classify(t.view("fx_edges")), t.view("fx_additional"))
+    return classifying.classify_with_additional(t.view("fx_edges"), t.view("fx_additional"))
 
 
 @query(
