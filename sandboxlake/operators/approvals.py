@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sandboxlake import fixed, schemas
+from sandboxlake.functions.parsing import with_parsed
 from sandboxlake.operators.principals import names_added, names_removed
 from sandboxlake.operators.updates import set_columns
 
@@ -50,15 +51,22 @@ def has_sensitive_change(changes: Column) -> Column:
 
 def compare_configs(edits: DataFrame, old: str = "old_json", new: str = "new_json") -> DataFrame:
     """Add ``changes`` and ``sensitive`` to rows that hold two config texts."""
+    form = schemas.CONFIG_FORM
     return (
-        edits.withColumn("_old", F.from_json(old, schemas.CONFIG_FORM))
-        .withColumn("_new", F.from_json(new, schemas.CONFIG_FORM))
-        .withColumn("changes", config_changes("_old", "_new"))
+        with_parsed(edits, "_form", {"old": (old, form), "new": (new, form)})
+        .withColumn("changes", config_changes("_form.old", "_form.new"))
         .withColumn("sensitive", has_sensitive_change(F.col("changes")))
-        .drop("_old", "_new")
+        .drop("_form")
     )
 
 
+def change_rows(edits: DataFrame) -> DataFrame:
+    """The same as rows: (dr_id, field, before, after), one per changed field."""
+    # The outer form, because the plain one would work out all changes once more to skip empty lists.
+    rows = compare_configs(edits).select("dr_id", F.inline_outer("changes"))
+    return rows.filter(F.col("field").isNotNull())
+
+
 def edits_to_stage(edits: DataFrame) -> DataFrame:
     """Edits that need an approval: a sensitive field of a provisioned config changed."""
     return compare_configs(edits).filter(
@@ -117,12 +125,12 @@ def pending_provisions(configs: DataFrame) -> DataFrame:
 
     A manifest may or may not have the outer ``scan_result``; an unreadable one counts as empty.
     """
-    outer = F.from_json("manifest_json", schemas.MANIFEST)["scan_result"]
-    scan = F.coalesce(outer, F.from_json("manifest_json", schemas.SCAN_RESULT))
+    scanned = configs.filter(F.col("status") == fixed.CONFIG_SCANNED)
+    both = {"outer": ("manifest_json", schemas.MANIFEST), "body": ("manifest_json", schemas.SCAN_RESULT)}
     none = F.lit(0).cast("bigint")
     return (
-        configs.filter(F.col("status") == fixed.CONFIG_SCANNED)
-        .withColumn("_s", scan)
+        with_parsed(scanned, "_m", both)
+        .withColumn("_s", F.coalesce("_m.outer.scan_result", "_m.body"))
         .select(
             "dr_id", "description", F.col("created_by").alias("requested_by"), "scanned_at",
             F.coalesce("_s.total_objects", none).alias("total_objects"),
@@ -153,14 +161,14 @@ def approve(configs: DataFrame, approved: DataFrame, now: Column) -> tuple[DataF
     same = F.col("original_created_by").isNull() | F.col("original_created_by").eqNullSafe(F.col("_owner"))
     usable = (
         approved.filter(F.col("proposed_config_json").isNotNull()).join(owners, "dr_id").filter(same)
-        .withColumn("_old", F.from_json("_old_json", schemas.CONFIG_FORM))
-        .withColumn("_new", F.from_json("proposed_config_json", schemas.CONFIG_FORM))
     )
+    form = schemas.CONFIG_FORM
+    usable = with_parsed(usable, "_form", {"old": ("_old_json", form), "new": ("proposed_config_json", form)})
     changed = set_columns(
         configs,
         usable.select(
             "dr_id", F.col("proposed_config_json").alias("config_json"),
-            F.col("_new.expiration_date").alias("expiration_date"), F.col("_new.description").alias("description"),
+            F.col("_form.new.expiration_date").alias("expiration_date"), F.col("_form.new.description").alias("description"),
         ),
         ["dr_id"],
         {
@@ -171,7 +179,7 @@ def approve(configs: DataFrame, approved: DataFrame, now: Column) -> tuple[DataF
             "updated_at": now,
         },
     )
-    return changed, user_changes(usable, "_old", "_new")
+    return changed, user_changes(usable, "_form.old", "_form.new")
 
 
 def user_changes(edits: DataFrame, old: str, new: str) -> DataFrame:
@@ -185,4 +193,4 @@ def user_changes(edits: DataFrame, old: str, new: str) -> DataFrame:
     for env, field in (("dev", "developers"), ("qa", "qa_users")):
         before, after = F.col(f"{old}.{field}"), F.col(f"{new}.{field}")
         parts += [rows(env, "grant", names_added(before, after)), rows(env, "revoke", names_removed(before, after))]
-    return edits.select("dr_id", F.inline(F.concat(*parts)))
+    return edits.select("dr_id", F.inline_outer(F.concat(*parts))).filter(F.col("principal").isNotNull())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sandboxlake import fixed
 from sandboxlake.functions.checks import is_principal
+from sandboxlake.functions.parsing import with_parsed
 from sandboxlake.operators.topn import ranked_rows
 
 
@@ -180,25 +181,25 @@ def recipients(requests: DataFrame, config: str = "config_json") -> DataFrame:
     A list that is there but holds only unsafe names stays empty.
     """
     lists = "struct<lifecycle: struct<notification_recipients: array<string>>, access: struct<developers: array<string>>>"
-    doc = F.from_json(config, f"development_request {lists}, lifecycle struct<notification_recipients: array<string>>, access struct<developers: array<string>>")
+    doc = f"development_request {lists}, lifecycle struct<notification_recipients: array<string>>, access struct<developers: array<string>>"
 
     def field(path: str) -> Column:
-        wrapped = F.col("_doc.development_request").isNotNull()
-        return F.when(wrapped, F.col(f"_doc.development_request.{path}")).otherwise(F.col(f"_doc.{path}"))
+        wrapped = F.col("_p.doc.development_request").isNotNull()
+        return F.when(wrapped, F.col(f"_p.doc.development_request.{path}")).otherwise(F.col(f"_p.doc.{path}"))
 
     def safe(names: Column) -> Column:
         return F.filter(names, is_principal)
 
     listed, developers = field("lifecycle.notification_recipients"), field("access.developers")
     return (
-        requests.withColumn("_doc", doc)
+        with_parsed(requests, "_p", {"doc": (config, doc)})
         .withColumn(
             "recipients",
             F.when(F.size(listed) > 0, safe(listed))
             .when(F.size(developers) > 0, safe(developers))
             .otherwise(safe(F.array("created_by"))),
         )
-        .drop("_doc")
+        .drop("_p")
     )
 
 

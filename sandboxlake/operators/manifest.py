@@ -80,7 +80,8 @@ def manifest_documents(
 ) -> DataFrame:
     """Nested manifests as JSON: (dr_id, part, parts, manifest_json).
 
-    A request with up to ``items_per_document`` items has one part, which is the whole manifest.
+    A request with up to ``items_per_document`` objects, schemas and streams has one part, which is
+    the whole manifest.
     Larger ones are spread over more parts by a hash of the item; totals and flags are in each.
     """
     tag = lambda kind, when: F.when(F.col("kind") == kind, when)
@@ -102,12 +103,15 @@ def manifest_documents(
         .unionByName(items(schemas_required(objects), "schema", F.col("schema_fqn")))
         .unionByName(items(non_prod, "non_prod", F.col("fqn")))
     )
-    counts = everything.groupBy("dr_id").agg(
-        F.ceil(F.count(F.lit(1)) / items_per_document).cast("int").alias("parts")
+    named = streams.groupBy("dr_id").agg(F.count(F.lit(1)).alias("_streams"))
+    items_in_all = F.col("total_objects") + F.col("total_schemas") + F.coalesce("_streams", F.lit(0))
+    counts = headers.join(named, "dr_id", "left").select(
+        "dr_id", F.ceil(items_in_all / items_per_document).cast("int").alias("parts")
     )
+    # Spread by part before gathering; the join alone would leave a large request in one place.
     parted = everything.join(counts, "dr_id").withColumn(
         "part", F.pmod(F.xxhash64("kind", "name"), F.col("parts")).cast("int")
-    )
+    ).repartition("dr_id", "part")
     gathered = parted.groupBy("dr_id", "part", "parts").agg(
         F.array_sort(F.collect_list("object")).alias("objects"),
         F.array_sort(F.collect_list("stream")).alias("streams_scanned"),

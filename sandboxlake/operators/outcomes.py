@@ -53,6 +53,7 @@ def failed_objects(outcomes: DataFrame, names_per_list: int = NAMES_PER_LIST) ->
     return (
         failed.join(counts, "dr_id")
         .withColumn("part", F.pmod(F.xxhash64("source_fqn", "target_environment"), F.col("_parts")).cast("int"))
+        .repartition("dr_id", "part")
         .groupBy("dr_id", "part")
         .agg(F.to_json(F.struct(F.array_sort(F.collect_list("source_fqn")).alias("failed_objects"))).alias("error_message"))
     )

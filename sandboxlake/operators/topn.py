@@ -27,6 +27,7 @@ def ranked_rows(
         part = W.partitionBy(*keys, "_salt").orderBy(*order)
         df = (
             df.withColumn("_salt", salt)
+            .repartition(*keys, "_salt")  # also when the rows already come partitioned by the key alone
             .withColumn("_rn", F.row_number().over(part))
             .filter(F.col("_rn") <= n)
             .drop("_salt", "_rn")

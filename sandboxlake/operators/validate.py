@@ -14,7 +14,7 @@ _TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}(:[0-9]{2}(:[0-9]{2}([.][0-9]{
 
 def iso_date(text: Column) -> Column:
     """A date written YYYY-MM-DD; NULL for any other text and for days that do not exist."""
-    return F.when(text.rlike(_DATE), F.try_to_date(text, "yyyy-MM-dd"))
+    return F.when(text.rlike(_DATE), text.try_cast("date"))
 
 
 def is_iso_timestamp(text: Column) -> Column:

@@ -12,7 +12,7 @@ from sandboxlake.operators.classify import edge_facts, from_facts, listed_facts,
 from sandboxlake.operators.manifest import manifest_headers, non_prod_additional, with_sizes
 from sandboxlake.operators.resolve import resolve_streams, scannable_requests
 from sandboxlake.session import settle
-from sandboxlake.sources.lineage import edge_counts, enrichment_edges, first_edges, lineage_scan
+from sandboxlake.sources.lineage import edge_counts, edges_worth_reading, enrichment_edges, first_edges
 from sandboxlake.sources.sizes import table_sizes
 
 
@@ -52,7 +52,8 @@ def scan(
     counts = marked.select("dr_id", "row_limit_hit").distinct()
     # Edges are folded per entity before they meet the requests that share the entity.
     within = marked.filter(~F.col("row_limit_hit")).drop("row_limit_hit")
-    facts = edge_facts(lineage_scan(lineage, within), ["entity_id"]).join(within, "entity_id").drop("entity_id")
+    folded = edge_facts(edges_worth_reading(lineage, within), ["entity_id"])
+    facts = folded.join(within, "entity_id").drop("entity_id")
     over = first_edges(lineage, marked.filter("row_limit_hit"), row_limit)
     facts = facts.unionByName(edge_facts(over, ["dr_id"]))
     if enrichment is not None:

@@ -21,6 +21,7 @@ def build_session(app_name: str = "sandboxlake", master: str | None = None, **co
         "spark.sql.session.timeZone": "UTC",
         "spark.scheduler.mode": "FAIR",
         "spark.ui.showConsoleProgress": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     if master and master.startswith("local"):
         settings |= {"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": str(os.cpu_count() or 8)}

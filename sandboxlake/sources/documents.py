@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sandboxlake import schemas
+from sandboxlake.functions.parsing import with_parsed
 
 
 def read_request_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -17,9 +18,9 @@ def read_request_documents(spark: SparkSession, path: str) -> DataFrame:
 def parse_request_documents(texts: DataFrame, column: str = "document") -> DataFrame:
     """Add ``doc`` (nested) and ``reject`` (the text, when it is not a request document)."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    parsed = F.from_json(column, schemas.REQUEST_DOCUMENT, options)
-    broken = F.col("doc._corrupt_record").isNotNull() | F.col("doc.development_request").isNull()
-    return texts.withColumn("doc", parsed).withColumn("reject", F.when(broken, F.col(column)))
+    parsed = with_parsed(texts, "_p", {"doc": (column, schemas.REQUEST_DOCUMENT)}, options)
+    broken = F.col("_p.doc._corrupt_record").isNotNull() | F.col("_p.doc.development_request").isNull()
+    return parsed.select(*texts.columns, F.col("_p.doc").alias("doc"), F.when(broken, F.col(column)).alias("reject"))
 
 
 def flat_requests(parsed: DataFrame) -> DataFrame:
@@ -46,12 +47,8 @@ def flat_requests(parsed: DataFrame) -> DataFrame:
 
 def manifest_objects(manifests: DataFrame, column: str = "manifest_json") -> DataFrame:
     """One row per object of the stored manifests that have an object list; others are left out."""
-    parsed = manifests.withColumn("_m", F.from_json(column, schemas.MANIFEST))
-    return (
-        parsed.filter(F.col("_m.scan_result.objects").isNotNull())
-        .select("dr_id", F.explode("_m.scan_result.objects").alias("o"))
-        .select("dr_id", "o.*")
-    )
+    parsed = with_parsed(manifests, "_p", {"m": (column, schemas.MANIFEST)})
+    return parsed.select("dr_id", F.explode("_p.m.scan_result.objects").alias("o")).select("dr_id", "o.*")
 
 
 def manifest_is_whole(column: str = "manifest_json"):

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from sandboxlake import fixed
 from sandboxlake.operators.topn import first_rows
 
+# Ids up to this number are filtered with a broadcast (some 50 MB).
+MAX_BROADCAST_IDS = 500_000
+
 EDGE_COLUMNS = (
     "source_table_full_name", "target_table_full_name", "source_type", "target_type", "entity_id", "edge_seq",
 )
@@ -24,19 +27,31 @@ def edge_counts(
 ) -> DataFrame:
     """(dr_id, edges, row_limit_hit) for members (dr_id, entity_id).
 
-    Edges are counted per entity from that one column; requests only add up those counts.
+    Edges are counted per entity from that one column, before anything is joined; requests only add
+    up those counts.
     """
-    ids = members.select("dr_id", "entity_id").distinct()
-    per_entity = (
-        lineage.select("entity_id").join(ids.select("entity_id").distinct(), "entity_id", "left_semi")
-        .groupBy("entity_id").agg(F.count(F.lit(1)).alias("edges"))
-    )
+    per_entity = lineage.groupBy("entity_id").agg(F.count(F.lit(1)).alias("edges"))
     return (
-        ids.join(per_entity, "entity_id").groupBy("dr_id").agg(F.sum("edges").alias("edges"))
+        members.select("dr_id", "entity_id").distinct().join(per_entity, "entity_id")
+        .groupBy("dr_id").agg(F.sum("edges").alias("edges"))
         .withColumn("row_limit_hit", F.col("edges") > row_limit)
     )
 
 
+def edges_worth_reading(lineage: DataFrame, entity_ids: DataFrame) -> DataFrame:
+    """Lineage edges, without those of other entities as long as the wanted ids fit into a broadcast.
+
+    ``entity_ids`` is counted for that, so it should be a settled frame.  Beyond the bound nothing is
+    filtered here: joining on the entity before the edges are folded would put all edges of a hot
+    entity into one task, and the join after the folding drops the others anyway.
+    """
+    edges = lineage.select(*EDGE_COLUMNS)
+    ids = entity_ids.select("entity_id").distinct()
+    if ids.count() <= MAX_BROADCAST_IDS:
+        return edges.join(F.broadcast(ids), "entity_id", "left_semi")
+    return edges
+
+
 def first_edges(lineage: DataFrame, members: DataFrame, row_limit: int = fixed.LINEAGE_ROW_LIMIT) -> DataFrame:
     """The first ``row_limit`` edges of each request, in ``edge_seq`` order.
 

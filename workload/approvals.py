@@ -50,7 +50,7 @@ c AS (
 
 @query("config_diff", f"WITH {_PARTS} SELECT * FROM c")
 def _(t: Tables) -> DataFrame:
-    return approvals.compare_configs(t.view("fx_edits")).select("dr_id", F.inline("changes"))
+    return approvals.change_rows(t.view("fx_edits"))
 
 
 @query("sensitive_edits", f"WITH {_PARTS} SELECT dr_id, config_status FROM fx_edits WHERE config_status = 'provisioned' AND dr_id IN (SELECT dr_id FROM c WHERE field <> 'description')")
