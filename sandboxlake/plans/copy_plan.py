@@ -68,6 +68,7 @@ def target_schemas(objects: DataFrame, requests: DataFrame) -> DataFrame:
             target_schema(F.col("_schema"), F.col("dr_id"), F.col("target_environment"), F.col("target_catalog")).alias("schema_fqn"),
         )
         .filter(F.col("schema_fqn").isNotNull())
+        .repartition("dr_id", "schema_fqn")  # by schema, so that the join above may split a large request
         .distinct()
     )
 

@@ -18,6 +18,7 @@ def build_session(app_name: str = "sandboxlake", master: str | None = None, **co
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.scheduler.mode": "FAIR",
         "spark.ui.showConsoleProgress": "false",

@@ -21,9 +21,9 @@ def pending_edits(t: Tables) -> DataFrame:
     return approvals.pending_edits(t.view("fx_audit"))
 
 
-@query("pending_lookup", f"SELECT * FROM ({_PENDING}) WHERE pending_edit_id = 'pe-2-45'")
+@query("pending_lookup", f"SELECT * FROM ({_PENDING}) WHERE pending_edit_id = 'pe-11-2'")
 def _(t: Tables) -> DataFrame:
-    return approvals.find_pending(t.view("fx_audit"), "pe-2-45")
+    return approvals.find_pending(t.view("fx_audit"), "pe-11-2")
 
 
 _TEXT = "json_extract_string({}, '$.{}')"
