@@ -120,6 +120,22 @@ def find_pending(audit: DataFrame, pending_edit_id: str, key: Column | None = No
     return pending_edits(audit.filter(key == pending_edit_id), key)
 
 
+def decision_rows(decided: DataFrame, now: Column, by: str) -> DataFrame:
+    """Audit rows for decided edits: (dr_id, pending_edit_id, decision, changes, reason)."""
+    approved = F.col("decision") == "approve"
+    detail = F.when(approved, F.to_json(F.struct("pending_edit_id", "changes"))).otherwise(
+        F.to_json(F.struct("pending_edit_id", F.coalesce("reason", F.lit("")).alias("reason")))
+    )
+    return decided.select(
+        "dr_id",
+        F.when(approved, fixed.EDIT_APPROVED).otherwise(fixed.EDIT_REJECTED).alias("action"),
+        detail.alias("action_detail"),
+        F.lit(by).alias("performed_by"),
+        now.alias("performed_at"),
+        F.when(approved, fixed.SUCCESS).otherwise("REJECTED").alias("status"),
+    )
+
+
 def pending_provisions(configs: DataFrame) -> DataFrame:
     """Scanned configs that wait to be provisioned, with the totals of their manifests.
 

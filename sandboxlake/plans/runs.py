@@ -20,6 +20,7 @@ from sandboxlake.plans import copy_plan as plans
 from sandboxlake.plans.clone import (
     Sandbox, clone_all, create_schemas, drop_object, drop_schema, refresh_all, run_tasks,
 )
+from sandboxlake.plans.scan import stream_additions
 from sandboxlake.session import settle
 from sandboxlake.sources.commits import retention_violations
 from sandboxlake.sources.state import StateTables
@@ -302,14 +303,17 @@ def modify(
     removals: DataFrame | None = None,
     users: DataFrame | None = None,
     expirations: DataFrame | None = None,
+    streams: DataFrame | None = None,
+    lineage: DataFrame | None = None,
+    inventory: DataFrame | None = None,
     revision: tuple[str, str | None] | None = None,
     by: str = "SYSTEM",
 ) -> Run:
-    """Modify live requests: add objects, remove objects, change users, change the expiration date.
+    """Modify live requests: add objects, remove objects, change users, extend, add streams.
 
-    Objects found for added streams come in as ``additions`` (see ``net_new_objects``).  Each kind
-    of change is one action per request, and they succeed or fail on their own; the status row says
-    whether all, some or none did.  ``expirations`` is (dr_id, expiration_date).
+    Each kind of change is one action per request, and they succeed or fail on their own; the status
+    row says whether all, some or none did.  ``expirations`` is (dr_id, expiration_date); ``streams``
+    is (dr_id, name) and needs ``lineage`` and ``inventory``.
     """
     actions, statements, done = [], None, []
 
@@ -338,6 +342,15 @@ def modify(
         )
         state.append("requests", changed, now)
         action(asked, "change_expiration", F.bool_and(F.coalesce(due, F.lit(False))))
+    if streams is not None:
+        asked = settle(_modifiable(state, streams))
+        more, found = stream_additions(lineage, asked, inventory, state.of_requests("objects", asked))
+        none = F.lit(None)
+        fresh = settle(more.withColumn("clone_strategy", none.cast("string")).withColumn("estimated_size_gb", none.cast("double")))
+        done.append(add_objects(sandbox, state, fresh, now, revision))
+        copied = done[-1].groupBy("dr_id").agg(F.bool_or("success").alias("copied"))
+        tried = found.join(copied, "dr_id", "left")  # nothing new to copy is fine
+        action(tried, "add_streams", F.bool_and(F.col("resolved") & F.coalesce("copied", F.lit(True))))
     if not actions:
         raise ValueError("nothing to modify")
 
@@ -348,7 +361,7 @@ def modify(
     touched = together.select("dr_id").distinct()
     _stamp_requests(state, touched, {"last_modified_at": _at(now)}, now)
     status = settle(results.run_status(touched, together))
-    # At most five actions per request, so the list in its audit row is short.
+    # At most six actions per request, so the list in its audit row is short.
     lists = together.groupBy("dr_id").agg(
         F.array_sort(F.collect_list(F.struct("action", "success"))).alias("actions"),
         F.array_sort(F.collect_list(F.when(~F.col("success"), F.col("action")))).alias("_bad"),
@@ -416,6 +429,11 @@ def clean_up(sandbox: Sandbox, state: StateTables, doomed: DataFrame, now: str)
     return Run(status, done, revokes=revokes, rejected=rejected)
 
 
+def clean_up_expired(sandbox: Sandbox, state: StateTables, now: str) -> Run:
+    """The daily cleanup: every request that is due, and those left over from an earlier one."""
+    return clean_up(sandbox, state, lifecycle.expired_requests(state.current("requests"), now[:10]).select("dr_id"), now)
+
+
 def notify(state: StateTables, now: str, days: int = fixed.NOTICE_DAYS) -> DataFrame:
     """Notices that are due; the requests are stamped and the notices are on record before they are handed out."""
     due = settle(lifecycle.notices(state.current("requests"), state.current("objects"), now[:10], days))

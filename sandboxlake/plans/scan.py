@@ -11,6 +11,7 @@ from sandboxlake import fixed
 from sandboxlake.operators.classify import edge_facts, from_facts, listed_facts, merge_facts
 from sandboxlake.operators.manifest import manifest_headers, non_prod_additional, with_sizes
 from sandboxlake.operators.resolve import resolve_streams, scannable_requests
+from sandboxlake.plans.copy_plan import net_new_objects
 from sandboxlake.session import settle
 from sandboxlake.sources.lineage import edge_counts, edges_worth_reading, enrichment_edges, first_edges
 from sandboxlake.sources.sizes import table_sizes
@@ -26,6 +27,27 @@ class Scan:
     non_prod: DataFrame
 
 
+def members_of(streams: DataFrame, inventory: DataFrame) -> DataFrame:
+    """(dr_id, name, resource_id, task_keys) of the requests whose streams all resolve.  Settled."""
+    resolved = resolve_streams(streams, inventory)
+    go = scannable_requests(resolved)
+    return settle(resolved.join(go, "dr_id", "left_semi").select("dr_id", "name", "resource_id", "task_keys"))
+
+
+def edge_facts_of(lineage: DataFrame, members: DataFrame, row_limit: int) -> tuple[DataFrame, DataFrame]:
+    """Folded edges per request, and (dr_id, row_limit_hit).
+
+    Edges are folded per entity before they meet the requests that share the entity.
+    """
+    ids = members.select("dr_id", F.col("resource_id").alias("entity_id")).distinct()
+    marked = settle(ids.join(edge_counts(lineage, ids, row_limit).select("dr_id", "row_limit_hit"), "dr_id"))
+    within = marked.filter(~F.col("row_limit_hit")).drop("row_limit_hit")
+    folded = edge_facts(edges_worth_reading(lineage, within), ["entity_id"])
+    facts = folded.join(within, "entity_id").drop("entity_id")
+    over = first_edges(lineage, marked.filter("row_limit_hit"), row_limit)
+    return facts.unionByName(edge_facts(over, ["dr_id"])), marked.select("dr_id", "row_limit_hit").distinct()
+
+
 def scan(
     lineage: DataFrame,
     streams: DataFrame,
@@ -39,34 +61,35 @@ def scan(
 
     ``additional`` is (dr_id, fqn), ``metadata`` the table sizes, ``enrichment`` the curated edges.
     """
-    resolved = resolve_streams(streams, inventory)
-    go = scannable_requests(resolved)
-    # Everything below starts from the members, so they are worked out once.
-    members = settle(resolved.join(go, "dr_id", "left_semi").select("dr_id", "name", "resource_id", "task_keys"))
-    go = members.select("dr_id").distinct()
-    listed = additional.join(go, "dr_id", "left_semi")
-
-    ids = members.select("dr_id", F.col("resource_id").alias("entity_id")).distinct()
-    counts = edge_counts(lineage, ids, row_limit).select("dr_id", "row_limit_hit")
-    marked = settle(ids.join(counts, "dr_id"))
-    counts = marked.select("dr_id", "row_limit_hit").distinct()
-    # Edges are folded per entity before they meet the requests that share the entity.
-    within = marked.filter(~F.col("row_limit_hit")).drop("row_limit_hit")
-    folded = edge_facts(edges_worth_reading(lineage, within), ["entity_id"])
-    facts = folded.join(within, "entity_id").drop("entity_id")
-    over = first_edges(lineage, marked.filter("row_limit_hit"), row_limit)
-    facts = facts.unionByName(edge_facts(over, ["dr_id"]))
+    members = members_of(streams, inventory)
+    listed = additional.join(members.select("dr_id").distinct(), "dr_id", "left_semi")
+    facts, hits = edge_facts_of(lineage, members, row_limit)
     if enrichment is not None:
         keys = members.select("dr_id", F.explode(F.array("name", "resource_id")).alias("entity_id")).distinct()
         curated = enrichment_edges(enrichment).withColumn("edge_seq", F.lit(None).cast("bigint"))
         facts = facts.unionByName(edge_facts(curated, ["entity_id"]).join(keys, "entity_id").drop("entity_id"))
-
     facts = facts.unionByName(listed_facts(listed, ["dr_id"]))
     objects = from_facts(merge_facts(facts, ["dr_id"]), ["dr_id"])
-    sized = with_sizes(objects, table_sizes(metadata))
     return Scan(
-        objects=sized,
-        headers=manifest_headers(objects, counts),
+        objects=with_sizes(objects, table_sizes(metadata)),
+        headers=manifest_headers(objects, hits),
         streams=members,
         non_prod=non_prod_additional(objects, listed),
     )
+
+
+def stream_additions(
+    lineage: DataFrame, streams: DataFrame, inventory: DataFrame, objects: DataFrame,
+    row_limit: int = fixed.LINEAGE_ROW_LIMIT,
+) -> tuple[DataFrame, DataFrame]:
+    """Objects that added streams (dr_id, name) bring to their requests, and (dr_id, resolved).
+
+    A request with a stream that does not resolve gets nothing.  ``objects`` are the object rows the
+    requests have so far.
+    """
+    members = members_of(streams, inventory)
+    facts, _ = edge_facts_of(lineage, members, row_limit)
+    found = from_facts(merge_facts(facts, ["dr_id"]), ["dr_id"]).select("dr_id", "fqn", "object_type", "access_mode")
+    asked = streams.select("dr_id").distinct()
+    fine = asked.join(members.select("dr_id", F.lit(True).alias("_ok")).distinct(), "dr_id", "left")
+    return net_new_objects(found, objects), fine.select("dr_id", F.col("_ok").isNotNull().alias("resolved"))

@@ -45,6 +45,29 @@ def flat_requests(parsed: DataFrame) -> DataFrame:
     )
 
 
+def flat_forms(configs: DataFrame, column: str = "config_json") -> DataFrame:
+    """One flat row per config form, in the shape of ``flat_requests``; a broken text has all fields NULL."""
+    form = "_p.form"
+    return with_parsed(configs, "_p", {"form": (column, schemas.CONFIG_FORM)}).select(
+        "dr_id",
+        F.lit("1.0").alias("version"),
+        F.col(f"{form}.description").alias("description"),
+        F.col(f"{form}.streams").alias("streams"),
+        F.col(f"{form}.additional_objects").alias("additional_objects"),
+        F.col(f"{form}.target_catalog").alias("target_catalog"),
+        F.lit(True).alias("dev_enabled"),
+        F.coalesce(F.col(f"{form}.qa_enabled"), F.lit(False)).alias("qa_enabled"),
+        F.coalesce(F.col(f"{form}.data_revision_mode"), F.lit("latest")).alias("rev_mode"),
+        F.col(f"{form}.data_revision_version").alias("rev_version"),
+        F.col(f"{form}.data_revision_timestamp").alias("rev_timestamp"),
+        F.col(f"{form}.developers").alias("developers"),
+        F.col(f"{form}.qa_users").alias("qa_users"),
+        F.col(f"{form}.expiration_date").alias("expiration_date"),
+        F.coalesce(F.col(f"{form}.notification_days_before"), F.lit(7)).alias("notification_days_before"),
+        F.col(f"{form}.notification_recipients").alias("notification_recipients"),
+    )
+
+
 def manifest_objects(manifests: DataFrame, column: str = "manifest_json") -> DataFrame:
     """One row per object of the stored manifests that have an object list; others are left out."""
     parsed = with_parsed(manifests, "_p", {"m": (column, schemas.MANIFEST)})

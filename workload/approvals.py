@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from sandboxlake.operators import approvals, principals
 from sandboxlake.plans import copy_plan as plans
+from sandboxlake.plans import edits as plans_edits
 from workload.fixtures import NOW
 from workload.registry import Tables, query
+from workload.state import new_state
 
 _KEY = "CASE WHEN json_valid(action_detail) THEN json_extract_string(action_detail, '$.pending_edit_id') END"
 _PENDING = f"""SELECT *, {_KEY} AS pending_edit_id FROM fx_audit
@@ -152,3 +154,63 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     changes = approvals.approve(t.view("fx_configs"), _approved(t), F.lit(NOW))[1]
     return plans.user_grant_plan(plans.env_schemas(t.view("fx_objects")), changes)
+
+
+def _stored(t: Tables):
+    """State tables that hold all configs and all objects."""
+    state = new_state(t)
+    state.append("configs", t.view("fx_configs"), NOW)
+    state.append("objects", t.view("fx_objects"), NOW)
+    return state
+
+
+_DAY = "CAST(c.expiration_date AS DATE)"
+
+
+@query(
+    "submit_edits",
+    f"""WITH {_PARTS},
+    k AS (SELECT dr_id, bool_or(field <> 'description') AS sensitive FROM c GROUP BY dr_id),
+    s AS (SELECT e.dr_id, c.status, e.new_json, c.expiration_date, coalesce(sensitive, false) AND c.status = 'provisioned' AS held,
+            {_DAY} > DATE '1998-06-15' AND {_DAY} - DATE '1998-06-15' <= 90 AS in_time
+          FROM fx_edits e JOIN fx_configs c USING (dr_id) LEFT JOIN k USING (dr_id))
+    SELECT dr_id, CASE WHEN held THEN 'pending_review' ELSE 'applied' END AS outcome,
+           CASE WHEN held THEN status WHEN NOT in_time THEN 'invalid' WHEN status = 'provisioned' THEN 'provisioned' ELSE 'valid' END AS status,
+           CASE WHEN held THEN 1 ELSE 0 END AS staged FROM s""",
+)
+def submit(t: Tables) -> DataFrame:
+    state = _stored(t)
+    edits = t.view("fx_edits").select("dr_id", "new_json", "requester")
+    outcome = plans_edits.submit_edits(state, edits, NOW)
+    staged = state.current("audit").filter("action = 'CONFIG_EDIT_PENDING'").groupBy("dr_id").agg(F.count(F.lit(1)).cast("int").alias("staged"))
+    return outcome.join(state.current("configs").select("dr_id", "status"), "dr_id").join(staged, "dr_id", "left").select(
+        "dr_id", "outcome", "status", F.coalesce("staged", F.lit(0)).alias("staged")
+    )
+
+
+@query(
+    "decide_edits",
+    f"""WITH {_PARTS},
+    k AS (SELECT dr_id, bool_or(field <> 'description') AS sensitive FROM c GROUP BY dr_id),
+    s AS (SELECT e.*, len(e.dr_id) % 2 = 0 AS rejected FROM fx_edits e JOIN fx_configs c USING (dr_id) JOIN k USING (dr_id) WHERE sensitive AND c.status = 'provisioned')
+    SELECT dr_id, CASE WHEN rejected THEN 'rejected' ELSE 'approved' END AS outcome, NOT rejected AS changed,
+           CASE WHEN rejected THEN 'CONFIG_EDIT_REJECTED' ELSE 'CONFIG_EDIT_APPROVED' END AS action FROM s""",
+)
+def _(t: Tables) -> DataFrame:
+    state = _stored(t)
+    edits = t.view("fx_edits").select("dr_id", "new_json", "requester")
+    plans_edits.submit_edits(state, edits, NOW)
+    pending = approvals.pending_edits(state.current("audit"))
+    reject = F.length("dr_id") % 2 == 0
+    decided = plans_edits.decide_edits(
+        state, pending.select("pending_edit_id", F.when(reject, "reject").otherwise("approve").alias("decision"), F.lit("no").alias("reason")),
+        "1998-06-15 13:00:00", "admin@co.com",
+    )
+    audit = state.current("audit").filter("action IN ('CONFIG_EDIT_APPROVED', 'CONFIG_EDIT_REJECTED')")
+    audit = audit.select(approvals.edit_key().alias("pending_edit_id"), "action")
+    now_json = state.current("configs").select("dr_id", F.col("config_json").alias("now_json"))
+    wanted = edits.select("dr_id", "new_json")
+    return (
+        decided.outcomes.join(audit, "pending_edit_id").join(now_json, "dr_id").join(wanted, "dr_id")
+        .select("dr_id", "outcome", (F.col("now_json") == F.col("new_json")).alias("changed"), "action")
+    )

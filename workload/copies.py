@@ -399,3 +399,25 @@ def _(t: Tables) -> DataFrame:
         state.current("objects").select("dr_id", "target_environment", "source_fqn", "status")
         .join(there, ["dr_id", "target_environment", "source_fqn"]).join(requests, "dr_id").join(run.status.select("dr_id", "audit_status"), "dr_id")
     )
+
+
+@query(
+    "modify_add_streams",
+    """SELECT 'DR-1' AS dr_id, 'prod_main.sales.supplier' AS source_fqn, 'PROVISIONED' AS status, 'add_streams:true' AS actions, count(*) AS rows FROM supplier""",
+)
+def _(t: Tables) -> DataFrame:
+    box, state, _ = provisioned(t)
+    clone.register_source(box, source("supplier"), t.path("supplier"))
+    lineage = _named(
+        t, [(source("supplier"), None, "TABLE", None, "7", 1), (source("orders"), None, "TABLE", None, "7", 2)],
+        "source_table_full_name string, target_table_full_name string, source_type string, target_type string, entity_id string, edge_seq bigint",
+    )
+    runs.modify(
+        box, state, NOW, streams=_named(t, [("DR-1", "nightly")], "dr_id string, name string"), lineage=lineage,
+        inventory=_named(t, [("job", "nightly", "7")], "kind string, name string, resource_id string"), revision=("latest", None),
+    )
+    detail = F.from_json("action_detail", "actions array<struct<action: string, success: boolean>>")["actions"]
+    text = F.array_join(F.transform(detail, lambda a: F.concat_ws(":", a["action"], a["success"].cast("string"))), ";")
+    audit = state.current("audit").filter("action = 'MODIFY'").select("dr_id", text.alias("actions"))
+    rows = rows_in(box, [("DR-1", source("supplier"), "dev_main.dr_1_sales.supplier")], "dr_id source_fqn")
+    return state.current("objects").join(rows, ["dr_id", "source_fqn"]).join(audit, "dr_id").select("dr_id", "source_fqn", "status", "actions", "rows")
