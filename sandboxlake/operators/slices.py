@@ -10,18 +10,21 @@ from pyspark.sql import functions as F
 
 from sandboxlake.session import settle
 
+HOT_ROWS = 1_000_000  # a key with more rows than this is not left to one task
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
-def range_slices(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+def range_slices(df: DataFrame, order: Sequence[str | Column], slices: int | None = None) -> DataFrame:
     """Add ``slice_no`` and ``slice_pos``: contiguous, sorted slices of ``df`` in the given order.
 
     Slices come from range partitioning, so a hot value of the leading column is split as long as
     the later columns tell its rows apart.  The slices are written out, because the boundaries are
-    sampled and must not move between the consumers.
+    sampled and must not move between the consumers.  Their number follows the shuffle partitions
+    of the session unless ``slices`` is given.
     """
+    ranged = df.repartitionByRange(*order) if slices is None else df.repartitionByRange(slices, *order)
     numbered = (
-        df.repartitionByRange(*order)
+        ranged
         .sortWithinPartitions(*order)
         .withColumn("_id", F.monotonically_increasing_id())
         .withColumn("slice_no", F.shiftright("_id", _ROW_BITS))
@@ -51,30 +54,45 @@ def row_numbers(df: DataFrame, order: Sequence[str | Column], name: str = "row_n
 
 
 def with_previous(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Add the value of the row before, per key.  ``keys + order`` has to tell all rows apart.
 
-    ``lag`` runs inside (key, slice); the first row of a key in a slice takes the last value of
-    that key in the closest earlier slice.  A key that holds most rows is thus spread over as many
-    tasks as it has slices.
+    Keys with up to ``hot_rows`` rows take a plain ``lag``.  The others, found by counting, are few;
+    their rows are cut into slices so that no task has to hold one of them whole.
     """
     keys, order = list(keys), list(order)
+    hot = settle(
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+        .select(*[F.col(k).alias(f"_k_{k}") for k in keys])
+    )
+    before = W.partitionBy(*keys).orderBy(*order)
+    if hot.isEmpty():
+        return df.withColumn(name, F.lag(value).over(before))
+    same = _same_keys(keys)
+    plain = df.join(hot, same, "left_anti").withColumn(name, F.lag(value).over(before))
+    return plain.unionByName(_previous_in_slices(df.join(hot, same, "left_semi"), keys, order, value, name))
+
+
+def _same_keys(keys: list[str]) -> list[Column]:
+    return [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+
+
+def _previous_in_slices(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """``lag`` inside (key, slice); the first row of a key in a slice takes the last value of that key
+    in the closest earlier slice."""
     slices = range_slices(df, [*keys, *order])
     here = W.partitionBy(*keys, "slice_no").orderBy("slice_pos")
     marked = slices.withColumn("_prev", F.lag(F.struct(value)).over(here))
-    ends = slices.groupBy(*keys, "slice_no").agg(
-        F.max_by(F.struct(value), "slice_pos").alias("_end")
-    )
-    earlier = W.partitionBy(*keys).orderBy("slice_no")
+    ends = slices.groupBy(*keys, "slice_no").agg(F.max_by(F.struct(value), "slice_pos").alias("_end"))
+    earlier = W.partitionBy(*keys).orderBy("slice_no")  # one row per slice of a key
     carried = (
         ends.withColumn("_carried", F.lag("_end").over(earlier))
         .filter(F.col("_carried").isNotNull())
         .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("slice_no").alias("_slice"), "_carried")
     )
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     return (
-        marked.join(carried, [*same, F.col("slice_no") == F.col("_slice")], "left")
-        .withColumn(name, F.coalesce("_prev", F.when(F.col("_prev").isNull(), F.col("_carried")))[value])
+        marked.join(carried, [*_same_keys(keys), F.col("slice_no") == F.col("_slice")], "left")
+        .withColumn(name, F.coalesce("_prev", "_carried")[value])
         .select(*df.columns, name)
     )

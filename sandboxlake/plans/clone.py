@@ -136,21 +136,23 @@ def pinned_query(sandbox: Sandbox, source_fqn: str, mode: str = "latest", value:
     spark, table = sandbox.spark, sandbox.table_name(source_fqn)
     keys = _property(spark, table, "commit_keys")
     if keys:
-        bound = _bound(spark, table, mode, value)
-        newest = spark.sql(f"SELECT max(commit_version) AS v FROM {table}" + (f" WHERE {bound}" if bound else "")).first()["v"]
+        bound = _bound(spark, table, mode, value) or "true"
+        newest, files = _extent(spark, table, f"max(commit_version) FILTER (WHERE {bound})")
         pin = f"commit_version <= {newest if newest is not None else -1}"
-        return _as_of_query(table, spark.table(table).columns, keys, pin), _files(spark, table)
+        return _as_of_query(table, spark.table(table).columns, keys, pin), files
     if mode != "latest":
         return source_query(sandbox, source_fqn, mode, value), 0
-    newest = spark.sql(
-        f"SELECT unix_micros(max(_metadata.file_modification_time)) AS t FROM {table}"
-    ).first()["t"]
+    newest, files = _extent(spark, table, "unix_micros(max(_metadata.file_modification_time))")
     pin = f"_metadata.file_modification_time <= timestamp_micros({newest if newest is not None else 0})"
-    return f"SELECT * FROM {table} WHERE {pin}", _files(spark, table, pin)
+    return f"SELECT * FROM {table} WHERE {pin}", files
 
 
-def _files(spark: SparkSession, table: str, where: str = "true") -> int:
-    return spark.sql(f"SELECT count(DISTINCT _metadata.file_path) AS n FROM {table} WHERE {where}").first()["n"]
+def _extent(spark: SparkSession, table: str, newest: str, where: str = "true") -> tuple[int | None, int]:
+    """Newest commit or file time, and number of files, in one pass that reads no data columns but the commit."""
+    row = spark.sql(
+        f"SELECT {newest} AS newest, count(DISTINCT _metadata.file_path) AS files FROM {table} WHERE {where}"
+    ).first()
+    return row["newest"], row["files"]
 
 
 # ---- the four strategies -----------------------------------------------------------------------
@@ -206,10 +208,19 @@ def pin_is_whole(sandbox: Sandbox, target: str) -> bool:
     source = sandbox.table_name(_property(spark, view, "pinned_source"))
     pinned = int(_property(spark, view, "pinned_files"))
     if _property(spark, source, "commit_keys"):
-        return _files(spark, source) >= pinned
+        return _extent(spark, source, "max(1)")[1] >= pinned
     text = spark.sql(f"SHOW CREATE TABLE {view}").first()[0]
     pin = re.search(r"_metadata\.file_modification_time <= timestamp_micros\(\d+\)", text)
-    return pin is None or _files(spark, source, pin.group(0)) >= pinned
+    return pin is None or _extent(spark, source, "max(1)", pin.group(0))[1] >= pinned
+
+
+def check_pins(sandbox: Sandbox, objects: DataFrame) -> DataFrame:
+    """Outcome rows for shallow clones: failed where files they rest on are gone."""
+    def check(row: Row) -> None:
+        if not pin_is_whole(sandbox, row.target_fqn):
+            raise CloneError(f"source files are gone: {row.source_fqn}")
+
+    return run_tasks(sandbox, objects.filter("clone_strategy = 'shallow_clone' AND status = 'PROVISIONED'"), check, "check")
 
 
 def view_clone(sandbox: Sandbox, source: str, target: str, mode: str = "latest", value: str | None = None) -> None:

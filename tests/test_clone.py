@@ -56,6 +56,17 @@ def test_shallow_clone_is_pinned_and_view_is_not(box, tmp_path):
     assert not clone.pin_is_whole(box, T + "s")
 
 
+def test_broken_pins_are_outcomes(box, frame, tmp_path):
+    for name in ("plain", "parts"):
+        clone.shallow_clone(box, f"prod_main.s.{name}", T + name)
+    columns = "source_fqn string, target_fqn string, clone_strategy string, status string"
+    objects = frame(columns, *[(f"prod_main.s.{n}", T + n, "shallow_clone", "PROVISIONED") for n in ("plain", "parts")], ("x", "y", "view", "PROVISIONED"))
+    assert rows(clone.check_pins(box, objects), "target_fqn", "success") == [(T + "parts", True), (T + "plain", True)]
+    box.spark.range(3).write.mode("overwrite").parquet(f"{tmp_path}/plain")
+    box.spark.catalog.refreshTable(box.table_name("prod_main.s.plain"))
+    assert rows(clone.check_pins(box, objects), "target_fqn", "success") == [(T + "parts", True), (T + "plain", False)]
+
+
 def test_revisions(box, frame, tmp_path):
     frame(LOG, ("a", 1, 1, None, "upsert"), ("a", 2, 2, None, "upsert"), ("b", 5, 3, None, "upsert"), ("a", None, 4, None, "delete")).withColumn(
         "commit_ts", F.expr("timestamp_ntz'2026-01-01' + make_dt_interval(cast(commit_version as int))")
