@@ -6,10 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from workload.registry import BASE_TABLES
+from workload.registry import BASE_TABLES, ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 
