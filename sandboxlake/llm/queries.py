@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sandboxlake.llm import packing, quality
+from sandboxlake.llm import jaccard, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,8 @@ def op2(docs: DataFrame) -> DataFrame:
 @_query("op9_host_quality_rules", "documents")
 def op9(docs: DataFrame) -> DataFrame:
     return quality.quality_verdicts(docs, ["doc_id"])
+
+
+@_query("op8_ngram_jaccard_join", "documents")
+def op8(docs: DataFrame) -> DataFrame:
+    return jaccard.near_duplicates(docs)
