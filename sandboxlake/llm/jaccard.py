@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from sandboxlake.llm import texts
 from sandboxlake.llm.columns import fresh
 from sandboxlake.llm.components import connected
+from sandboxlake.llm.running import release_shuffles, small_batches
 from sandboxlake.session import settle
 
 MIN_PERCENT = 80
@@ -166,6 +167,7 @@ class _Corpus:
     """Documents with their classes; sets are worked out anew for the few classes that need comparing."""
 
     def __init__(self, docs: DataFrame, key: str, text: str):
+        small_batches(docs.sparkSession)
         self.docs = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
         self.members = settle(self.docs.select("doc", _sketch("text").alias("s")).select("doc", "s.*"))
         self.classes = settle(
@@ -180,13 +182,12 @@ class _Corpus:
         close = pairs.join(a, F.col("a") == F.col("cls_a")).join(b, F.col("b") == F.col("cls_b"))
         possible = settle(close.filter(_may_link("n_a", "n_b", "bits_a", "bits_b")).select("a", "b", "n_a", "n_b"))
         needed = possible.select(F.col("a").alias("cls")).unionByName(possible.select(F.col("b").alias("cls"))).distinct()
-        named = needed.join(self.classes.select("cls", F.col("doc").alias("of")), "cls")
+        named = settle(needed.join(self.classes.select("cls", F.col("doc").alias("of")), "cls"))  # its size is then known to the join
         own = self.docs.join(named, F.col("doc").eqNullSafe(F.col("of")))
         sets = (
             own.select("cls", _shingles("text").alias("s")).filter(F.col("s.cls") == F.col("cls"))
             .groupBy("cls").agg(F.first("s.items").alias("items"))
         )
-        sets = settle(sets)
         a, b = (sets.select(F.col("cls").alias(f"cls_{x}"), F.col("items").alias(f"items_{x}")) for x in "ab")
         both = possible.join(a, F.col("a") == F.col("cls_a")).join(b, F.col("b") == F.col("cls_b"))
         shared = both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("sum"), _overlap("items_a", "items_b").alias("shared"))
@@ -231,7 +232,10 @@ def _components(corpus: _Corpus) -> DataFrame:
     )
     partners = met.join(least, "shingle").filter(F.col("cls") != F.col("low")).groupBy("cls", "low").count()
     best = partners.groupBy("cls").agg(F.max_by("low", F.struct("count", "low")).alias("b")).select(F.col("cls").alias("a"), "b")
-    links = corpus.verified(settle(best))
+    best = settle(best)
+    release_shuffles(corpus.docs.sparkSession)
+    links = corpus.verified(best)
+    release_shuffles(corpus.docs.sparkSession)
     roots = connected(links)
 
     placed = met.join(least.select("shingle"), "shingle").join(roots, F.col("cls") == F.col("node"), "left")
