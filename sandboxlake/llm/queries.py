@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sandboxlake.llm import jaccard, packing, quality
+from sandboxlake.llm import jaccard, line_dedup, mixing, packing, quality, sharding
+from sandboxlake.llm.columns import text_crc32
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +37,59 @@ def op9(docs: DataFrame) -> DataFrame:
 @_query("op8_ngram_jaccard_join", "documents")
 def op8(docs: DataFrame) -> DataFrame:
     return jaccard.near_duplicates(docs)
+
+
+@_query("op1_hypergeometric_sharding", "documents")
+def op1(docs: DataFrame) -> DataFrame:
+    placed = sharding.shard(docs, shards=40)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    return placed.select(
+        "doc_id", size.alias("size"), text_crc32(F.col("text")).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@_query("op6_target_mixing", "documents", r"""
+    WITH RECURSIVE sized AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+    ), sources AS (
+        SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+        FROM sized GROUP BY source
+    ), share(round, level, n_full) AS (
+        SELECT 0, 0.0::DOUBLE, -1::BIGINT
+        UNION ALL
+        SELECT round + 1,
+               (SELECT (sum(source_size) - 3 * coalesce(sum(source_size) FILTER (weight * level > source_size * 3.0::DOUBLE), 0))::DOUBLE
+                       / sum(weight) FILTER (weight * level <= source_size * 3.0::DOUBLE)::DOUBLE FROM sources),
+               (SELECT count(*) FILTER (weight * level > source_size * 3.0::DOUBLE) FROM sources)
+        FROM share
+        WHERE n_full <> (SELECT count(*) FILTER (weight * level > source_size * 3.0::DOUBLE) FROM sources)
+    ), aims AS (
+        SELECT source, source_size, least(source_size * 3.0::DOUBLE, weight * (SELECT level FROM share ORDER BY round DESC LIMIT 1)) AS target FROM sources
+    ), rated AS (
+        SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+               ('0x' || substr(md5('0/' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS draw
+        FROM sized JOIN aims ON sized.source IS NOT DISTINCT FROM aims.source
+    )
+    SELECT doc_id, size, source_size, target, (size * (floor(rate) + (draw < rate - floor(rate))::INT))::BIGINT AS taken FROM rated
+""")
+def op6(docs: DataFrame) -> DataFrame:
+    mixed, _ = mixing.with_copies(docs.select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@_query("op10_three_line_dedup", "documents", r"""
+    WITH cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+    starts AS (SELECT doc_id, lines, unnest(range(0, len(lines) - 2)) AS pos FROM cut WHERE len(lines) >= 3),
+    windows AS (SELECT doc_id, pos, lines[pos + 1 : pos + 3] AS w FROM starts),
+    later AS (
+        SELECT doc_id, pos FROM (SELECT doc_id, pos, w, row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) AS k FROM windows
+                                WHERE regexp_matches(array_to_string(w, chr(10)), '[^\x20\x09-\x0D]')) WHERE k > 1
+    ), covered AS (SELECT doc_id, list_distinct(flatten(list([pos, pos + 1, pos + 2]))) AS gone FROM later GROUP BY doc_id)
+    SELECT cut.doc_id, coalesce(len(gone), 0)::BIGINT AS removed_lines,
+           CASE WHEN gone IS NULL THEN text
+                ELSE array_to_string([lines[i + 1] FOR i IN range(0, len(lines)) IF NOT list_contains(gone, i)], chr(10)) END AS text
+    FROM cut LEFT JOIN covered USING (doc_id)
+""")
+def op10(docs: DataFrame) -> DataFrame:
+    return line_dedup.dedup_lines(docs.select("doc_id", "text"), removed="removed_lines")
