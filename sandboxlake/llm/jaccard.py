@@ -38,7 +38,8 @@ MIN_PERCENT = 80
 SAMPLE = 64  # one in so many distinct texts is looked at for the order of shingles
 FREQUENT = 4  # a shingle in so many of them comes last
 MOST_FREQUENT = 500_000  # of those, as many are told to the tasks: four megabytes; the others keep their place
-_SUMMARY_WORDS = 4
+_SUMMARY_WORDS = 8
+_LEAST_BITS = 64 * _SUMMARY_WORDS
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,18 +59,15 @@ def _class_of(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _bitmap(own: np.ndarray) -> bytes:
-    """Parities of the shingles per bit; as many bits as shingles at least, a power of two from 64 on."""
-    bits = max(64, 1 << (len(own) - 1).bit_length())
+    """Parities of the shingles per bit; as many bits as shingles at least, a power of two from 512 on."""
+    bits = max(_LEAST_BITS, 1 << max(len(own) - 1, 0).bit_length())
     odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 def _summary(bitmap: bytes) -> list[int]:
-    """The bitmap, folded or repeated by zeros to 256 bits, as four numbers."""
-    words = np.frombuffer(bitmap, np.uint64)
-    if len(words) < _SUMMARY_WORDS:
-        return [*words.view(np.int64).tolist(), *[0] * (_SUMMARY_WORDS - len(words))]
-    return np.bitwise_xor.reduce(words.reshape(-1, _SUMMARY_WORDS), axis=0).view(np.int64).tolist()
+    """The bitmap folded to 512 bits, as eight numbers."""
+    return np.bitwise_xor.reduce(np.frombuffer(bitmap, np.int64).reshape(-1, _SUMMARY_WORDS), axis=0).tolist()
 
 
 @F.arrow_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("bits", T.BinaryType())]))
@@ -175,15 +173,19 @@ class _Corpus:
             .agg(F.min("doc").alias("doc"), F.max("n").alias("n"), F.first("bits").alias("bits"))
         )
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of classes that link."""
+    def verified(self, pairs: DataFrame, many: bool) -> DataFrame:
+        """The pairs (a, b) of classes that link; ``many``: a good part of all classes are in pairs.
+
+        Then texts and classes are both shuffled whatever the size, so that the plan does not change
+        where the list of classes outgrows a broadcast.
+        """
         sized = self.classes.select("cls", "n", "bits")
         a, b = (sized.select(*[F.col(c).alias(f"{c}_{x}") for c in sized.columns]) for x in "ab")
         close = pairs.join(a, F.col("a") == F.col("cls_a")).join(b, F.col("b") == F.col("cls_b"))
         possible = settle(close.filter(_may_link("n_a", "n_b", "bits_a", "bits_b")).select("a", "b", "n_a", "n_b"))
         needed = possible.select(F.col("a").alias("cls")).unionByName(possible.select(F.col("b").alias("cls"))).distinct()
         named = settle(needed.join(self.classes.select("cls", F.col("doc").alias("of")), "cls"))  # its size is then known to the join
-        own = self.docs.join(named, F.col("doc").eqNullSafe(F.col("of")))
+        own = self.docs.join(named.hint("merge") if many else named, F.col("doc").eqNullSafe(F.col("of")))
         sets = (
             own.select("cls", _shingles("text").alias("s")).filter(F.col("s.cls") == F.col("cls"))
             .groupBy("cls").agg(F.first("s.items").alias("items"))
@@ -204,17 +206,15 @@ def _may_link_by_summary(x: str, y: str) -> Column:
 
 def _across(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of classes of different components that meet in a tile and whose summaries leave room for a link."""
-    # the summary of a small bitmap is that bitmap, so only bitmaps of the same width may be compared by it
-    sized = classes.select("cls", "n", _summaries("bits").alias("summary"), F.least(F.octet_length("bits"), F.lit(32)).alias("width"))
+    sized = classes.select("cls", "n", _summaries("bits").alias("summary"))
     band = F.floor(F.log("n") / F.log(F.lit(100 / MIN_PERCENT)))
     full = settle(rows.join(sized, "cls").withColumn("band", band))
     home = full.alias("y")
     guest = full.withColumn("band", F.explode(F.array("band", F.col("band") + 1))).alias("x")
     ordered = F.struct(F.col("x.n"), F.col("x.cls")) < F.struct(F.col("y.n"), F.col("y.cls"))
-    same_width = F.col("x.width") == F.col("y.width")
     fits = (100 * F.col("x.n") >= MIN_PERCENT * F.col("y.n")) & (F.col("x.comp") != F.col("y.comp")) & ordered
     tiles = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.band") == F.col("y.band"))
-    met = guest.join(home, tiles & fits & (~same_width | _may_link_by_summary("x", "y")))
+    met = guest.join(home, tiles & fits & _may_link_by_summary("x", "y"))
     return settle(met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct())
 
 
@@ -234,7 +234,7 @@ def _components(corpus: _Corpus) -> DataFrame:
     best = partners.groupBy("cls").agg(F.max_by("low", F.struct("count", "low")).alias("b")).select(F.col("cls").alias("a"), "b")
     best = settle(best)
     release_shuffles(corpus.docs.sparkSession)
-    links = corpus.verified(best)
+    links = corpus.verified(best, many=True)
     release_shuffles(corpus.docs.sparkSession)
     roots = connected(links)
 
@@ -242,7 +242,7 @@ def _components(corpus: _Corpus) -> DataFrame:
     placed = settle(placed.select("shingle", "cls", F.coalesce("root", "cls").alias("comp")).distinct())
     mixed = placed.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter(F.col("low") < F.col("high"))
     rows = placed.join(mixed.select("shingle"), "shingle")
-    more = corpus.verified(_across(rows, corpus.classes))
+    more = corpus.verified(_across(rows, corpus.classes), many=False)
     return connected(links.unionByName(more))
 
 

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sandboxlake.llm import jaccard, line_dedup, mixing, packing, quality, sharding
+from sandboxlake.llm import (
+    jaccard, line_dedup, lm_scoring, mixing, packing, probing, quality, sharding, surrogates, token_counts,
+)
 from sandboxlake.llm.columns import text_crc32
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +95,31 @@ def op6(docs: DataFrame) -> DataFrame:
 """)
 def op10(docs: DataFrame) -> DataFrame:
     return line_dedup.dedup_lines(docs.select("doc_id", "text"), removed="removed_lines")
+
+
+@_query("op3_masked_pseudo_likelihood", "documents")
+def op3(docs: DataFrame) -> DataFrame:
+    return lm_scoring.score_documents(docs)
+
+
+@_query("op4_surrogate_generation", "documents")
+def op4(docs: DataFrame) -> DataFrame:
+    return surrogates.replace_entities(docs.select("doc_id", "text"), counted="n_mentions")
+
+
+@_query("op5_multiprobe_search", "embeddings")
+def op5(vectors: DataFrame) -> DataFrame:
+    return probing.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
+@_query("op7_edit_aware_counts", "documents")
+def op7(docs: DataFrame) -> DataFrame:
+    """Token counts of all documents, and their counts after a cleaning step has edited them."""
+    trees = token_counts.with_trees(docs.select("doc_id", "text"), "tree")
+    edits = token_counts.clean_up_edits(F.col("text"))
+    changed = token_counts.apply_edits(trees, edits, "tree", "changed")
+    return changed.select(
+        "doc_id", token_counts.n_tokens(F.col("tree")).alias("n_tokens"), F.size(edits).cast("long").alias("n_edits"),
+        token_counts.n_tokens(F.col("changed")).alias("n_tokens_after"), F.col("changed.encoded_chars").alias("encoded_chars"),
+        text_crc32(F.col("changed.text")).alias("text_crc32_after"),
+    )
