@@ -7,7 +7,8 @@ the one in the document with the smallest id, and there the one nearest to the t
 removed stays somewhere: its first occurrence in any repeated window is covered by no later one.
 
 Windows are counted with a map-side step (a window may occur in a third of all documents), and what
-comes back to a document is bounded by its own lines.
+comes back to a document is bounded by its own lines.  Both joins shuffle whatever the size: what they join
+grows with the corpus, so a plan that broadcasts it while it is small is no measure of larger inputs.
 
 Defined results: null texts stay null and empty ones empty; texts of fewer than three lines stay as they
 are; rows that repeat id and text count once and are cleaned alike; of documents with one id and different
@@ -43,7 +44,7 @@ def later_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         windows.groupBy("h", "g").agg(F.min(order).alias("first"), F.max(order).alias("final"))
         .filter(F.col("first") < F.col("final")).select("h", "g", "first")
     )
-    later = windows.join(repeated, ["h", "g"]).filter(F.col("first") < order)
+    later = windows.join(repeated.hint("merge"), ["h", "g"]).filter(F.col("first") < order)
     return later.groupBy("doc", "mark").agg(F.collect_set("at").alias("ats"))
 
 
@@ -53,7 +54,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", remove
     found = settle(later_windows(docs, key, text)).select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("ats").alias(names["ats"]))
     marked = docs.withColumn(names["mark"], F.xxhash64(F.col(f"`{text}`")))
     same = F.col(f"`{key}`").eqNullSafe(F.col("_doc")) & (F.col(names["mark"]) == F.col("_mark"))
-    joined = marked.join(found, same, "left")
+    joined = marked.join(found.hint("merge"), same, "left")
     covered = F.array_distinct(F.flatten(F.transform(names["ats"], lambda a: F.sequence(a, a + (WINDOW_LINES - 1)))))
     cut = joined.withColumn(names["gone"], F.coalesce(covered, F.array().cast("array<int>")))
     stays = F.filter(F.split(f"`{text}`", "\n"), lambda line, i: ~F.array_contains(names["gone"], i))
