@@ -30,7 +30,7 @@ def as_of(
     if version is not None:
         log = log.filter(F.col("commit_version") <= F.lit(version))
     if timestamp is not None:
-        bound = F.lit(timestamp).cast(log.schema["commit_ts"].dataType) if isinstance(timestamp, str) else timestamp
+        bound = F.lit(timestamp).cast("timestamp").cast(log.schema["commit_ts"].dataType) if isinstance(timestamp, str) else timestamp
         log = log.filter(F.col("commit_ts") <= bound)
     newest = W.partitionBy(*keys).orderBy(F.col("commit_version").desc())
     rows = (

@@ -119,12 +119,12 @@ def status_counts(objects: DataFrame) -> DataFrame:
     )
 
 
-def recent_audit(audit: DataFrame, n: int = fixed.AUDIT_LIST_LIMIT) -> DataFrame:
+def recent_audit(audit: DataFrame, n: int) -> DataFrame:
     """The newest ``n`` audit rows of every request, ranked; ties go by log id."""
     return ranked_rows(audit, ["dr_id"], [F.col("performed_at").desc(), F.col("log_id")], n)
 
 
-def audit_of_request(audit: DataFrame, dr_id: str, n: int = fixed.AUDIT_LIST_LIMIT) -> DataFrame:
+def audit_of_request(audit: DataFrame, dr_id: str, n: int) -> DataFrame:
     return audit.filter(F.col("dr_id") == dr_id).orderBy(F.col("performed_at").desc(), "log_id").limit(n)
 
 
@@ -134,9 +134,9 @@ def audit_by_action(audit: DataFrame, action: str) -> DataFrame:
 
 
 def audit_kept(audit: DataFrame, now: str, days: int = fixed.AUDIT_RETENTION_DAYS) -> DataFrame:
-    """Audit rows that survive a purge."""
+    """Audit rows that survive a purge; those without a time do."""
     oldest = F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(days)} DAYS")
-    return audit.filter(F.col("performed_at") >= oldest)
+    return audit.filter(F.col("performed_at").isNull() | (F.col("performed_at") >= oldest))
 
 
 def configs_newest_first(configs: DataFrame) -> DataFrame:

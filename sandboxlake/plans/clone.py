@@ -100,7 +100,7 @@ def _bound(spark: SparkSession, table: str, mode: str, value: str | None) -> str
         return f"commit_version <= {int(value)}"
     if mode == "timestamp" and value is not None:
         kind = spark.table(table).schema["commit_ts"].dataType.simpleString()
-        return "commit_ts <= CAST('{}' AS {})".format(value.replace("'", ""), kind)
+        return "commit_ts <= CAST(CAST('{}' AS TIMESTAMP) AS {})".format(value.replace("'", ""), kind)
     raise CloneError(f"unknown revision {mode!r} {value!r}")
 
 

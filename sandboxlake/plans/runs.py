@@ -131,7 +131,7 @@ def provision(
         wanted = plan.select(
             "dr_id", F.col("source_fqn").alias("fqn"), F.col("clone_revision_mode").alias("rev_mode"),
             F.when(F.col("clone_revision_mode") == "version", F.col("clone_revision_value").try_cast("bigint")).alias("rev_version"),
-            F.when(F.col("clone_revision_mode") == "timestamp", F.col("clone_revision_value").try_cast("timestamp_ntz")).alias("rev_ts"),
+            F.when(F.col("clone_revision_mode") == "timestamp", F.col("clone_revision_value").try_cast("timestamp").cast("timestamp_ntz")).alias("rev_ts"),
         ).distinct()
         warnings = retention_violations(wanted, commits)
 
@@ -194,24 +194,23 @@ def refresh(
     checked = lifecycle.with_eligibility(state.of_requests("requests", wanted), now[:10])
     rejected = checked.filter(F.col("reason").isNotNull()).select("dr_id", "reason")
     go = settle(checked.filter(F.col("reason").isNull()).select("dr_id"))
-    targets = lifecycle.refresh_targets(state.of_requests("objects", go), mode, selected)
+    stored = settle(lifecycle.refresh_targets(state.of_requests("objects", go), mode, selected))
     rev_mode, rev_value = revision or ("latest", None)
-    targets = settle(
-        targets.withColumn("clone_revision_mode", F.lit(rev_mode))
-        .withColumn("clone_revision_value", F.lit(rev_value).cast("string"))
+    targets = stored.withColumn("clone_revision_mode", F.lit(rev_mode)).withColumn(
+        "clone_revision_value", F.lit(rev_value).cast("string")
     )
     warnings = None
     if commits is not None and rev_mode != "latest":
         asked = targets.select(
             "dr_id", F.col("source_fqn").alias("fqn"), F.lit(rev_mode).alias("rev_mode"),
             F.lit(rev_value if rev_mode == "version" else None).cast("bigint").alias("rev_version"),
-            F.lit(rev_value if rev_mode == "timestamp" else None).cast("timestamp_ntz").alias("rev_ts"),
+            F.lit(rev_value if rev_mode == "timestamp" else None).cast("timestamp").cast("timestamp_ntz").alias("rev_ts"),
         ).distinct()
         warnings = retention_violations(asked, commits)
 
     done = refresh_all(sandbox, targets, mode == "full")
-    # A failed refresh leaves the row as it was; a good one is provisioned and stamped.
-    state.append("objects", _copied(targets, done.filter("success"), now), now)
+    # A failed refresh leaves the row as it was; a good one is provisioned and stamped and keeps its own revision.
+    state.append("objects", _copied(stored, done.filter("success"), now), now)
     _stamp_requests(state, done, {"last_refreshed_at": _at(now)}, now)
     status = settle(results.run_status(go, done))
     detail = F.struct(

@@ -7,13 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sandboxlake import fixed
 from sandboxlake.operators.classify import edge_facts, from_facts, listed_facts, merge_facts
 from sandboxlake.operators.manifest import manifest_headers, non_prod_additional, with_sizes
 from sandboxlake.operators.resolve import resolve_streams, scannable_requests
 from sandboxlake.plans.copy_plan import net_new_objects
 from sandboxlake.session import settle
-from sandboxlake.sources.lineage import edge_counts, edges_worth_reading, enrichment_edges, first_edges
+from sandboxlake.sources.lineage import edge_counts, enrichment_edges, first_edges, lineage_scan
 from sandboxlake.sources.sizes import table_sizes
 
 
@@ -34,15 +33,18 @@ def members_of(streams: DataFrame, inventory: DataFrame) -> DataFrame:
     return settle(resolved.join(go, "dr_id", "left_semi").select("dr_id", "name", "resource_id", "task_keys"))
 
 
-def edge_facts_of(lineage: DataFrame, members: DataFrame, row_limit: int) -> tuple[DataFrame, DataFrame]:
+def edge_facts_of(lineage: DataFrame, members: DataFrame, row_limit: int | None) -> tuple[DataFrame, DataFrame]:
     """Folded edges per request, and (dr_id, row_limit_hit).
 
     Edges are folded per entity before they meet the requests that share the entity.
     """
     ids = members.select("dr_id", F.col("resource_id").alias("entity_id")).distinct()
+    if row_limit is None:
+        folded = edge_facts(lineage_scan(lineage, ids), ["entity_id"])
+        return folded.join(ids, "entity_id").drop("entity_id"), ids.select("dr_id", F.lit(False).alias("row_limit_hit")).distinct()
     marked = settle(ids.join(edge_counts(lineage, ids, row_limit).select("dr_id", "row_limit_hit"), "dr_id"))
     within = marked.filter(~F.col("row_limit_hit")).drop("row_limit_hit")
-    folded = edge_facts(edges_worth_reading(lineage, within), ["entity_id"])
+    folded = edge_facts(lineage_scan(lineage, within), ["entity_id"])
     facts = folded.join(within, "entity_id").drop("entity_id")
     over = first_edges(lineage, marked.filter("row_limit_hit"), row_limit)
     return facts.unionByName(edge_facts(over, ["dr_id"])), marked.select("dr_id", "row_limit_hit").distinct()
@@ -55,11 +57,12 @@ def scan(
     additional: DataFrame,
     metadata: DataFrame,
     enrichment: DataFrame | None = None,
-    row_limit: int = fixed.LINEAGE_ROW_LIMIT,
+    row_limit: int | None = None,
 ) -> Scan:
     """Scan every request in ``streams`` (dr_id, name) whose names all resolve.
 
     ``additional`` is (dr_id, fqn), ``metadata`` the table sizes, ``enrichment`` the curated edges.
+    All edges are read unless the caller gives a ``row_limit`` per request; the headers tell who was over it.
     """
     members = members_of(streams, inventory)
     listed = additional.join(members.select("dr_id").distinct(), "dr_id", "left_semi")
@@ -80,7 +83,7 @@ def scan(
 
 def stream_additions(
     lineage: DataFrame, streams: DataFrame, inventory: DataFrame, objects: DataFrame,
-    row_limit: int = fixed.LINEAGE_ROW_LIMIT,
+    row_limit: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Objects that added streams (dr_id, name) bring to their requests, and (dr_id, resolved).
 

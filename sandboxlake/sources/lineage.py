@@ -5,12 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sandboxlake import fixed
 from sandboxlake.operators.topn import first_rows
 
-# Ids up to this number are filtered with a broadcast (some 50 MB).
-MAX_BROADCAST_IDS = 500_000
-
 EDGE_COLUMNS = (
     "source_table_full_name", "target_table_full_name", "source_type", "target_type", "entity_id", "edge_seq",
 )
@@ -22,15 +18,14 @@ def lineage_scan(lineage: DataFrame, entity_ids: DataFrame) -> DataFrame:
     return lineage.select(*EDGE_COLUMNS).join(wanted, "entity_id", "left_semi").select(*EDGE_COLUMNS)
 
 
-def edge_counts(
-    lineage: DataFrame, members: DataFrame, row_limit: int = fixed.LINEAGE_ROW_LIMIT
-) -> DataFrame:
+def edge_counts(lineage: DataFrame, members: DataFrame, row_limit: int) -> DataFrame:
     """(dr_id, edges, row_limit_hit) for members (dr_id, entity_id).
 
     Edges are counted per entity from that one column, before anything is joined; requests only add
     up those counts.
     """
-    per_entity = lineage.groupBy("entity_id").agg(F.count(F.lit(1)).alias("edges"))
+    wanted = members.select("entity_id").distinct()
+    per_entity = lineage.select("entity_id").join(wanted, "entity_id", "left_semi").groupBy("entity_id").agg(F.count(F.lit(1)).alias("edges"))
     return (
         members.select("dr_id", "entity_id").distinct().join(per_entity, "entity_id")
         .groupBy("dr_id").agg(F.sum("edges").alias("edges"))
@@ -38,21 +33,7 @@ def edge_counts(
     )
 
 
-def edges_worth_reading(lineage: DataFrame, entity_ids: DataFrame) -> DataFrame:
-    """Lineage edges, without those of other entities as long as the wanted ids fit into a broadcast.
-
-    ``entity_ids`` is counted for that, so it should be a settled frame.  Beyond the bound nothing is
-    filtered here: joining on the entity before the edges are folded would put all edges of a hot
-    entity into one task, and the join after the folding drops the others anyway.
-    """
-    edges = lineage.select(*EDGE_COLUMNS)
-    ids = entity_ids.select("entity_id").distinct()
-    if ids.count() <= MAX_BROADCAST_IDS:
-        return edges.join(F.broadcast(ids), "entity_id", "left_semi")
-    return edges
-
-
-def first_edges(lineage: DataFrame, members: DataFrame, row_limit: int = fixed.LINEAGE_ROW_LIMIT) -> DataFrame:
+def first_edges(lineage: DataFrame, members: DataFrame, row_limit: int) -> DataFrame:
     """The first ``row_limit`` edges of each request, in ``edge_seq`` order.
 
     An edge that comes later than that within its own entity cannot be among the first of any
@@ -65,13 +46,14 @@ def first_edges(lineage: DataFrame, members: DataFrame, row_limit: int = fixed.L
     return first_rows(edges, ["dr_id"], order, row_limit)
 
 
-def lineage_of_requests(
-    lineage: DataFrame, members: DataFrame, row_limit: int = fixed.LINEAGE_ROW_LIMIT
-) -> DataFrame:
-    """Edges per request, at most ``row_limit`` each, with ``row_limit_hit``.
+def lineage_of_requests(lineage: DataFrame, members: DataFrame, row_limit: int | None = None) -> DataFrame:
+    """Edges per request, with ``row_limit_hit``; all of them unless the caller gives a ``row_limit`` per request.
 
     Only requests over the limit go through an ordering; all others are a plain join.
     """
+    if row_limit is None:
+        every = lineage.select(*EDGE_COLUMNS).join(members.select("dr_id", "entity_id").distinct(), "entity_id")
+        return every.select("dr_id", *EDGE_COLUMNS, F.lit(False).alias("row_limit_hit"))
     marked = members.select("dr_id", "entity_id").distinct().join(
         edge_counts(lineage, members, row_limit).select("dr_id", "row_limit_hit"), "dr_id"
     )
@@ -80,7 +62,7 @@ def lineage_of_requests(
     return within.select("dr_id", *EDGE_COLUMNS, "row_limit_hit").unionByName(over)
 
 
-def lineage_limited(lineage: DataFrame, row_limit: int = fixed.LINEAGE_ROW_LIMIT) -> tuple[DataFrame, bool]:
+def lineage_limited(lineage: DataFrame, row_limit: int) -> tuple[DataFrame, bool]:
     """The first ``row_limit`` edges of one scan, and whether there were more."""
     edges = lineage.select(*EDGE_COLUMNS)
     more = edges.limit(row_limit + 1).count() > row_limit

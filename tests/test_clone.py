@@ -162,7 +162,10 @@ def test_life_of_a_request(box, state, frame, tmp_path):
     assert rows(again.rejected) == [("DR-5",)] and again.status.count() == 0
 
     grow(box, tmp_path)
+    asked = ("source_fqn", "clone_revision_mode", "clone_revision_value")
+    before = rows(state.current("objects"), *asked)
     fresh = runs.refresh(box, state, request(frame), "incremental", "2026-01-02 00:00:00")
+    assert rows(state.current("objects"), *asked) == before
     assert rows(fresh.status, "audit_status", "succeeded", "failed") == [("PARTIAL_SUCCESS", 1, 1)] and table(box, target).count() == 8
     late = runs.refresh(box, state, request(frame), "full", "2026-03-02 00:00:00")
     assert rows(late.rejected) == [("DR-5", "expired")]

@@ -102,6 +102,12 @@ def test_row_limit_per_request(frame):
     assert sorted(r[0] for r in rows(got.filter("dr_id = 'b'"), "source_table_full_name")) == [f"s{i}" for i in range(6)]
 
 
+def test_no_edge_is_cut_unless_asked(frame):
+    e = edges(frame, *[(f"s{i}", None, None, None, "j1") for i in range(10)])
+    got = lineage.lineage_of_requests(e, frame("dr_id string, entity_id string", ("a", "j1"), ("b", "j1"), ("b", "none")))
+    assert rows(got.groupBy("dr_id", "row_limit_hit").count()) == [("a", False, 10), ("b", False, 10)]
+
+
 def test_row_limit_above_map_side_cut(frame, spark):
     e = spark.range(5000).select(
         F.concat(F.lit("s"), "id").alias("source_table_full_name"), F.lit(None).cast("string").alias("target_table_full_name"),
@@ -139,6 +145,11 @@ def test_scan(frame, spark):
     assert rows(s.non_prod) == [("DR-1", "other.s.x")]
 
 
+def test_scan_without_a_limit(frame, spark):
+    limited, whole = scanned(frame, spark), scanned(frame, spark, None)
+    assert rows(whole.objects) == rows(limited.objects) and rows(whole.headers) == rows(limited.headers)
+
+
 def test_scan_over_the_limit_asks_for_review(frame, spark):
     s = scanned(frame, spark, 2)
     assert rows(s.headers, "dr_id", "review_required", "lineage_row_limit_hit") == [("DR-1", True, True), ("DR-3", False, False)]

@@ -27,6 +27,7 @@ def test_as_of(log):
     assert rows(asof.as_of(log, ["k"])) == [("a", 2), ("c", 9)]
     assert rows(asof.as_of(log, ["k"], version=3)) == [("a", 2), ("b", 1)]
     assert rows(asof.as_of(log, ["k"], timestamp="2026-01-01 12:00:00")) == [("a", 1)]
+    assert rows(asof.as_of(log, ["k"], timestamp="2026-01-01T17:00:00+05:00")) == [("a", 1)]
     assert rows(asof.as_of(log, ["k"], version=0)) == []
     with pytest.raises(ValueError):
         asof.as_of(log, ["k"], version=1, timestamp="2026-01-01")

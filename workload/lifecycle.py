@@ -151,7 +151,7 @@ def audit_recent(t: Tables) -> DataFrame:
 
 @query("audit_of_request", "SELECT * FROM fx_audit WHERE dr_id = 'DR-7' ORDER BY performed_at DESC, log_id LIMIT 500")
 def _(t: Tables) -> DataFrame:
-    return lifecycle.audit_of_request(t.view("fx_audit"), "DR-7")
+    return lifecycle.audit_of_request(t.view("fx_audit"), "DR-7", fixed.AUDIT_LIST_LIMIT)
 
 
 @query("audit_by_action", "SELECT * FROM fx_audit WHERE action = 'REFRESH' ORDER BY performed_at DESC, log_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sandboxlake import fixed
 from sandboxlake.operators import approvals, classify as classifying, manifest, resolve, validate
 from sandboxlake.plans.scan import scan
 from sandboxlake.sources import commits, documents, inventory, lineage, sizes
@@ -66,7 +67,7 @@ def _(t: Tables) -> DataFrame:
     FROM (SELECT * FROM fx_edges ORDER BY {EDGE_ORDER} LIMIT 10000)""",
 )
 def _(t: Tables) -> DataFrame:
-    edges, more = lineage.lineage_limited(t.view("fx_edges"))
+    edges, more = lineage.lineage_limited(t.view("fx_edges"), fixed.LINEAGE_ROW_LIMIT)
     return edges.withColumn("row_limit_hit", F.lit(more))
 
 
