@@ -8,8 +8,9 @@ sets has, so counting bits bounds the overlap from above.  What passes is decide
 sorted sets.
 
 Groups of near copies would make a tile quadratic.  So each class is first linked with the one it shares
-most tiles with, and the components of those links are found; afterwards only pairs between different
-components are examined, as any other pair cannot change a component.  Shingles that a 64th of the
+most tiles with among the first ones of its tiles, then, where tiles still hold several components, with those
+by six other orders; afterwards only pairs between different components are examined, as any other pair
+cannot change a component.  Shingles that a 64th of the
 documents shows to be very frequent come last in the order.  Every order finds every link, so that sample
 decides about time only.
 
@@ -40,6 +41,7 @@ FREQUENT = 4  # a shingle in so many of them comes last
 MOST_FREQUENT = 500_000  # of those, as many are told to the tasks: four megabytes; the others keep their place
 _SUMMARY_WORDS = 8
 _LEAST_BITS = 64 * _SUMMARY_WORDS
+_ORDERS = [int(v) for v in texts.mix(np.arange(7, dtype=np.uint64)).view(np.int64)]  # the first changes nothing
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -177,7 +179,7 @@ class _Corpus:
         """The pairs (a, b) of classes that link; ``many``: a good part of all classes are in pairs.
 
         Then texts and classes are both shuffled whatever the size, so that the plan does not change
-        where the list of classes outgrows a broadcast.
+        where the list of classes outgrows a broadcast; texts stream by the classes of their partition unsorted.
         """
         sized = self.classes.select("cls", "n", "bits")
         a, b = (sized.select(*[F.col(c).alias(f"{c}_{x}") for c in sized.columns]) for x in "ab")
@@ -185,7 +187,7 @@ class _Corpus:
         possible = settle(close.filter(_may_link("n_a", "n_b", "bits_a", "bits_b")).select("a", "b", "n_a", "n_b"))
         needed = possible.select(F.col("a").alias("cls")).unionByName(possible.select(F.col("b").alias("cls"))).distinct()
         named = settle(needed.join(self.classes.select("cls", F.col("doc").alias("of")), "cls"))  # its size is then known to the join
-        own = self.docs.join(named.hint("merge") if many else named, F.col("doc").eqNullSafe(F.col("of")))
+        own = self.docs.join(named.hint("shuffle_hash") if many else named, F.col("doc").eqNullSafe(F.col("of")))
         sets = (
             own.select("cls", _shingles("text").alias("s")).filter(F.col("s.cls") == F.col("cls"))
             .groupBy("cls").agg(F.first("s.items").alias("items"))
@@ -218,30 +220,49 @@ def _across(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return settle(met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct())
 
 
+def _partners(met: DataFrame, orders: list[int]) -> DataFrame:
+    """(a, b): for each class and order of classes, the first class of a tile that it shares most tiles with.
+
+    An order is that of the class ids with some bits flipped, so that the first of a tile is a minimum of numbers
+    with a map-side step.
+    """
+    firsts = met.groupBy("shingle").agg(*[F.min(F.col("cls").bitwiseXOR(F.lit(o))).alias(f"h{k}") for k, o in enumerate(orders)])
+    heads = F.array(*[F.struct(F.lit(k).alias("order"), F.col(f"h{k}").bitwiseXOR(F.lit(o)).alias("b")) for k, o in enumerate(orders)])
+    both = met.join(settle(firsts.select("shingle", heads.alias("heads"))), "shingle").select(F.col("cls").alias("a"), F.explode("heads").alias("h"))
+    counted = both.select("a", "h.*").filter(F.col("a") != F.col("b")).groupBy("a", "order", "b").count()
+    return settle(counted.groupBy("a", "order").agg(F.max_by("b", F.struct("count", "b")).alias("b")).select("a", "b").distinct())
+
+
+def _open_tiles(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(shingle, cls, comp) of the tiles in which classes of different components meet."""
+    placed = met.select("shingle", "cls").join(roots, F.col("cls") == F.col("node"), "left")
+    placed = settle(placed.select("shingle", "cls", F.coalesce("root", "cls").alias("comp")).distinct())
+    mixed = placed.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter(F.col("low") < F.col("high"))
+    return placed.join(mixed.select("shingle"), "shingle")
+
+
 def _components(corpus: _Corpus) -> DataFrame:
     """(node, root) of the classes that link with another one."""
+    spark = corpus.docs.sparkSession
     first = _first_shingles(_frequent(corpus.docs, "text"))
     listed = corpus.docs.select(first("text").alias("s"))
     shared = settle(
         listed.select(F.explode("s.items").alias("shingle")).groupBy("shingle").count().filter(F.col("count") > 1).select("shingle")
     )
+    release_shuffles(spark)
     met = settle(listed.select("s.cls", F.explode("s.items").alias("shingle")).join(shared, "shingle"))
-    least = settle(
-        met.groupBy("shingle").agg(F.min("cls").alias("low"), F.max("cls").alias("high"))
-        .filter(F.col("low") < F.col("high")).select("shingle", "low")
-    )
-    partners = met.join(least, "shingle").filter(F.col("cls") != F.col("low")).groupBy("cls", "low").count()
-    best = partners.groupBy("cls").agg(F.max_by("low", F.struct("count", "low")).alias("b")).select(F.col("cls").alias("a"), "b")
-    best = settle(best)
-    release_shuffles(corpus.docs.sparkSession)
-    links = corpus.verified(best, many=True)
-    release_shuffles(corpus.docs.sparkSession)
-    roots = connected(links)
-
-    placed = met.join(least.select("shingle"), "shingle").join(roots, F.col("cls") == F.col("node"), "left")
-    placed = settle(placed.select("shingle", "cls", F.coalesce("root", "cls").alias("comp")).distinct())
-    mixed = placed.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter(F.col("low") < F.col("high"))
-    rows = placed.join(mixed.select("shingle"), "shingle")
+    release_shuffles(spark)
+    pairs = _partners(met, _ORDERS[:1])
+    release_shuffles(spark)
+    links = corpus.verified(pairs, many=True)
+    release_shuffles(spark)
+    # a group of near copies may still be in many components: other partners join most of them
+    tiles = settle(_open_tiles(met, connected(links)))
+    pairs = _partners(tiles, _ORDERS[1:])
+    release_shuffles(spark)
+    links = settle(links.unionByName(corpus.verified(pairs, many=True)))
+    release_shuffles(spark)
+    rows = _open_tiles(tiles, connected(links))
     more = corpus.verified(_across(rows, corpus.classes), many=False)
     return connected(links.unionByName(more))
 
