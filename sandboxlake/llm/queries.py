@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sandboxlake.llm import (
-    jaccard, line_dedup, lm_scoring, mixing, packing, probing, quality, sharding, surrogates, token_counts,
+    jaccard, line_dedup, lm_scoring, mixing, packing, prefix_trie, probing, quality, sharding, surrogates, token_counts,
 )
 from sandboxlake.llm.columns import text_crc32
 
@@ -123,3 +123,42 @@ def op7(docs: DataFrame) -> DataFrame:
         token_counts.n_tokens(F.col("changed")).alias("n_tokens_after"), F.col("changed.encoded_chars").alias("encoded_chars"),
         text_crc32(F.col("changed.text")).alias("text_crc32_after"),
     )
+
+
+@_query("op12_prefix_trie", "conversations", r"""
+    WITH crc AS (  -- CRC-32 by its polynomial: a step takes in one byte, or shifts by one bit (-1)
+        SELECT conv_id, xor(4294967295, list_reduce(
+            [4294967295] || flatten([[ascii(d), -1, -1, -1, -1, -1, -1, -1, -1] FOR d IN string_split(conv_id::VARCHAR, '')]),
+            lambda crc, step: CASE WHEN step >= 0 THEN xor(crc, step) WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384) ELSE crc // 2 END
+        )) % 4 AS h FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)
+    ), turns AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), whole AS (
+        SELECT crc.conv_id, place, role, text FROM crc JOIN turns ON turns.conv_id = crc.conv_id - crc.conv_id % 20 WHERE place <= h
+        UNION ALL SELECT crc.conv_id, place, role, text FROM crc JOIN turns USING (conv_id) WHERE place > h
+    ), rebuilt AS (
+        SELECT conv_id, row_number() OVER w AS depth, list(md5(length(role)::VARCHAR || ':' || role || text)) OVER w AS path,
+               len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words
+        FROM whole WINDOW w AS (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING)
+    ), prefixes AS (
+        SELECT conv_id, depth, array_to_string(path, '') AS key, array_to_string(path[:-2], '') AS above, words FROM rebuilt
+        UNION ALL SELECT conv_id, 0, '', NULL, 0 FROM crc
+    ), lengths AS (SELECT conv_id, max(depth) AS last FROM prefixes GROUP BY conv_id),
+    nodes AS (
+        SELECT key, any_value(above) AS above, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+               sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = last), '')) AS ends_sha256
+        FROM prefixes JOIN lengths USING (conv_id) GROUP BY key
+    ), children AS (SELECT above AS key, count(*) AS n_children FROM nodes WHERE above IS NOT NULL GROUP BY above),
+    own AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * words AS saved FROM nodes LEFT JOIN children USING (key)),
+    below AS (
+        SELECT p.key, sum((o.n_children = 0)::INT) AS n_leaves, sum(o.saved) AS saved_tokens
+        FROM own o JOIN prefixes p ON p.conv_id = o.conv_id AND p.depth <= o.depth GROUP BY p.key
+    )
+    SELECT own.conv_id, own.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, own.n_convs::BIGINT AS n_convs, own.n_children::BIGINT AS n_children,
+           n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, own.ends_sha256
+    FROM own JOIN below USING (key) LEFT JOIN nodes up ON up.key = own.above
+""")
+def op12(conversations: DataFrame) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(conversations))
