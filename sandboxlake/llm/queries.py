@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sandboxlake.llm import (
-    jaccard, line_dedup, lm_scoring, mixing, packing, prefix_trie, probing, quality, sharding, surrogates, token_counts,
+    jaccard, line_dedup, lm_scoring, mixing, packing, prefix_trie, probing, quality, secret_scan, sharding, surrogates, token_counts,
 )
 from sandboxlake.llm.columns import text_crc32
 
@@ -162,3 +162,8 @@ def op7(docs: DataFrame) -> DataFrame:
 """)
 def op12(conversations: DataFrame) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.rebuilt(conversations))
+
+
+@_query("op11_randomness_battery", "documents")
+def op11(docs: DataFrame) -> DataFrame:
+    return secret_scan.secrets_by_row(docs.select("doc_id", "text"))
