@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sandboxlake.llm import (
-    jaccard, line_dedup, lm_scoring, mixing, packing, prefix_trie, probing, quality, secret_scan, sharding, surrogates, token_counts,
+    jaccard, line_dedup, lm_scoring, mixing, packing, prefix_trie, probing, quality, secret_scan, sharding, spelling, surrogates,
+    token_counts,
 )
 from sandboxlake.llm.columns import text_crc32
 
@@ -167,3 +168,44 @@ def op12(conversations: DataFrame) -> DataFrame:
 @_query("op11_randomness_battery", "documents")
 def op11(docs: DataFrame) -> DataFrame:
     return secret_scan.secrets_by_row(docs.select("doc_id", "text"))
+
+
+@_query("op13_spelling_variants", "documents", r"""
+    WITH RECURSIVE runs AS (
+        SELECT DISTINCT doc_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]{5,}')) AS run FROM documents
+    ), hexed AS (SELECT doc_id, run, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS bytes FROM runs),
+    hashed AS (  -- CRC-32 by its polynomial: a step takes in one byte, or shifts by one bit (-1)
+        SELECT doc_id, run, xor(4294967295, list_reduce(
+            [4294967295] || flatten([[('0x' || bytes[2 * i + 1 : 2 * i + 2])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR i IN range(0, len(bytes) // 2)]),
+            lambda crc, step: CASE WHEN step >= 0 THEN xor(crc, step) WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384) ELSE crc // 2 END
+        )) AS h FROM hexed
+    ), named AS (
+        SELECT doc_id, run, CASE WHEN h % 97 = 0 THEN run[: h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word FROM hashed
+    ), every AS (
+        SELECT doc_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]{5,}')) AS run FROM documents
+    ), words AS MATERIALIZED (
+        SELECT word, count(*) AS n FROM every e JOIN named m ON m.doc_id IS NOT DISTINCT FROM e.doc_id AND m.run = e.run
+        WHERE length(word) >= 5 GROUP BY word HAVING count(*) >= 3
+    ), cuts AS (SELECT word, i, word[: i - 1] || word[i + 1 :] AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+    near AS MATERIALIZED (
+        SELECT a.word, b.word AS near FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION SELECT a.word, b.word FROM cuts a JOIN words b ON a.rest = b.word
+        UNION SELECT b.word, a.word FROM cuts a JOIN words b ON a.rest = b.word
+    ), ranked AS (
+        SELECT near.word, near.near, o.n AS near_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+               row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, near.near) AS place
+        FROM near JOIN words o ON o.word = near.near
+    ), formed AS MATERIALIZED (
+        SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
+        FROM words LEFT JOIN ranked ON ranked.word = words.word AND place = 1
+    ), road AS (
+        SELECT word, word AS root, form FROM formed
+        UNION ALL SELECT road.word, formed.word, formed.form FROM road JOIN formed ON formed.word = road.form
+    )
+    SELECT word, n::BIGINT AS n, n_near::BIGINT AS n_near, formed.form, form_n::BIGINT AS form_n, root
+    FROM formed JOIN (SELECT word, root FROM road WHERE form IS NULL) USING (word)
+""")
+def op13(docs: DataFrame) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(docs.select("doc_id", "text")))
