@@ -133,10 +133,15 @@ def audit_by_action(audit: DataFrame, action: str) -> DataFrame:
     return audit.filter(F.col("action") == action).orderBy(F.col("performed_at").desc(), "log_id")
 
 
-def audit_kept(audit: DataFrame, now: str, days: int = fixed.AUDIT_RETENTION_DAYS) -> DataFrame:
-    """Audit rows that survive a purge; those without a time do."""
+def audit_stays(now: str, days: int = fixed.AUDIT_RETENTION_DAYS) -> Column:
+    """Whether an audit row survives a purge; one without a time does."""
     oldest = F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(days)} DAYS")
-    return audit.filter(F.col("performed_at").isNull() | (F.col("performed_at") >= oldest))
+    return F.coalesce(F.col("performed_at") >= oldest, F.lit(True))
+
+
+def audit_kept(audit: DataFrame, now: str, days: int = fixed.AUDIT_RETENTION_DAYS) -> DataFrame:
+    """Audit rows that survive a purge."""
+    return audit.filter(audit_stays(now, days))
 
 
 def configs_newest_first(configs: DataFrame) -> DataFrame:

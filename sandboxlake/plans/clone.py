@@ -16,13 +16,16 @@ from dataclasses import dataclass, field
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from sandboxlake import fixed, schemas
 from sandboxlake.operators.asof import COMMIT_COLUMNS
 from sandboxlake.session import shared_dir
-from sandboxlake.sources.files import remove_folder
+from sandboxlake.sources.files import claim_next, clock_tick, remove_folder
 
 OUTCOMES_PER_WRITE = 1000
+_STAGED, _RETIRED = "__staged_copy", "__retired_copy"  # behind the name of a target that is being replaced
+_READY = "copy_is_ready"
 
 
 class CloneError(Exception):
@@ -62,7 +65,11 @@ class Sandbox:
 
     def folder(self, fqn: str) -> str:
         """A new folder for one copy of an object."""
-        return f"{self.root}/data/{fqn.replace('.', '/')}/{uuid.uuid4().hex}"
+        return f"{self.home(fqn)}/{uuid.uuid4().hex}"
+
+    def home(self, fqn: str) -> str:
+        """The folder with all copies of an object, those being made or given up too."""
+        return f"{self.root}/data/{fqn.removesuffix(_STAGED).removesuffix(_RETIRED).replace('.', '/')}"
 
 
 # ---- schemas -----------------------------------------------------------------------------------
@@ -77,10 +84,15 @@ def drop_schema(sandbox: Sandbox, schema_fqn: str) -> None:
     sandbox.spark.sql(f"DROP SCHEMA IF EXISTS {sandbox.schema_name(schema_fqn)} CASCADE")
 
 
-def register_source(sandbox: Sandbox, fqn: str, path: str, commit_keys: str | None = None) -> None:
-    """Make a Parquet folder known as a source table."""
+def register_source(sandbox: Sandbox, fqn: str, path: str, commit_keys: str | None = None, row_keys: str | None = None) -> None:
+    """Make a Parquet folder known as a source table.
+
+    ``commit_keys`` are the keys of a commit-stamped table, ``row_keys`` those of a plain one: names with commas between.
+    """
     create_schema(sandbox, fqn.rsplit(".", 1)[0])
-    properties = f" TBLPROPERTIES ('commit_keys' = '{commit_keys}')" if commit_keys else ""
+    known = {"commit_keys": commit_keys, "row_keys": row_keys}
+    listed = ", ".join(f"'{k}' = '{v}'" for k, v in known.items() if v)
+    properties = f" TBLPROPERTIES ({listed})" if listed else ""
     sandbox.spark.sql(f"CREATE TABLE {sandbox.table_name(fqn)} USING parquet LOCATION '{path}'{properties}")
 
 
@@ -126,33 +138,49 @@ def source_query(sandbox: Sandbox, source_fqn: str, mode: str = "latest", value:
     raise CloneError(f"unknown revision {mode!r} {value!r}")
 
 
-def pinned_query(sandbox: Sandbox, source_fqn: str, mode: str = "latest", value: str | None = None) -> tuple[str, int]:
-    """SELECT that keeps showing what the source holds now, and the number of files it rests on.
+@dataclass(frozen=True)
+class Pin:
+    """The state of a source's files at a time: that time in milliseconds, and how many files and bytes were there."""
+
+    until: int
+    files: int
+    bytes: int
+
+    @property
+    def predicate(self) -> str:
+        return f"_metadata.file_modification_time <= timestamp_millis({self.until})"
+
 
-    The pin is a predicate: the newest commit of a commit-stamped table, or the newest file time of
-    a plain one.  Files and commits added later fall outside it, no list of files goes anywhere, and
-    the file predicate is applied when files are listed.
+def _files_until(spark: SparkSession, folder: str, until: int) -> tuple[int, int]:
+    """Number and bytes of the files dated up to a time.  Files are listed by Spark's tasks; none is opened."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("modificationTime", "length")
+    row = listed.filter(f"modificationTime <= timestamp_millis({until})").selectExpr("count(1) AS files", "coalesce(sum(length), 0) AS bytes").first()
+    return row["files"], row["bytes"]
+
+
+def pin_files(sandbox: Sandbox, source_fqn: str) -> Pin:
+    """Pin what the source's folder holds now.  Files that are written later are dated later, by the file system's own clock."""
+    spark = sandbox.spark
+    until = clock_tick(spark, sandbox.root)
+    return Pin(until, *_files_until(spark, _location(spark, sandbox.table_name(source_fqn)), until))
+
+
+def pinned_query(sandbox: Sandbox, source_fqn: str, mode: str = "latest", value: str | None = None) -> tuple[str, Pin | None]:
+    """SELECT that keeps showing what the source holds now, and the pin it rests on.
+
+    The pin is a predicate on the time of a file.  It comes from the file listing, so no row is read; later files fall
+    outside it, no list of files goes anywhere, and Spark applies it when it lists files.
     """
     spark, table = sandbox.spark, sandbox.table_name(source_fqn)
     keys = _property(spark, table, "commit_keys")
-    if keys:
-        bound = _bound(spark, table, mode, value) or "true"
-        newest, files = _extent(spark, table, f"max(commit_version) FILTER (WHERE {bound})")
-        pin = f"commit_version <= {newest if newest is not None else -1}"
-        return _as_of_query(table, spark.table(table).columns, keys, pin), files
-    if mode != "latest":
-        return source_query(sandbox, source_fqn, mode, value), 0
-    newest, files = _extent(spark, table, "unix_micros(max(_metadata.file_modification_time))")
-    pin = f"_metadata.file_modification_time <= timestamp_micros({newest if newest is not None else 0})"
-    return f"SELECT * FROM {table} WHERE {pin}", files
-
-
-def _extent(spark: SparkSession, table: str, newest: str, where: str = "true") -> tuple[int | None, int]:
-    """Newest commit or file time, and number of files, in one pass that reads no data columns but the commit."""
-    row = spark.sql(
-        f"SELECT {newest} AS newest, count(DISTINCT _metadata.file_path) AS files FROM {table} WHERE {where}"
-    ).first()
-    return row["newest"], row["files"]
+    if not keys and mode != "latest":
+        return source_query(sandbox, source_fqn, mode, value), None
+    pin = pin_files(sandbox, source_fqn)
+    if not keys:
+        return f"SELECT * FROM {table} WHERE {pin.predicate}", pin
+    bound = _bound(spark, table, mode, value)
+    wanted = pin.predicate if bound is None else f"{pin.predicate} AND {bound}"
+    return _as_of_query(table, spark.table(table).columns, keys, wanted), pin
 
 
 # ---- the four strategies -----------------------------------------------------------------------
@@ -183,8 +211,9 @@ def _point_table(sandbox: Sandbox, target: str, folder: str, rows: DataFrame, pa
     if parts or [(f.name, f.dataType) for f in spark.table(table).schema.fields] != [
         (f.name, f.dataType) for f in rows.schema.fields
     ]:
-        drop_object(sandbox, target)
-        _point_table(sandbox, target, folder, rows, parts)
+        drop_object(sandbox, target + _STAGED)
+        _point_table(sandbox, target + _STAGED, folder, rows, parts)
+        _swap_in(sandbox, target)
         return
     old = _location(spark, table)
     spark.sql(f"ALTER TABLE {table} SET LOCATION '{folder}'")
@@ -194,24 +223,86 @@ def _point_table(sandbox: Sandbox, target: str, folder: str, rows: DataFrame, pa
 
 
 def shallow_clone(sandbox: Sandbox, source: str, target: str, mode: str = "latest", value: str | None = None) -> None:
-    """Share the files of the source as they are now; later source files do not show."""
-    query, files = pinned_query(sandbox, source, mode, value)
-    sandbox.spark.sql(
-        f"CREATE OR REPLACE VIEW {sandbox.table_name(target)} "
-        f"TBLPROPERTIES ('pinned_files' = '{files}', 'pinned_source' = '{source}') AS {query}"
+    """Share the files of the source as they are now; later source files do not show.
+
+    The target can be written to (``write_clone``): its changes lie in a log of its own, which the view lays over the
+    pinned rows by key.  Where the source names no keys, rows can only be added.
+    """
+    spark, table = sandbox.spark, sandbox.table_name(source)
+    query, pin = pinned_query(sandbox, source, mode, value)
+    keys = _property(spark, table, "commit_keys") or _property(spark, table, "row_keys")
+    base = spark.sql(query)
+    log, old = sandbox.folder(target), _change_log(sandbox, target)
+    stamped = base.limit(0).selectExpr("*", "0L AS commit_version", "'' AS op")
+    stamped.write.parquet(log)  # an empty file, which carries the schema
+    known = {"pinned_source": source, "change_log": log, "change_keys": keys}
+    if pin:
+        known |= {"pinned_until": pin.until, "pinned_files": pin.files, "pinned_bytes": pin.bytes}
+    listed = ", ".join(f"'{k}' = '{v}'" for k, v in known.items() if v is not None)
+    spark.sql(
+        f"CREATE OR REPLACE VIEW {sandbox.table_name(target)} TBLPROPERTIES ({listed}) AS {_written_over(query, base.columns, log, keys)}"
     )
+    if old:
+        remove_folder(spark, sandbox.root, old)
+
+
+def _written_over(base: str, columns: list[str], log: str, keys: str | None) -> str:
+    """The rows of ``base`` with the newest change of each key laid over them."""
+    wanted = ", ".join(f"`{c}`" for c in columns)
+    if not keys:
+        return f"SELECT {wanted} FROM ({base}) UNION ALL SELECT {wanted} FROM parquet.`{log}`"
+    names = [k.strip(" `") for k in keys.split(",")]
+    listed = ", ".join(f"`{k}`" for k in names)
+    same = " AND ".join(f"b.`{k}` <=> c.`{k}`" for k in names)
+    newest = f"SELECT *, row_number() OVER (PARTITION BY {listed} ORDER BY commit_version DESC) AS _rn FROM parquet.`{log}`"
+    return (
+        f"SELECT {wanted} FROM ({base}) b LEFT ANTI JOIN (SELECT DISTINCT {listed} FROM parquet.`{log}`) c ON {same} "
+        f"UNION ALL SELECT {wanted} FROM ({newest}) WHERE _rn = 1 AND op <> 'delete'"
+    )
+
+
+def _change_log(sandbox: Sandbox, target: str) -> str | None:
+    table = sandbox.table_name(target)
+    return _property(sandbox.spark, table, "change_log") if sandbox.spark.catalog.tableExists(table) else None
+
+
+def write_clone(sandbox: Sandbox, target: str, rows: DataFrame, op: str = "upsert") -> int:
+    """Write to a shallow clone: upsert whole rows, or delete the rows with the keys of ``rows``.  The source is not touched.
+
+    Returns the number of the write.  Numbers are claimed, so of two writes of a key the one with the later number counts;
+    in one write, keys have to be unique.
+    """
+    spark = sandbox.spark
+    log = _change_log(sandbox, target)
+    if log is None:
+        raise CloneError(f"not a shallow clone: {target}")
+    if op not in ("upsert", "delete"):
+        raise CloneError(f"unknown change: {op!r}")
+    keys = _property(spark, sandbox.table_name(target), "change_keys")
+    if op == "delete" and not keys:
+        raise CloneError(f"the source of {target} names no keys, so rows can only be added")
+    fields = spark.table(sandbox.table_name(target)).schema.fields
+    needed = [f.name for f in fields] if op == "upsert" else [k.strip(" `") for k in keys.split(",")]
+    missing = set(needed) - set(rows.columns)
+    if missing:
+        raise CloneError(f"columns are missing: {', '.join(sorted(missing))}")
+    number = claim_next(spark, f"{log}/_versions")
+    rows.select(
+        *[(F.col(f"`{f.name}`") if f.name in needed else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields],
+        F.lit(number).cast("bigint").alias("commit_version"), F.lit(op).alias("op"),
+    ).write.mode("append").parquet(log)
+    return number
 
 
 def pin_is_whole(sandbox: Sandbox, target: str) -> bool:
-    """Whether the files a shallow clone rests on are all still there."""
+    """Whether a shallow clone still rests on the very files it was made of: as many of them, with as many bytes."""
     spark, view = sandbox.spark, sandbox.table_name(target)
+    until = _property(spark, view, "pinned_until")
+    if until is None:
+        return True
     source = sandbox.table_name(_property(spark, view, "pinned_source"))
-    pinned = int(_property(spark, view, "pinned_files"))
-    if _property(spark, source, "commit_keys"):
-        return _extent(spark, source, "max(1)")[1] >= pinned
-    text = spark.sql(f"SHOW CREATE TABLE {view}").first()[0]
-    pin = re.search(r"_metadata\.file_modification_time <= timestamp_micros\(\d+\)", text)
-    return pin is None or _extent(spark, source, "max(1)", pin.group(0))[1] >= pinned
+    pinned = int(_property(spark, view, "pinned_files")), int(_property(spark, view, "pinned_bytes"))
+    return _files_until(spark, _location(spark, source), int(until)) == pinned
 
 
 def check_pins(sandbox: Sandbox, objects: DataFrame) -> DataFrame:
@@ -244,38 +335,89 @@ _CLONES: dict[str, Callable] = {
 
 
 def clone_object(sandbox: Sandbox, row: Row) -> None:
-    """Make one copy-plan row real.  A target that is already there is an error, as for CREATE."""
+    """Make one copy-plan row real.
+
+    A target that is already there is an error, as for CREATE, unless the row says ``replaces``: that its request
+    owns the target.
+    """
     if row.clone_strategy not in _CLONES:
         raise CloneError(f"unknown clone strategy: {row.clone_strategy!r}")
     source = sandbox.table_name(row.source_fqn)
     target = sandbox.table_name(row.target_fqn)
     if not sandbox.spark.catalog.tableExists(source):
         raise CloneError(f"source does not exist: {row.source_fqn}")
+    if row.asDict().get("replaces"):
+        replace_object(sandbox, row)
+        return
     if sandbox.spark.catalog.tableExists(target):
         raise CloneError(f"target already exists: {row.target_fqn}")
-    _CLONES[row.clone_strategy](
-        sandbox, row.source_fqn, row.target_fqn, row.clone_revision_mode, row.clone_revision_value
-    )
+    _clone(sandbox, row, row.target_fqn)
+
+
+def _clone(sandbox: Sandbox, row: Row, target: str) -> None:
+    _CLONES[row.clone_strategy](sandbox, row.source_fqn, target, row.clone_revision_mode, row.clone_revision_value)
+
+
+# ---- replacing a target ------------------------------------------------------------------------
+
+
+def replace_object(sandbox: Sandbox, row: Row) -> None:
+    """Make a copy beside the target, then put it in the target's place.  If the copy fails, the target stays as it was.
+
+    What has been reached is told by names in the catalog, so a run that broke off is ended or undone by the next one:
+    a staged copy without its mark is unfinished, with it it is to take the target's place; a retired copy is
+    what the target was.
+    """
+    end_swap(sandbox, row.target_fqn)
+    _clone(sandbox, row, row.target_fqn + _STAGED)
+    _swap_in(sandbox, row.target_fqn)
+
+
+def _rename(sandbox: Sandbox, fqn: str, new: str) -> None:
+    """Rename a table or view; its data stay where they are."""
+    spark, table = sandbox.spark, sandbox.table_name(fqn)
+    kind = "VIEW" if spark.catalog.getTable(table).tableType == "VIEW" else "TABLE"
+    spark.sql(f"ALTER {kind} {table} RENAME TO {sandbox.table_name(new)}")
+
+
+def _swap_in(sandbox: Sandbox, target: str) -> None:
+    """Mark the staged copy of a target as whole, and put it in the target's place."""
+    spark, staged = sandbox.spark, sandbox.table_name(target + _STAGED)
+    kind = "VIEW" if spark.catalog.getTable(staged).tableType == "VIEW" else "TABLE"
+    spark.sql(f"ALTER {kind} {staged} SET TBLPROPERTIES ('{_READY}' = 'true')")
+    end_swap(sandbox, target)
+
+
+def end_swap(sandbox: Sandbox, target: str) -> None:
+    """End what was begun: put a whole staged copy in the target's place, or drop an unfinished one."""
+    catalog, staged, retired = sandbox.spark.catalog, target + _STAGED, target + _RETIRED
+    if catalog.tableExists(sandbox.table_name(staged)):
+        if _property(sandbox.spark, sandbox.table_name(staged), _READY):
+            if catalog.tableExists(sandbox.table_name(target)):
+                drop_object(sandbox, retired)
+                _rename(sandbox, target, retired)
+            _rename(sandbox, staged, target)
+        else:
+            drop_object(sandbox, staged)
+    if catalog.tableExists(sandbox.table_name(target)):
+        drop_object(sandbox, retired)
 
 
 def refresh_object(sandbox: Sandbox, row: Row, full: bool) -> None:
     """Copy an object again.
 
-    Full: drop and make anew.  Otherwise copies and views are replaced in place, with the new data
-    written before the old goes, and an empty table is emptied.
+    Full: made anew beside the old one, which goes only then.  Otherwise copies and views are replaced in place, with the
+    new data written before the old goes, and an empty table is emptied.
     """
     if row.clone_strategy not in _CLONES:
         raise CloneError(f"unknown clone strategy: {row.clone_strategy!r}")
-    target = sandbox.table_name(row.target_fqn)
+    end_swap(sandbox, row.target_fqn)
     if full:
-        sandbox.table_name(row.source_fqn)
-        drop_object(sandbox, row.target_fqn)
+        replace_object(sandbox, row)
     elif row.clone_strategy == "schema_only":
-        sandbox.spark.sql(f"TRUNCATE TABLE {target}")
-        return
-    _CLONES[row.clone_strategy](
-        sandbox, row.source_fqn, row.target_fqn, row.clone_revision_mode, row.clone_revision_value
-    )
+        sandbox.spark.sql(f"TRUNCATE TABLE {sandbox.table_name(row.target_fqn)}")
+    else:
+        _clone(sandbox, row, row.target_fqn)
 
 
 def _location(spark: SparkSession, table: str) -> str | None:
@@ -290,11 +432,12 @@ def drop_object(sandbox: Sandbox, target: str) -> None:
         return
     kind = spark.catalog.getTable(table).tableType
     if kind == "VIEW":
+        folder = _property(spark, table, "change_log")
         spark.sql(f"DROP VIEW IF EXISTS {table}")
-        return
-    folder = _location(spark, table) if kind == "EXTERNAL" else None
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    if folder and f"/data/{target.replace('.', '/')}/" in folder:
+    else:
+        folder = _location(spark, table) if kind == "EXTERNAL" else None
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    if folder and f"{sandbox.home(target).removeprefix(sandbox.root)}/" in folder:
         remove_folder(spark, sandbox.root, folder)
 
 

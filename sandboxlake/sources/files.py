@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -15,6 +19,65 @@ def make_folder(spark: SparkSession, folder: str) -> None:
     system.mkdirs(path)
 
 
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the files and folders in a folder of ours; none if it is not there."""
+    system, path = _resolve(spark, folder)
+    return [status.getPath().getName() for status in system.listStatus(path)] if system.exists(path) else []
+
+
+def move_into(spark: SparkSession, source: str, folder: str, name: str) -> None:
+    """Move one file; nothing happens if it has been moved already."""
+    system, path = _resolve(spark, f"{source}/{name}")
+    if system.exists(path):
+        make_folder(spark, folder)
+        system.rename(path, _resolve(spark, folder)[1])
+
+
+def claim(spark: SparkSession, folder: str, name: str) -> bool:
+    """Make an empty file; false if somebody has made it before.  One caller wins on file systems that create exclusively."""
+    system, path = _resolve(spark, f"{folder}/{name}")
+    try:
+        system.create(path, False).close()
+    except Py4JJavaError:
+        if system.exists(path):
+            return False
+        raise
+    return True
+
+
+CLAIMS_KEPT = 1000
+
+
+def claim_next(spark: SparkSession, folder: str, at_least: int = 1) -> int:
+    """The next whole number that nobody has claimed in ``folder``: one above the largest claim."""
+    taken = sorted(int(n) for n in names_in(spark, folder) if n.isdigit())
+    make_folder(spark, folder)
+    number = max(at_least, taken[-1] + 1 if taken else at_least)
+    while not claim(spark, folder, str(number)):
+        number += 1
+    for old in taken[:-CLAIMS_KEPT]:  # far below any number that a caller may still be about to claim
+        remove_folder(spark, folder, f"{folder}/{old}")
+    return number
+
+
+def clock_tick(spark: SparkSession, folder: str) -> int:
+    """A time of the file system, in milliseconds, that is over: whatever is written from now on is dated later.
+
+    The time comes from a file made in ``folder``, so clocks of different machines play no part.
+    """
+    system, path = _resolve(spark, f"{folder}/_clock-{uuid.uuid4().hex}")
+
+    def now() -> int:
+        system.create(path, True).close()
+        return system.getFileStatus(path).getModificationTime()
+
+    tick = now()
+    while now() <= tick:
+        time.sleep(0.002)
+    system.delete(path, False)
+    return tick
+
+
 def remove_folder(spark: SparkSession, root: str, folder: str) -> None:
     """Delete ``folder``, which has to lie under ``root``."""
     system, target = _resolve(spark, folder)

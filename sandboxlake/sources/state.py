@@ -7,17 +7,15 @@ day: reading recent rows and purging old ones touch the matching folders only.
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sandboxlake import fixed, schemas
 from sandboxlake.operators.asof import as_of
-from sandboxlake.operators.lifecycle import audit_kept
-from sandboxlake.session import settle
-from sandboxlake.sources.files import make_folder, remove_folder
+from sandboxlake.operators.lifecycle import audit_kept, audit_stays
+from sandboxlake.sources.files import claim_next, make_folder, move_into, names_in, remove_folder
 
+_PURGE = "_purge-"
 _COMMIT = "commit_version bigint, commit_ts timestamp_ntz, op string"
 
 
@@ -43,7 +41,7 @@ def audit_rows(rows: DataFrame) -> DataFrame:
 
 
 class StateTables:
-    """The six state tables below ``root``."""
+    """The state tables below ``root``."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -58,6 +56,8 @@ class StateTables:
         """
         for name in schemas.STATE_SCHEMAS:
             make_folder(self.spark, self.path(name))
+            if name != "audit" and not names_in(self.spark, self.path(name)):
+                claim_next(self.spark, f"{self.path(name)}/_versions")
 
     @staticmethod
     def _schema(name: str) -> str:
@@ -76,15 +76,26 @@ class StateTables:
         full = evolve(rows, schemas.STATE_SCHEMAS[name])
         return self._write(
             name,
-            full.withColumn("commit_version", F.lit(time.time_ns()))
+            full.withColumn("commit_version", F.lit(self._next_version(name)).cast("bigint"))
             .withColumn("commit_ts", F.lit(now).cast("timestamp_ntz"))
             .withColumn("op", F.lit(op)),
         )
 
+    def _next_version(self, name: str) -> int:
+        """One above the newest version of a table.  It is claimed, not read off a clock, so a later change always wins."""
+        claims = f"{self.path(name)}/_versions"
+        first = 1
+        if not names_in(self.spark, claims):
+            newest = self.log(name).agg(F.max("commit_version").alias("v")).first()["v"]
+            first = 1 + (newest or 0)
+        return claim_next(self.spark, claims, first)
+
     def append_audit(self, rows: DataFrame) -> None:
         self._write("audit", audit_rows(rows).withColumn("day", F.to_date("performed_at")))
 
     def log(self, name: str) -> DataFrame:
+        if name == "audit":
+            self._end_purges()
         return self.spark.read.schema(self._schema(name)).parquet(self.path(name))
 
     def current(self, name: str) -> DataFrame:
@@ -101,18 +112,41 @@ class StateTables:
         return self.log("audit").filter(F.col("day") >= F.lit(first).cast("date")).drop("day")
 
     def purge_audit(self, now: str, days: int = fixed.AUDIT_RETENTION_DAYS) -> int:
-        """Remove audit rows older than ``days``: whole day folders, plus part of the day of the cut."""
+        """Remove audit rows older than ``days``: whole day folders, plus part of the day of the cut.
+
+        What stays of that day is written beside it and noted before anything is removed, so a purge that
+        breaks off loses no row; the next reader or purge ends it.
+        """
         path, log = self.path("audit"), self.log("audit")
         oldest = self.spark.range(1).select(
             (F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(days)} DAYS")).cast("date").alias("d")
         ).first()["d"]
         cut = log.filter(F.col("day") == F.lit(oldest))
-        kept = settle(audit_kept(cut, now, days))
         gone = [r["day"] for r in log.filter(F.col("day") < F.lit(oldest)).select("day").distinct().toLocalIterator()]
-        if cut.count() > kept.count():
-            gone.append(oldest)
         for day in gone:
             remove_folder(self.spark, path, f"{path}/day={day}")
-        if oldest in gone:
-            self._write("audit", kept)
-        return len(gone)
+        old = cut.agg(F.count(F.lit(1)).alias("all"), F.count_if(~audit_stays(now, days)).alias("old")).first()
+        if old["old"]:
+            staged = f"{path}/{_PURGE}{oldest}"
+            remove_folder(self.spark, path, staged)  # of a purge that broke off while it wrote
+            audit_kept(cut, now, days).drop("day").write.parquet(f"{staged}/rows")
+            make_folder(self.spark, f"{staged}/ready")
+            self._end_purges()
+        return len(gone) + bool(old["old"])
+
+    def _end_purges(self) -> None:
+        """End purges whose kept rows are all written: the old files of the day go, the kept ones move in."""
+        path = self.path("audit")
+        for name in names_in(self.spark, path):
+            if not name.startswith(_PURGE):
+                continue
+            staged, day = f"{path}/{name}", f"{path}/day={name.removeprefix(_PURGE)}"
+            if "ready" not in names_in(self.spark, staged):
+                continue
+            if "cleared" not in names_in(self.spark, staged):
+                remove_folder(self.spark, path, day)
+                make_folder(self.spark, f"{staged}/cleared")
+            for file in names_in(self.spark, f"{staged}/rows"):
+                if file.endswith(".parquet"):
+                    move_into(self.spark, f"{staged}/rows", day, file)
+            remove_folder(self.spark, path, staged)
