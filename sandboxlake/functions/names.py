@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sandboxlake.functions.checks import is_request_id
+from sandboxlake.functions.checks import is_legacy_id, is_request_id
 
 
 def _part(name: Column, index: int) -> Column:
@@ -17,10 +17,21 @@ def request_number(dr_id: Column) -> Column:
     return F.when(is_request_id(dr_id), F.regexp_extract(dr_id, "([0-9]+)$", 1))
 
 
+def request_tag(dr_id: Column) -> Column:
+    """The part of target names that stands for a request, another one for every id; NULL for anything but an id.
+
+    ``DR-<n>`` is ``<n>``.  The other form is itself in lower case, with an underscore behind each letter that was in
+    lower case before, as names are compared without case.  It begins with a letter and ends with a digit, and no
+    underscore follows a digit in it, so neither form can be taken for the other or run into what follows it.
+    """
+    own = F.lower(F.regexp_replace(dr_id, "([a-z])", "$1_"))
+    return F.when(is_legacy_id(dr_id), request_number(dr_id)).when(is_request_id(dr_id), own)
+
+
 def schema_prefix(dr_id: Column, env: Column) -> Column:
-    """``dr_<n>`` for dev, ``qa_<n>`` for qa; NULL for another environment."""
+    """``dr_<tag>`` for dev, ``qa_<tag>`` for qa; NULL for another environment."""
     letter = F.when(env == "dev", "dr_").when(env == "qa", "qa_")
-    return F.concat(letter, request_number(dr_id))
+    return F.concat(letter, request_tag(dr_id))
 
 
 def target_catalog(source_catalog: Column, env: Column, override: Column | None = None) -> Column:
@@ -80,6 +91,6 @@ def revision_value(mode: Column, version: Column, timestamp: Column) -> Column:
 
 
 __all__ = [
-    "catalog_of", "default_strategy", "formatted_id", "request_number", "revision_value",
+    "catalog_of", "default_strategy", "formatted_id", "request_number", "request_tag", "revision_value",
     "schema_of", "schema_prefix", "target_catalog", "target_object", "target_schema",
 ]

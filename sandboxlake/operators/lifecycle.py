@@ -208,9 +208,14 @@ def recipients(requests: DataFrame, config: str = "config_json") -> DataFrame:
     )
 
 
+def notice_facts(requests: DataFrame, objects: DataFrame) -> DataFrame:
+    """Requests with the recipients and the object count that a notice is about."""
+    return recipients(with_object_counts(requests, objects))
+
+
 def notices(requests: DataFrame, objects: DataFrame, today: str, days: int = fixed.NOTICE_DAYS) -> DataFrame:
     """Notice texts for all requests in the notice window, with recipients and object counts."""
-    due = recipients(with_object_counts(requests_to_notify(requests, today, days), objects))
+    due = notice_facts(requests_to_notify(requests, today, days), objects)
     until = F.col("expiration_date").cast("string")
     body = F.concat(
         F.lit("Request "), "dr_id", F.lit(" expires soon.\n\n  Description: "), F.coalesce("description", F.lit("")),

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from sandboxlake.session import settle
 
-HOT_ROWS = 1_000_000  # a key with more rows than this is not left to one task
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above these bits
 
 
@@ -53,46 +52,20 @@ def row_numbers(df: DataFrame, order: Sequence[str | Column], name: str = "row_n
     )
 
 
-def with_previous(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
     """Add the value of the row before, per key.  ``keys + order`` has to tell all rows apart.
 
-    Keys with up to ``hot_rows`` rows take a plain ``lag``.  The others, found by counting, are few;
-    their rows are cut into slices so that no task has to hold one of them whole.
+    All rows are cut into slices in the order of key and place, whatever a key's size, so no task has to hold a key.  The
+    first row of a slice looks at the last row of the closest slice before: one row per slice.
     """
     keys, order = list(keys), list(order)
-    hot = settle(
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-        .select(*[F.col(k).alias(f"_k_{k}") for k in keys])
-    )
-    before = W.partitionBy(*keys).orderBy(*order)
-    if hot.isEmpty():
-        return df.withColumn(name, F.lag(value).over(before))
-    same = _same_keys(keys)
-    plain = df.join(hot, same, "left_anti").withColumn(name, F.lag(value).over(before))
-    return plain.unionByName(_previous_in_slices(df.join(hot, same, "left_semi"), keys, order, value, name))
-
-
-def _same_keys(keys: list[str]) -> list[Column]:
-    return [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-
-
-def _previous_in_slices(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    """``lag`` inside (key, slice); the first row of a key in a slice takes the last value of that key
-    in the closest earlier slice."""
     slices = range_slices(df, [*keys, *order])
-    here = W.partitionBy(*keys, "slice_no").orderBy("slice_pos")
-    marked = slices.withColumn("_prev", F.lag(F.struct(value)).over(here))
-    ends = slices.groupBy(*keys, "slice_no").agg(F.max_by(F.struct(value), "slice_pos").alias("_end"))
-    earlier = W.partitionBy(*keys).orderBy("slice_no")  # one row per slice of a key
-    carried = (
-        ends.withColumn("_carried", F.lag("_end").over(earlier))
-        .filter(F.col("_carried").isNotNull())
-        .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("slice_no").alias("_slice"), "_carried")
-    )
-    return (
-        marked.join(carried, [*_same_keys(keys), F.col("slice_no") == F.col("_slice")], "left")
-        .withColumn(name, F.coalesce("_prev", "_carried")[value])
-        .select(*df.columns, name)
-    )
+    own = F.struct(*keys)
+    last = slices.groupBy("slice_no").agg(F.max_by(F.struct(own.alias("k"), F.col(value).alias("v")), "slice_pos").alias("_last"))
+    ahead = W.orderBy("slice_no")  # one row per slice
+    carried = last.select("slice_no", F.lag("_last").over(ahead).alias("_carried"))
+    here = W.partitionBy("slice_no").orderBy("slice_pos")
+    marked = slices.withColumn("_prev", F.lag(F.struct(own.alias("k"), F.col(value).alias("v"))).over(here))
+    joined = marked.join(F.broadcast(carried), "slice_no", "left")
+    before = F.coalesce("_prev", "_carried")
+    return joined.withColumn(name, F.when(before["k"].eqNullSafe(own), before["v"])).select(*df.columns, name)

@@ -55,7 +55,13 @@ class Sandbox:
     def schema_name(self, schema_fqn: str) -> str:
         if not re.match(fixed.TWO_PART_NAME, schema_fqn):
             raise CloneError(f"not a safe two-part name: {schema_fqn!r}")
-        return self.namespace + schema_fqn.replace(".", "__") if self.joined_names else schema_fqn
+        if not self.joined_names:
+            return schema_fqn
+        catalog, schema = schema_fqn.split(".")
+        joined = f"{catalog}__{schema}"
+        # where the joint could be looked for in several places, the length of the catalog's name tells which one it is
+        where = f"__{len(catalog)}" if len(re.findall("(?=__)", joined)) > 1 else ""
+        return f"{self.namespace}{joined}{where}"
 
     def table_name(self, fqn: str) -> str:
         if not re.match(fixed.THREE_PART_NAME, fqn):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,9 @@ from sandboxlake.functions.names import (
     default_strategy, formatted_id, revision_value, schema_of, target_object, target_schema,
 )
 from sandboxlake.operators.slices import row_numbers
+from sandboxlake.session import settle
+from sandboxlake.sources.files import step_end
+from sandboxlake.sources.state import StateTables
 
 
 def environments(qa_enabled: Column) -> Column:
@@ -207,3 +211,59 @@ def next_counter(allocated: DataFrame, prefix: str, now: Column) -> DataFrame:
     return allocated.agg(F.max("counter").alias("last_value")).select(
         F.lit(prefix).alias("prefix"), "last_value", now.alias("updated_at")
     )
+
+
+# ---- ids from the stored counter -----------------------------------------------------------------
+
+CLAIM_RETRIES = 20
+
+
+def lease_range(state: StateTables, prefix: str, n: int, now: str) -> int:
+    """Take the next ``n`` values of a stored counter; returns the value before the first of them.
+
+    A compare-and-set: whoever first claims the step that leads on from the stored value has it, and the step's end is
+    part of the claim's name.  Others, and a caller after one that broke off before it stored the value, find the
+    claim, store its end themselves and try again from there.  An unknown prefix starts at 0.
+    """
+    if not re.fullmatch(r"[A-Za-z][A-Za-z0-9]{0,7}", prefix):
+        raise ValueError(f"not a prefix of ids: {prefix!r}")
+    if n < 1:
+        raise ValueError("lease at least one value")
+    spark, steps = state.spark, f"{state.path('counters')}/_steps/{prefix}"
+
+    def store(value: int) -> None:
+        row = spark.range(1).select(F.lit(prefix).alias("prefix"), F.lit(value).cast("bigint").alias("last_value"), F.lit(now).cast("timestamp_ntz").alias("updated_at"))
+        state.append("counters", row, now)
+
+    for _ in range(CLAIM_RETRIES):
+        stored = state.current("counters").filter(F.col("prefix") == prefix).agg(F.max("last_value")).first()[0] or 0
+        end = step_end(spark, steps, stored, stored + n)
+        if end == (stored + n, True):
+            store(stored + n)
+            return stored
+        store(end[0])
+    raise RuntimeError(f"no range of {prefix} after {CLAIM_RETRIES} tries")
+
+
+def allocate_stored(state: StateTables, waiting: DataFrame, order: Sequence[str], prefix: str, now: str, width: int = 5) -> DataFrame:
+    """``allocate_ids`` from the stored counter, which it moves on by the number of waiting rows."""
+    rows = settle(waiting)
+    n = rows.count()
+    first = lease_range(state, prefix, n, now) if n else 0
+    return allocate_ids(rows, order, prefix, first, width)
+
+
+def target_conflicts(planned: DataFrame, stored: DataFrame) -> DataFrame:
+    """Targets that more than one source object would be copied to: (target_fqn, owners, dr_ids).
+
+    Planned rows replace the stored ones of the same key; dropped ones count no more.  Owners are counted, not listed,
+    and names are compared without case, as catalogs do.
+    """
+    key = schemas.STATE_KEYS["objects"]
+    kept = stored.filter(~F.col("status").eqNullSafe(F.lit(fixed.DROPPED))).join(planned.select(*key), key, "left_anti")
+    owners = planned.select(*key, "target_fqn").unionByName(kept.select(*key, "target_fqn")).distinct()
+    return (
+        owners.groupBy(F.lower("target_fqn").alias("target_fqn"))
+        .agg(F.count(F.lit(1)).alias("owners"), F.count_distinct("dr_id").alias("dr_ids"))
+        .filter(F.col("owners") > 1)
+    )

@@ -93,6 +93,18 @@ def _copied(objects: DataFrame, done: DataFrame, now: str) -> DataFrame:
     )
 
 
+def _over_stored(plan: DataFrame, owned: DataFrame) -> DataFrame:
+    """Plan rows with what their stored rows know: when they were provisioned, and whether the target is there to be replaced."""
+    before = owned.select(
+        *OBJECT_KEY, F.col("provisioned_at").alias("_provisioned"), F.col("last_refreshed_at").alias("_refreshed"),
+        F.col("target_fqn").alias("_target"), (F.col("status") != fixed.DROPPED).alias("_there"),
+    )
+    joined = plan.join(before, OBJECT_KEY, "left")
+    kept = F.coalesce(F.col("_there") & (F.col("_target") == F.col("target_fqn")), F.lit(False))
+    stamps = {"provisioned_at": F.when(kept, F.col("_provisioned")), "last_refreshed_at": F.when(kept, F.col("_refreshed"))}
+    return joined.select(*[stamps.get(c, F.col(c)).alias(c) for c in plan.columns], kept.alias("replaces"))
+
+
 def provision(
     sandbox: Sandbox,
     state: StateTables,
@@ -111,17 +123,27 @@ def provision(
     ``copy_plan`` and ``manifest_headers``).  A live request with a review due is rejected unless
     ``force`` is given.  ``known`` (principal) limits the grants, ``commits`` (fqn, version, ts)
     lets revisions older than the history be reported.
+
+    A request that was provisioned before keeps its history, and targets that its object rows name are replaced: the
+    new copy is made beside the old one, which stays if that fails.  Object rows are stored before anything is copied,
+    so a run that broke off is taken up by provisioning again.
     """
-    rejected = lifecycle.collisions(state.current("requests"), headers, force).select("dr_id")
+    stored = settle(state.current("requests"))
+    rejected = lifecycle.collisions(stored, headers, force).select("dr_id")
     go = settle(requests.join(rejected, "dr_id", "left_anti"))
-    plan = settle(plans.copy_plan(objects, go))
+    owned = settle(state.of_requests("objects", go))
+    plan = settle(_over_stored(plans.copy_plan(objects, go), owned))
 
+    history = ("created_at", "created_by", "last_refreshed_at", "notification_sent_at")
+    before = stored.select("dr_id", *[F.col(c).alias(f"_{c}") for c in history], F.col("expiration_date").alias("_until"))
+    created_by = F.coalesce(F.get("developers", F.lit(0)), F.lit("SYSTEM"))
+    same_end = F.col("_until").eqNullSafe(F.col("expiration_date"))
     state.append(
         "requests",
-        go.select(
-            "dr_id", "description", "config_json", F.lit(fixed.PROVISIONING).alias("status"), _at(now).alias("created_at"),
-            F.coalesce(F.get("developers", F.lit(0)), F.lit("SYSTEM")).alias("created_by"), "expiration_date",
-            _at(now).alias("last_modified_at"),
+        go.join(before, "dr_id", "left").select(
+            "dr_id", "description", "config_json", F.lit(fixed.PROVISIONING).alias("status"), F.coalesce("_created_at", _at(now)).alias("created_at"),
+            F.coalesce("_created_by", created_by).alias("created_by"), "expiration_date", F.col("_last_refreshed_at").alias("last_refreshed_at"),
+            _at(now).alias("last_modified_at"), F.when(same_end, F.col("_notification_sent_at")).alias("notification_sent_at"),
         ),
         now,
     )
@@ -138,11 +160,11 @@ def provision(
     targets = settle(plans.target_schemas(objects, go))
     made = create_schemas(sandbox, targets)
     if force:
-        stale = state.of_requests("objects", go).join(plan.select(*OBJECT_KEY), OBJECT_KEY, "left_anti")
+        stale = owned.join(plan.select(*OBJECT_KEY), OBJECT_KEY, "left_anti")
         state.append("objects", stale, now, "delete")
     state.append("objects", plan, now)
     done = clone_all(sandbox, plan)
-    state.append("objects", _copied(plan, done, now), now)
+    state.append("objects", _copied(plan.drop("replaces"), done, now), now)
 
     grants = plans.grant_plan(targets, go)
     unknown = None
@@ -189,7 +211,8 @@ def refresh(
     """Copy the objects of the wanted requests (dr_id) again.
 
     Requests that are not live, or expired, come back as rejected with a reason.  The result of an
-    object is stamped whatever status it had.
+    object is stamped whatever status it had.  A full refresh makes the new copy beside the old one; where that fails, the
+    old one stays and its row says FAILED.  Another refresh that fails leaves the row as it was.
     """
     checked = lifecycle.with_eligibility(state.of_requests("requests", wanted), now[:10])
     rejected = checked.filter(F.col("reason").isNotNull()).select("dr_id", "reason")
@@ -209,8 +232,8 @@ def refresh(
         warnings = retention_violations(asked, commits)
 
     done = refresh_all(sandbox, targets, mode == "full")
-    # A failed refresh leaves the row as it was; a good one is provisioned and stamped and keeps its own revision.
-    state.append("objects", _copied(stored, done.filter("success"), now), now)
+    # a good one is provisioned and stamped and keeps its own revision
+    state.append("objects", _copied(stored, done if mode == "full" else done.filter("success"), now), now)
     _stamp_requests(state, done, {"last_refreshed_at": _at(now)}, now)
     status = settle(results.run_status(go, done))
     detail = F.struct(
@@ -399,7 +422,7 @@ def clean_up(sandbox: Sandbox, state: StateTables, doomed: DataFrame, now: str)
     objects = settle(state.of_requests("objects", go))
     revokes = plans.revoke_plan(objects, state.of_requests("access", go))
     plan = plans.drop_plan(objects)
-    done = run_tasks(sandbox, plan.filter("action = 'skip'").drop("action"), lambda row: None, "skip")
+    done = settle(_skipped(sandbox, plan))
     for rank in (0, 1):  # views first
         rows = plan.filter((F.col("action") == "drop") & (F.col("drop_rank") == rank)).drop("action")
         done = done.unionByName(run_tasks(sandbox, rows, lambda row: drop_object(sandbox, row.target_fqn), "drop"))
@@ -428,17 +451,68 @@ def clean_up(sandbox: Sandbox, state: StateTables, doomed: DataFrame, now: str)
     return Run(status, done, revokes=revokes, rejected=rejected)
 
 
+def _skipped(sandbox: Sandbox, plan: DataFrame) -> DataFrame:
+    """Outcome rows of what a drop plan leaves alone; there is no task to carry out."""
+    known = {
+        "run_id": F.lit(sandbox.run_id), "task_no": F.lit(None), "strategy": F.col("clone_strategy"), "action": F.lit("skip"),
+        "success": F.lit(True), "error": F.lit(None),
+    }
+    return plan.filter("action = 'skip'").select(
+        *[known.get(c, F.col(c)).cast(kind).alias(c) for c, kind in schemas.fields(schemas.OUTCOMES)]
+    )
+
+
 def clean_up_expired(sandbox: Sandbox, state: StateTables, now: str) -> Run:
     """The daily cleanup: every request that is due, and those left over from an earlier one."""
     return clean_up(sandbox, state, lifecycle.expired_requests(state.current("requests"), now[:10]).select("dr_id"), now)
 
 
-def notify(state: StateTables, now: str, days: int = fixed.NOTICE_DAYS) -> DataFrame:
-    """Notices that are due; the requests are stamped and the notices are on record before they are handed out."""
-    due = settle(lifecycle.notices(state.current("requests"), state.current("objects"), now[:10], days))
-    _stamp_requests(state, due, {"notification_sent_at": _at(now)}, now)
+LEASE_MINUTES = 60
+
+
+def notify(state: StateTables, now: str, days: int = fixed.NOTICE_DAYS, lease_minutes: int = LEASE_MINUTES) -> DataFrame:
+    """Notices that are due, leased to the caller, who sends them and reports back with ``confirm_notices``.
+
+    Nothing is stamped yet.  A notice that is not confirmed comes due again when its lease has run out, one that
+    failed at once.
+    """
+    asked = lifecycle.notices(state.current("requests"), state.current("objects"), now[:10], days)
+    outbox = state.current("notices").select("dr_id", F.col("attempts").alias("_attempts"), F.col("leased_until").alias("_leased"))
+    free = F.col("_leased").isNull() | (F.col("_leased") <= _at(now))
+    due = settle(asked.join(outbox, "dr_id", "left").filter(free).drop("_leased"))
+    until = _at(now) + F.expr(f"INTERVAL {int(lease_minutes)} MINUTES")
+    state.append(
+        "notices",
+        due.select(
+            "dr_id", "expiration_date", F.lit("LEASED").alias("status"), (F.coalesce("_attempts", F.lit(0)) + 1).alias("attempts"),
+            until.alias("leased_until"),
+        ),
+        now,
+    )
+    return due.drop("_attempts")
+
+
+def confirm_notices(state: StateTables, sent: DataFrame, now: str) -> DataFrame:
+    """Report on leased notices: ``sent`` is (dr_id, success, error), one row per request.
+
+    Requests whose notice went out are stamped and audited; the others come due again.  A report on a notice that is not
+    leased (any more) changes nothing.  Returns the outbox rows as they are now.
+    """
+    leased = state.current("notices").filter("status = 'LEASED'")
+    reports = sent.select("dr_id", F.col("success").alias("_ok"), F.col("error").alias("_error"))
+    told = settle(leased.join(reports, "dr_id"))
+    fine = F.coalesce("_ok", F.lit(False))
+    after = settle(told.select(
+        "dr_id", "expiration_date", F.when(fine, "SENT").otherwise("FAILED").alias("status"), "attempts",
+        F.lit(None).cast("timestamp_ntz").alias("leased_until"), F.when(fine, _at(now)).alias("sent_at"), F.when(~fine, F.col("_error")).alias("error"),
+    ))
+    went = settle(after.filter("status = 'SENT'"))
+    # the stamp goes first: it alone keeps a notice from coming due again
+    _stamp_requests(state, went, {"notification_sent_at": _at(now)}, now)
+    state.append("notices", after, now)
+    texts = lifecycle.notice_facts(state.of_requests("requests", went), state.of_requests("objects", went))
     detail = F.struct(
         "recipients", F.col("total_objects").alias("object_count"), F.col("expiration_date").cast("string").alias("expiration_date")
     )
-    state.append_audit(_audit(due, "NOTIFY", now, detail))
-    return due
+    state.append_audit(_audit(texts, "NOTIFY", now, detail))
+    return after

@@ -41,6 +41,11 @@ CONFIGS = (
 
 COUNTERS = "prefix string, last_value bigint, updated_at timestamp_ntz"
 
+NOTICES = (
+    "dr_id string, expiration_date date, status string, attempts bigint, leased_until timestamp_ntz, "
+    "sent_at timestamp_ntz, error string"
+)
+
 EDGES = (
     "source_table_full_name string, target_table_full_name string, source_type string, "
     "target_type string, entity_id string, edge_seq bigint"
@@ -59,6 +64,7 @@ STATE_KEYS = {
     "audit": ["log_id"],
     "configs": ["dr_id"],
     "counters": ["prefix"],
+    "notices": ["dr_id"],
 }
 
 STATE_SCHEMAS = {
@@ -68,6 +74,7 @@ STATE_SCHEMAS = {
     "audit": AUDIT,
     "configs": CONFIGS,
     "counters": COUNTERS,
+    "notices": NOTICES,
 }
 
 # The flat config form as stored in configs.config_json.

@@ -60,6 +60,25 @@ def claim_next(spark: SparkSession, folder: str, at_least: int = 1) -> int:
     return number
 
 
+def step_end(spark: SparkSession, folder: str, start: int, wanted: int) -> tuple[int, bool]:
+    """Where the step that leads on from ``start`` ends, and whether this caller has just made it.
+
+    The first caller makes it and it ends where that one wants; it is a file, created exclusively, that holds the end.
+    """
+    system, path = _resolve(spark, f"{folder}/{start}")
+    try:
+        out = system.create(path, False)
+        out.write(bytearray(str(wanted).encode()))
+        out.close()
+        return wanted, True
+    except Py4JJavaError:
+        if not system.exists(path):
+            raise
+    while not system.getFileStatus(path).getLen():  # its maker is about to write it
+        time.sleep(0.01)
+    return int(spark.read.text(f"{folder}/{start}").first()[0]), False
+
+
 def clock_tick(spark: SparkSession, folder: str) -> int:
     """A time of the file system, in milliseconds, that is over: whatever is written from now on is dated later.
 

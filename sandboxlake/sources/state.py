@@ -7,6 +7,8 @@ day: reading recent rows and purging old ones touch the matching folders only.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,8 +68,17 @@ class StateTables:
         return f"{schemas.STATE_SCHEMAS[name]}, {_COMMIT}"
 
     def _write(self, name: str, rows: DataFrame) -> None:
-        writer = rows.write.mode("append")
-        (writer.partitionBy("day") if name == "audit" else writer).parquet(self.path(name))
+        """Append rows.  Audit rows go to their days; others are written aside and moved in, so that appends at the same
+        time do not share a folder for unfinished files."""
+        if name == "audit":
+            rows.write.mode("append").partitionBy("day").parquet(self.path(name))
+            return
+        staged = f"{self.path(name)}/_staged-{uuid.uuid4().hex}"
+        rows.write.parquet(staged)
+        for file in names_in(self.spark, staged):
+            if file.endswith(".parquet"):
+                move_into(self.spark, staged, self.path(name), file)
+        remove_folder(self.spark, self.path(name), staged)
 
     def append(self, name: str, rows: DataFrame, now: str, op: str = "upsert") -> None:
         """One bulk append: an insert, an update (whole new rows) or a delete (rows with the keys)."""

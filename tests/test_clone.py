@@ -1,6 +1,7 @@
 """Copies and runs against real tables in a sandbox."""
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -197,19 +198,178 @@ def test_all_failed(box, state, frame):
     assert errors["error_message"] == '{"failed_objects":["prod_main.s.missing"]}'
 
 
-def test_force_replaces_stale_rows(box, state, frame):
+def test_force_replaces_stale_rows(box, state, frame, tmp_path):
     provision(box, state, frame, PLAIN, MISSING)
-    run = provision(box, state, frame, PLAIN, force=True)  # the copy is there already
+    started = state.current("requests").first()["created_at"]
+    grow(box, tmp_path)
+    run = runs.provision(
+        box, state, request(frame, expires="2026-03-01"), manifest(frame, PLAIN), frame(HEADER, ("DR-5", True)), "2026-01-05 00:00:00", force=True
+    )
+    assert rows(run.status, "final_status") == [("ACTIVE",)]
+    assert rows(state.current("objects"), "source_fqn", "status") == [("prod_main.s.plain", "PROVISIONED")]
+    assert table(box, "dev_main.dr_5_s.plain").count() == 8
+    again = state.current("requests").first()
+    assert again["created_at"] == started and str(again["expiration_date"]) == "2026-03-01"
+
+
+def test_targets_of_others_are_not_replaced(box, state, frame):
+    clone.create_schema(box, "dev_main.dr_5_s")
+    clone.deep_clone(box, "prod_main.s.plain", "dev_main.dr_5_s.plain")
+    run = provision(box, state, frame, PLAIN)
     assert rows(run.status, "final_status") == [("FAILED",)]
-    assert rows(state.current("objects"), "source_fqn", "status") == [("prod_main.s.plain", "FAILED")]
+    assert "already exists" in run.outcomes.filter("NOT success").first()["error"]
+
+
+def test_a_failed_full_refresh_keeps_the_copy(box, state, frame, tmp_path):
+    provision(box, state, frame, PLAIN)
+    box.spark.sql(f"ALTER TABLE {box.table_name('prod_main.s.plain')} RENAME TO {box.table_name('prod_main.s.away')}")
+    run = runs.refresh(box, state, request(frame), "full", "2026-01-02 00:00:00")
+    assert rows(run.status, "audit_status") == [("FAILED",)]
+    assert rows(state.current("objects"), "status") == [("FAILED",)]
+    assert table(box, "dev_main.dr_5_s.plain").count() == 5
+    box.spark.sql(f"ALTER TABLE {box.table_name('prod_main.s.away')} RENAME TO {box.table_name('prod_main.s.plain')}")
+    grow(box, tmp_path)
+    runs.refresh(box, state, request(frame), "full", "2026-01-03 00:00:00")
+    assert rows(state.current("objects"), "status") == [("PROVISIONED",)] and table(box, "dev_main.dr_5_s.plain").count() == 8
+
+
+def names_in(box, schema="dev_main.out"):
+    return sorted(t.name for t in box.spark.catalog.listTables(box.schema_name(schema)))
+
+
+@pytest.mark.parametrize("strategy", ["deep_clone", "view", "shallow_clone", "schema_only"])
+@pytest.mark.parametrize("broken", ["copy", "mark", "retire", "place"])
+def test_a_replacement_that_breaks_off_is_ended_or_undone(box, tmp_path, monkeypatch, strategy, broken):
+    """A run that dies in any step; the next one ends with one whole copy of the target and nothing beside it."""
+    row = Row(source_fqn="prod_main.s.plain", target_fqn=T + "r", clone_strategy=strategy, clone_revision_mode="latest", clone_revision_value=None, replaces=True)
+    clone.clone_object(box, row)
+    old = table(box, T + "r").count()
+    grow(box, tmp_path)
+    new = 0 if strategy == "schema_only" else 8
+    if strategy == "view":
+        old = 8
+
+    class Dead(BaseException):
+        pass
+
+    real, calls = clone._rename, []
+
+    def rename(*args):
+        calls.append(args)
+        if (broken, len(calls)) in (("retire", 1), ("place", 2)):
+            raise Dead
+        real(*args)
+
+    def die(*args):
+        raise Dead
+
+    with monkeypatch.context() as patch:
+        patch.setattr(clone, "_rename", rename)
+        if broken == "copy":
+            patch.setitem(clone._CLONES, strategy, lambda box, source, target, *more: (box.spark.range(1).write.saveAsTable(box.table_name(target)), die()))
+        if broken == "mark":
+            patch.setattr(clone, "_swap_in", die)
+        with pytest.raises(Dead):
+            clone.clone_object(box, row)
+    if broken != "place":
+        assert table(box, T + "r").count() == old  # the old copy is still there
+    clone.end_swap(box, T + "r")
+    assert names_in(box) == ["r"] and table(box, T + "r").count() == (old if broken in ("copy", "mark") else new)
+    clone.clone_object(box, row)
+    assert names_in(box) == ["r"] and table(box, T + "r").count() == new
+    clone.drop_object(box, T + "r")
+    assert names_in(box) == [] and not list((tmp_path / "data").rglob("*.parquet"))
+
+
+def test_partitioned_targets_are_replaced_whole(box, tmp_path):
+    clone.deep_clone(box, "prod_main.s.parts", T + "p")
+    clone.deep_clone(box, "prod_main.s.parts", T + "p")
+    assert names_in(box) == ["p"] and table(box, T + "p").count() == 10
+    assert [c.name for c in box.spark.catalog.listColumns(box.table_name(T + "p")) if c.isPartition] == ["part"]
+
+
+def test_writing_to_a_shallow_clone(box, frame, tmp_path):
+    keyed = frame("k int, v string", (1, "a"), (2, "b"), (None, "n"))
+    keyed.write.parquet(f"{tmp_path}/keyed")
+    clone.register_source(box, "prod_main.s.keyed", f"{tmp_path}/keyed", row_keys="k")
+    clone.shallow_clone(box, "prod_main.s.keyed", T + "w")
+    assert clone.write_clone(box, T + "w", frame("v string, k bigint", ("c", 3), ("A", 1), ("N", None))) == 1
+    assert clone.write_clone(box, T + "w", frame("k int", (2,)), "delete") == 2
+    assert clone.write_clone(box, T + "w", frame("k int, v string", (2, "again"))) == 3
+    clone.write_clone(box, T + "w", frame("k int", (3,)), "delete")
+    assert rows(table(box, T + "w")) == [(1, "A"), (2, "again"), (None, "N")]
+    assert table(box, "prod_main.s.keyed").count() == 3 and clone.pin_is_whole(box, T + "w")
+    for bad, op in ((frame("k int", (1,)), "upsert"), (frame("v string", ("x",)), "delete"), (frame("k int", (1,)), "merge")):
+        with pytest.raises(CloneError):
+            clone.write_clone(box, T + "w", bad, op)
+    clone.shallow_clone(box, "prod_main.s.keyed", T + "w")  # made anew, without the changes
+    assert table(box, T + "w").count() == 3 and len([p for p in (tmp_path / "data").rglob("*") if p.suffix == ".parquet"]) == 1
+
+
+def test_a_source_without_keys_can_only_be_added_to(box, frame):
+    clone.shallow_clone(box, "prod_main.s.plain", T + "a")
+    clone.write_clone(box, T + "a", frame("id bigint", (77,)))
+    assert table(box, T + "a").count() == 6
+    with pytest.raises(CloneError):
+        clone.write_clone(box, T + "a", frame("id bigint", (77,)), "delete")
+    clone.deep_clone(box, "prod_main.s.plain", T + "d")
+    with pytest.raises(CloneError):
+        clone.write_clone(box, T + "d", frame("id bigint", (77,)))
+
+
+def test_files_of_the_same_moment_fall_outside_the_pin(box, tmp_path):
+    """Files written right after the clone; no row is read to make the pin."""
+    for i in range(5):
+        clone.shallow_clone(box, "prod_main.s.plain", f"{T}now{i}")
+        have = 5 + i
+        (tmp_path / "plain" / f"more{i}.parquet").write_bytes(next((tmp_path / "plain").glob("part-*.parquet")).read_bytes())
+        box.spark.catalog.refreshTable(box.table_name("prod_main.s.plain"))
+        assert table(box, f"{T}now{i}").count() >= 5 and clone.pin_is_whole(box, f"{T}now{i}"), have
+
+
+def test_cleaning_one_request_up_leaves_others_alone(box, state, frame):
+    both = request(frame).unionByName(request(frame, "DR005")).unionByName(request(frame, "DS005"))
+    objects = manifest(frame, PLAIN).unionByName(manifest(frame, PLAIN, dr="DR005")).unionByName(manifest(frame, PLAIN, dr="DS005"))
+    runs.provision(box, state, both, objects, frame(HEADER, *[(d, False) for d in ("DR-5", "DR005", "DS005")]), NOW)
+    runs.clean_up(box, state, request(frame, "DR005"), "2026-02-02 00:00:00")
+    assert rows(state.current("objects"), "dr_id", "status") == [("DR-5", "PROVISIONED"), ("DR005", "DROPPED"), ("DS005", "PROVISIONED")]
+    assert table(box, "dev_main.dr_5_s.plain").count() == table(box, "dev_main.dr_ds005_s.plain").count() == 5
+
+
+def test_the_daily_cleanup_takes_what_is_due_or_left_over(box, state, frame):
+    requests = request(frame).unionByName(request(frame, "DR-6", "2026-04-01"))
+    objects = manifest(frame, PLAIN).unionByName(manifest(frame, PLAIN, dr="DR-6"))
+    runs.provision(box, state, requests, objects, frame(HEADER, ("DR-5", False), ("DR-6", False)), NOW)
+    run = runs.clean_up_expired(box, state, "2026-02-01 08:00:00")
+    assert rows(run.status, "dr_id", "final_status") == [("DR-5", "CLEANED_UP")]
+    assert runs.clean_up_expired(box, state, "2026-02-01 09:00:00").status.count() == 0
+    assert rows(state.current("requests"), "dr_id", "status") == [("DR-5", "CLEANED_UP"), ("DR-6", "ACTIVE")]
+
+
+def test_joined_schema_names_do_not_meet(box):
+    names = ["a__b.c", "a.b__c", "a_._b", "a.__b", "a__._b", "a_.__b", "a__.b", "a.b", "a.b__1", "a__b__1.c", "a__b.c__4", "a___b.c"]
+    assert len({box.schema_name(n) for n in names}) == len(names)
 
 
 def test_notices(box, state, frame):
     provision(box, state, frame, PLAIN)
+    sent = "dr_id string, success boolean, error string"
+    assert runs.notify(state, "2026-01-10 00:00:00").count() == 0
     due = runs.notify(state, "2026-01-28 00:00:00")
     assert rows(due, "dr_id", "total_objects", "recipients") == [("DR-5", 1, ["ann"])]
+    assert runs.notify(state, "2026-01-28 00:59:00").count() == 0  # leased
+    assert runs.notify(state, "2026-01-28 01:00:00").count() == 1  # the lease has run out
+    assert state.current("requests").first()["notification_sent_at"] is None
+    failed = runs.confirm_notices(state, frame(sent, ("DR-5", False, "no answer"), ("DR-9", True, None)), "2026-01-28 01:01:00")
+    assert rows(failed, "dr_id", "status", "attempts", "error") == [("DR-5", "FAILED", 2, "no answer")]
+    assert runs.confirm_notices(state, frame(sent, ("DR-5", True, None)), "2026-01-28 01:02:00").count() == 0  # not leased
+    assert runs.notify(state, "2026-01-28 01:03:00").count() == 1
+    runs.confirm_notices(state, frame(sent, ("DR-5", True, None)), "2026-01-28 01:04:00")
     assert runs.notify(state, "2026-01-29 00:00:00").count() == 0
-    assert runs.notify(state, "2026-01-10 00:00:00").count() == 0
+    told = state.current("audit").filter("action = 'NOTIFY'").collect()
+    assert [r["action_detail"] for r in told] == ['{"recipients":["ann"],"object_count":1,"expiration_date":"2026-02-01"}']
+    provision(box, state, frame, PLAIN, force=True)  # the same end: no second notice
+    assert runs.notify(state, "2026-01-30 00:00:00").count() == 0
 
 
 def test_modify_needs_something_to_do(box, state):

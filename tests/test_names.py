@@ -34,10 +34,26 @@ def test_target_names(frame):
     assert one(frame, names.target_object, f="a.b", d="DR-7", e="dev") is None
     assert one(frame, names.target_object, f="a.b.c.d", d="DR-7", e="dev") is None
     assert one(frame, names.target_object, f="a.b.c", d="DR-7", e="prod") is None
-    assert one(frame, names.target_schema, f="raw.s", d="DR00012", e="dev") == "raw_dev.dr_00012_s"
+    assert one(frame, names.target_schema, f="raw.s", d="DR00012", e="dev") == "raw_dev.dr_dr00012_s"
     assert one(frame, names.target_schema, f="raw", d="DR-1", e="dev") is None
 
 
+def test_every_id_has_a_name_of_its_own(frame):
+    """Also where names are compared without case, and whatever schema follows."""
+    ids = ["DR-001", "DR001", "AB001", "CD001", "Ab001", "aB001", "ab001", "DR-1", "DR-01", "A1001", "A1b001", "A001", "DR0001"]
+    schemas = ["s", "001_s", "b_001_s", "_s", "1"]
+    rows_ = [(d, f"raw.{s}", e) for d in ids for s in schemas for e in ("dev", "qa")]
+    got = frame("d string, f string, e string", *rows_).select(names.target_schema(F.col("f"), F.col("d"), F.col("e")).alias("n")).collect()
+    assert len({r["n"].lower() for r in got}) == len(rows_)
+
+
+def test_target_conflicts(frame):
+    columns = "dr_id string, source_fqn string, target_environment string, target_fqn string"
+    planned = frame(columns, ("1", "a.s.t", "dev", "x.s.T"), ("1", "b.s.t", "dev", "x.s.t"), ("2", "a.s.u", "dev", "x.s.u"), ("2", "a.s.u", "dev", "x.s.u"))
+    stored = frame(columns + ", status string", ("1", "a.s.t", "dev", "x.s.u", "ACTIVE"), ("3", "c.s.u", "dev", "x.s.u", None), ("4", "c.s.u", "dev", "x.s.u", "DROPPED"))
+    assert rows(plans.target_conflicts(planned, stored), "target_fqn", "owners", "dr_ids") == [("x.s.t", 2, 1), ("x.s.u", 2, 2)]
+
+
 def test_strategy(frame):
     assert one(frame, names.default_strategy, t="view", o=None) == "view"
     assert one(frame, names.default_strategy, t="table", o="") == "shallow_clone"

@@ -1,5 +1,6 @@
 """Updates, deletes, time travel, retention, audit."""
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, datetime
 
 import pytest
@@ -8,7 +9,9 @@ from pyspark.sql import functions as F
 from conftest import rows
 from sandboxlake import fixed
 from sandboxlake.operators import asof, lifecycle, updates
-from sandboxlake.sources import commits
+from sandboxlake.plans import copy_plan
+from sandboxlake.sources import commits, files
+from sandboxlake.sources import state as state_module
 from sandboxlake.sources.state import StateTables
 
 LOG = "k string, v int, commit_version bigint, commit_ts timestamp_ntz, op string"
@@ -129,6 +132,76 @@ def test_audit_store(spark, frame, tmp_path):
     assert rows(state.current("audit"), "log_id") == [("z",)]
 
 
+@pytest.mark.parametrize("broken", ["write", "ready", "clear", "move"])
+def test_an_interrupted_purge_loses_nothing(spark, frame, tmp_path, monkeypatch, broken):
+    state = StateTables(spark, f"{tmp_path}/state")
+    state.create()
+    times = [datetime(2025, 1, 1), datetime(2026, 1, 9, 6), datetime(2026, 1, 9, 18), datetime(2026, 1, 9, 19), None, datetime(2026, 3, 1)]
+    state.append_audit(frame("log_id string, performed_at timestamp_ntz", *[(str(i), t) for i, t in enumerate(times)]).repartition(4))
+
+    class Dead(BaseException):
+        pass
+
+    calls = []
+
+    def dying(name, at):
+        real = getattr(state_module, name)
+
+        def call(*args):
+            calls.append(name)
+            if calls.count(name) == at:
+                raise Dead
+            return real(*args)
+
+        return call
+
+    with monkeypatch.context() as patch:
+        if broken == "write":
+            patch.setattr(state_module, "audit_kept", dying("audit_kept", 1))
+        elif broken == "ready":
+            patch.setattr(state_module, "make_folder", dying("make_folder", 1))
+        elif broken == "clear":
+            patch.setattr(state_module, "make_folder", dying("make_folder", 2))
+        else:
+            patch.setattr(state_module, "move_into", dying("move_into", 1))
+        with pytest.raises(Dead):
+            state.purge_audit("2027-01-09 12:00:00", 365)
+    kept = ["2", "3", "4", "5"]
+    left = [r[0] for r in rows(state.current("audit"), "log_id")]
+    assert left == (kept if broken in ("clear", "move") else ["1", *kept])
+    state.purge_audit("2027-01-09 12:00:00", 365)
+    assert [r[0] for r in rows(state.current("audit"), "log_id")] == kept
+
+
+def test_versions_are_claimed_in_order(spark, frame, tmp_path):
+    """The newest change wins whatever a clock says; a folder from before claims goes on from its newest row."""
+    state = StateTables(spark, f"{tmp_path}/state")
+    frame("dr_id string, status string, commit_version bigint, commit_ts timestamp_ntz, op string", ("1", "OLD", 7 * 10**18, None, "upsert")).write.parquet(f"{tmp_path}/state/requests")
+    for text in ("ACTIVE", "EXPIRED"):
+        state.append("requests", frame("dr_id string, status string", ("1", text)), "2026-01-01")
+        assert rows(state.current("requests"), "status") == [(text,)]
+    assert files.claim_next(spark, f"{tmp_path}/claims") == 1 and files.claim_next(spark, f"{tmp_path}/claims") == 2
+    assert not files.claim(spark, f"{tmp_path}/claims", "2")
+
+
+def test_ranges_of_the_stored_counter(spark, frame, tmp_path, monkeypatch):
+    state = StateTables(spark, f"{tmp_path}/state")
+    state.create()
+    assert [copy_plan.lease_range(state, p, n, "2026-01-01") for p, n in (("DR", 5), ("DR", 1), ("AB", 2), ("DR", 3))] == [0, 5, 0, 6]
+    with monkeypatch.context() as patch:  # a caller that breaks off between its claim and storing the value
+        patch.setattr(StateTables, "append", lambda *a, **k: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            copy_plan.lease_range(state, "DR", 10, "2026-01-02")
+    assert copy_plan.lease_range(state, "DR", 1, "2026-01-03") == 19
+    assert rows(state.current("counters"), "prefix", "last_value") == [("AB", 2), ("DR", 20)]
+    with ThreadPoolExecutor(4) as pool:
+        got = sorted(pool.map(lambda n: (copy_plan.lease_range(state, "QX", n, "2026-01-04"), n), [1, 2, 3, 4]))
+    ends = [first + n for first, n in got]
+    assert [first for first, _ in got] == [0, *ends[:-1]] and ends[-1] == 10  # no overlap, no gap
+    with pytest.raises(ValueError):
+        copy_plan.lease_range(state, "../x", 1, "2026-01-01")
+
+
 def test_audit_lists(frame):
     audit = frame("log_id string, dr_id string, action string, performed_at timestamp_ntz, status string", *[(f"l{i}", "1" if i < 7 else "2", "A", day(1 + i // 2), "S") for i in range(10)])
     assert rows(lifecycle.recent_audit(audit, 2), "dr_id", "rank", "log_id") == [("1", 1, "l6"), ("1", 2, "l4"), ("2", 1, "l8"), ("2", 2, "l9")]

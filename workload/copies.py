@@ -30,11 +30,11 @@ def sandbox(t: Tables, tables=SALES) -> Sandbox:
     return box
 
 
-def growing_source(t: Tables, box: Sandbox, table: str) -> str:
+def growing_source(t: Tables, box: Sandbox, table: str, row_keys: str | None = None) -> str:
     """A source of our own that can grow: a copy of a table, returned as its folder."""
     folder = f"{box.root}/source/{table}"
     t.base(table).write.parquet(folder)
-    clone.register_source(box, source(table), folder)
+    clone.register_source(box, source(table), folder, row_keys=row_keys)
     return folder
 
 
@@ -130,6 +130,30 @@ def overlay(t: Tables) -> DataFrame:
     return asof.overlay(base, t.view("fx_order_changes"), ["o_orderkey"])
 
 
+@query(
+    "shallow_clone_write",
+    """WITH source AS (SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders)
+    SELECT 'source' AS place, * FROM source
+    UNION ALL SELECT 'clone', o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice * 2 ELSE o_totalprice END,
+      CASE WHEN o_orderkey % 10 = 0 THEN 'NONE' ELSE o_orderpriority END FROM source WHERE o_orderkey % 5 <> 1 OR o_orderkey % 10 = 6
+    UNION ALL SELECT 'clone', -o_orderkey - 1, o_totalprice, o_orderpriority FROM source WHERE o_orderkey % 5 = 2""",
+)
+def _(t: Tables) -> DataFrame:
+    """Changed, deleted, added and written again; deleted rows that come back; the source stays as it was."""
+    box, target, columns = sandbox(t, []), "dev_main.copies.orders", ["o_orderkey", "o_totalprice", "o_orderpriority"]
+    growing_source(t, box, "orders", row_keys="o_orderkey")
+    clone.shallow_clone(box, source("orders"), target)
+    orders, key = t.base("orders"), F.col("o_orderkey")
+    dearer = orders.filter(key % 5 == 0).withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    clone.write_clone(box, target, dearer)
+    clone.write_clone(box, target, orders.filter(key % 5 == 1), "delete")
+    clone.write_clone(box, target, orders.filter(key % 5 == 2).withColumn("o_orderkey", -key - 1))
+    clone.write_clone(box, target, dearer.filter(key % 10 == 0).withColumn("o_orderpriority", F.lit("NONE")))
+    clone.write_clone(box, target, orders.filter(key % 10 == 6))
+    places = {"source": source("orders"), "clone": target}
+    return reduce(DataFrame.unionByName, [read(box, fqn).select(F.lit(place).alias("place"), *columns) for place, fqn in places.items()])
+
+
 @query(
     "schema_only_clone",
     "SELECT table_name, column_name, CAST(0 AS BIGINT) AS rows FROM information_schema.columns WHERE table_name IN ("
@@ -221,12 +245,11 @@ def provisioned(t: Tables, growing: bool = False) -> tuple[Sandbox, object, runs
             growing_source(t, box, table)
     state, requests = new_state(t), _requests(t)
     objects = _manifest(t, requests)
-    headers = objects.groupBy("dr_id").agg(F.count(F.lit(1)).alias("total_objects")).withColumn("review_required", F.lit(False))
-    done = runs.provision(box, state, requests, objects, headers, NOW)
+    done = runs.provision(box, state, requests, objects, _headers(objects), NOW)
     return box, state, done
 
 
-_TARGETS = [("DR-1", "dev", "dev_main.dr_1_sales"), ("DR-1", "qa", "dev_main.qa_1_sales"), ("DR00002", "dev", "dev_main.dr_00002_sales")]
+_TARGETS = [("DR-1", "dev", "dev_main.dr_1_sales"), ("DR-1", "qa", "dev_main.qa_1_sales"), ("DR00002", "dev", "dev_main.dr_dr00002_sales")]
 
 
 def _target_rows(box: Sandbox) -> DataFrame:
@@ -269,6 +292,10 @@ def provision_end_to_end(t: Tables) -> DataFrame:
     )
 
 
+def _headers(objects: DataFrame) -> DataFrame:
+    return objects.groupBy("dr_id").agg(F.count(F.lit(1)).alias("total_objects")).withColumn("review_required", F.lit(False))
+
+
 def _grow(t: Tables, box: Sandbox) -> None:
     """Append every row of every source once more."""
     for table in SALES:
@@ -291,6 +318,26 @@ def _with_strategy(box: Sandbox, state) -> DataFrame:
     return _target_rows(box).join(objects, ["dr_id", "target_environment", "source_fqn"])
 
 
+@query(
+    "reprovision",
+    f"""SELECT *, CASE WHEN source_fqn LIKE '%absent' THEN 'FAILED' ELSE 'PROVISIONED' END AS status, 'ACTIVE' AS request_status, true AS same_start
+    FROM (SELECT dr_id, target_environment, source_fqn, clone_strategy, CAST(rows AS VARCHAR) AS rows FROM ({_expected(_TWICE)} UNION ALL {_ABSENT}))""",
+)
+def _(t: Tables) -> DataFrame:
+    """Provisioned, and provisioned again after the sources have grown: copies are replaced, the request keeps its start."""
+    box, state, _ = provisioned(t, growing=True)
+    _grow(t, box)
+    requests = _requests(t)
+    objects = _manifest(t, requests)
+    runs.provision(box, state, requests, objects, _headers(objects), "1998-06-16 12:00:00")
+    started = (F.col("created_at") == F.lit(NOW).cast("timestamp_ntz")).alias("same_start")
+    live = state.current("requests").select("dr_id", F.col("status").alias("request_status"), started)
+    return (
+        state.current("objects").join(_target_rows(box), ["dr_id", "target_environment", "source_fqn"], "left").join(live, "dr_id")
+        .select("dr_id", "target_environment", "source_fqn", "clone_strategy", F.col("rows").cast("string").alias("rows"), "status", "request_status", "same_start")
+    )
+
+
 @query("refresh_incremental", _expected(_TWICE))
 def _(t: Tables) -> DataFrame:
     box, state, _ = _refreshed(t, "incremental")

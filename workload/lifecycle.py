@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sandboxlake import fixed
 from sandboxlake.operators import lifecycle, outcomes
-from workload.fixtures import TODAY
+from sandboxlake.plans import runs
+from workload.fixtures import NOW, TODAY
 from workload.registry import Tables, query
+from workload.state import new_state
 
 _OPEN = "('PENDING_REVIEW', 'PROVISIONING', 'ACTIVE', 'EXPIRING_SOON')"
 _LIVE = "('ACTIVE', 'EXPIRING_SOON')"
@@ -220,3 +224,27 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     return outcomes.run_counters(t.view("fx_outcomes"), ["clone", "drop"])
+
+
+@query(
+    "notify_confirm",
+    f"""WITH due AS ({_DUE}), failed AS (SELECT * FROM due WHERE CAST(dr_id[4:] AS BIGINT) % 2 = 0)
+    SELECT 1 AS round, dr_id, CASE WHEN CAST(dr_id[4:] AS BIGINT) % 2 = 0 THEN 2 ELSE 1 END AS attempts, true AS stamped FROM due
+    UNION ALL SELECT 2, dr_id, 2, true FROM failed""",
+)
+def _(t: Tables) -> DataFrame:
+    """Notices of two calls: those that could not be sent come due again, and nothing does once all are confirmed."""
+    state = new_state(t)
+    state.append("requests", t.view("fx_requests"), NOW)
+    state.append("objects", t.view("fx_objects"), NOW)
+    failing = F.substring("dr_id", 4, 20).cast("bigint") % 2 == 0
+    calls = []
+    for number in (1, 2, 3):
+        due = runs.notify(state, NOW).select("dr_id")
+        calls.append(due.select(F.lit(number).alias("round"), "dr_id"))
+        again = runs.notify(state, NOW).select("dr_id")  # leased
+        sent = ~failing if number == 1 else F.lit(True)
+        runs.confirm_notices(state, due.unionByName(again).select("dr_id", sent.alias("success"), F.when(~sent, "no answer").alias("error")), NOW)
+    told = state.current("notices").select("dr_id", F.col("attempts").cast("int").alias("attempts"))
+    stamped = state.current("requests").select("dr_id", F.col("notification_sent_at").isNotNull().alias("stamped"))
+    return reduce(DataFrame.unionByName, calls).join(told, "dr_id").join(stamped, "dr_id").select("round", "dr_id", "attempts", "stamped")

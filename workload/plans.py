@@ -10,6 +10,7 @@ from sandboxlake.operators import principals
 from sandboxlake.plans import copy_plan as plans
 from workload.fixtures import NOW
 from workload.registry import Tables, query
+from workload.state import new_state
 
 
 def settings(t: Tables) -> DataFrame:
@@ -25,7 +26,8 @@ _NUMBER = "regexp_extract(x.dr_id, '([0-9]+)$', 1)"
 _CATALOG = """CASE WHEN trim(x.target_catalog) <> '' THEN trim(x.target_catalog)
        WHEN starts_with(x.fqn, 'prod') THEN 'dev' || split_part(x.fqn, '.', 1)[5:]
        ELSE split_part(x.fqn, '.', 1) || '_' || x.env END"""
-_SCHEMA = f"({_CATALOG}) || CASE x.env WHEN 'dev' THEN '.dr_' ELSE '.qa_' END || {_NUMBER} || '_' || split_part(x.fqn, '.', 2)"
+_TAG = f"CASE WHEN starts_with(x.dr_id, 'DR-') THEN {_NUMBER} ELSE lower(regexp_replace(x.dr_id, '([a-z])', '\\1_', 'g')) END"
+_SCHEMA = f"({_CATALOG}) || CASE x.env WHEN 'dev' THEN '.dr_' ELSE '.qa_' END || {_TAG} || '_' || split_part(x.fqn, '.', 2)"
 _THREE = "len(string_split(x.fqn, '.')) = 3"
 _ENVS = """envs AS (SELECT s.*, unnest(CASE WHEN qa_enabled THEN ['dev', 'qa'] ELSE ['dev'] END) AS env FROM fx_settings s),
 x AS (SELECT e.*, o.fqn, o.object_type, o.access_mode, o.clone_strategy, o.estimated_size_gb FROM envs e JOIN fx_manifest_objects o USING (dr_id))"""
@@ -33,13 +35,17 @@ x AS (SELECT e.*, o.fqn, o.object_type, o.access_mode, o.clone_strategy, o.estim
 
 @query(
     "target_names",
-    f"""WITH {_ENVS} SELECT DISTINCT x.dr_id, x.fqn, x.env, {_NUMBER} AS request_number, {_SCHEMA} AS target_schema,
-      CASE WHEN {_THREE} THEN {_SCHEMA} || '.' || split_part(x.fqn, '.', 3) END AS target_object FROM x""",
+    f"""WITH {_ENVS}, named AS (  -- every id once more in the other form, with prefixes that differ in a letter or its case only
+      SELECT * REPLACE (unnest([dr_id] || ['DR', 'DS', 'Ds', 'dS'].list_transform(lambda p: p || lpad(dr_id[4:], 8, '0'))) AS dr_id) FROM x)
+    SELECT DISTINCT x.dr_id, x.fqn, x.env, {_NUMBER} AS request_number, {_SCHEMA} AS target_schema,
+      CASE WHEN {_THREE} THEN {_SCHEMA} || '.' || split_part(x.fqn, '.', 3) END AS target_object FROM named x""",
 )
 def _(t: Tables) -> DataFrame:
+    digits = F.lpad(F.substring("dr_id", 4, 20), 8, "0")
+    forms = F.array("dr_id", *[F.concat(F.lit(prefix), digits) for prefix in ("DR", "DS", "Ds", "dS")])
     rows = t.view("fx_manifest_objects").select("dr_id", "fqn").distinct().join(settings(t), "dr_id").select(
-        "dr_id", "fqn", "target_catalog", F.explode(plans.environments(F.col("qa_enabled"))).alias("env")
-    )
+        F.explode(forms).alias("dr_id"), "fqn", "target_catalog", "qa_enabled"
+    ).select("dr_id", "fqn", "target_catalog", F.explode(plans.environments(F.col("qa_enabled"))).alias("env"))
     dr, fqn, env, cat = F.col("dr_id"), F.col("fqn"), F.col("env"), F.col("target_catalog")
     return rows.select(
         "dr_id", "fqn", "env", names.request_number(dr).alias("request_number"),
@@ -68,6 +74,24 @@ def copy_plan(t: Tables) -> DataFrame:
     return plans.copy_plan(t.view("fx_manifest_objects"), settings(t))
 
 
+@query(
+    "target_conflicts",
+    f"""WITH envs AS (SELECT s.*, unnest(CASE WHEN qa_enabled THEN ['dev', 'qa'] ELSE ['dev'] END) AS env FROM fx_settings s),
+    o AS (SELECT dr_id, fqn FROM fx_manifest_objects UNION ALL SELECT dr_id, 'other_' || fqn FROM fx_manifest_objects),
+    x AS (SELECT e.*, o.fqn FROM envs e JOIN o USING (dr_id)),
+    planned AS (SELECT x.dr_id, x.fqn AS source_fqn, x.env AS target_environment, {_SCHEMA} || '.' || split_part(x.fqn, '.', 3) AS target_fqn FROM x WHERE {_THREE}),
+    kept AS (SELECT dr_id, source_fqn, target_environment, target_fqn FROM fx_objects s WHERE status IS DISTINCT FROM 'DROPPED' AND NOT EXISTS (
+      SELECT 1 FROM planned p WHERE p.dr_id = s.dr_id AND p.source_fqn = s.source_fqn AND p.target_environment = s.target_environment))
+    SELECT lower(target_fqn) AS target_fqn, count(*) AS owners, count(DISTINCT dr_id) AS dr_ids
+    FROM (SELECT * FROM planned UNION SELECT * FROM kept) GROUP BY lower(target_fqn) HAVING count(*) > 1""",
+)
+def _(t: Tables) -> DataFrame:
+    """Objects of two catalogs under one name each: they meet where the request sends both to one catalog."""
+    objects = t.view("fx_manifest_objects")
+    both = objects.unionByName(objects.withColumn("fqn", F.concat(F.lit("other_"), "fqn")))
+    return plans.target_conflicts(plans.copy_plan(both, settings(t)), t.view("fx_objects"))
+
+
 _GRANTS = f"""WITH {_ENVS},
 s AS (SELECT DISTINCT dr_id, env AS target_environment, {_SCHEMA} AS schema_fqn, developers, qa_users FROM x),
 p AS (SELECT dr_id, target_environment, schema_fqn, unnest(string_split(CASE WHEN target_environment = 'dev' THEN developers ELSE qa_users END, ',')) AS principal FROM s),
@@ -169,6 +193,22 @@ def _(t: Tables) -> DataFrame:
     return plans.next_counter(allocate_ids(t), "DR", F.lit(NOW).cast("timestamp_ntz"))
 
 
+@query(
+    "allocate_ids_stored",
+    """SELECT o_orderkey, counter, 'DR' || CASE WHEN counter < 10000 THEN lpad(CAST(counter AS VARCHAR), 5, '0') ELSE CAST(counter AS VARCHAR) END AS dr_id,
+      (SELECT count(*) FROM orders) AS last_value
+    FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey % 2, o_orderdate, o_orderkey) AS counter FROM orders)""",
+)
+def _(t: Tables) -> DataFrame:
+    """Two calls, the second of which goes on where the first one ended."""
+    state, waiting = new_state(t), t.base("orders").select("o_orderdate", "o_orderkey")
+    order = ["o_orderdate", "o_orderkey"]
+    first = plans.allocate_stored(state, waiting.filter("o_orderkey % 2 = 0"), order, "DR", NOW)
+    second = plans.allocate_stored(state, waiting.filter("o_orderkey % 2 = 1"), order, "DR", NOW)
+    last = state.current("counters").select("last_value")
+    return first.unionByName(second).drop("o_orderdate").join(F.broadcast(last), F.lit(True))
+
+
 @query(
     "name_checks",
     """SELECT no, fqn, regexp_full_match(fqn, '[a-zA-Z0-9_]+[.][a-zA-Z0-9_]+[.][a-zA-Z0-9_]+') AS is_object,
