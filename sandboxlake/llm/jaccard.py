@@ -26,6 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +40,8 @@ MIN_PERCENT = 80
 SAMPLE = 64  # one in so many distinct texts is looked at for the order of shingles
 FREQUENT = 4  # a shingle in so many of them comes last
 MOST_FREQUENT = 500_000  # of those, as many are told to the tasks: four megabytes; the others keep their place
+BITS_PER_KEY = 16
+MOST_BITS = 1 << 29  # 64 megabytes
 _SUMMARY_WORDS = 8
 _LEAST_BITS = 64 * _SUMMARY_WORDS
 _ORDERS = [int(v) for v in texts.mix(np.arange(7, dtype=np.uint64)).view(np.int64)]  # the first changes nothing
@@ -98,12 +101,15 @@ def _shingles(column: pa.Array) -> pa.Array:
     return _with_lists(*([p[k] for p in parts] for k in range(3)))
 
 
+_CLASS_AND_FIRST = T.StructType([*_CLASS_AND_LIST.fields, T.StructField("late", T.ArrayType(T.BooleanType()))])
+
+
 def _first_shingles(last: np.ndarray):
-    """A function of a text that gives its first shingles; those in ``last`` (sorted) come after all others."""
+    """A function of a text that gives its first shingles, and which of them are in ``last`` (sorted): they come after all others."""
 
-    @F.arrow_udf(_CLASS_AND_LIST)
+    @F.arrow_udf(_CLASS_AND_FIRST)
     def first(column: pa.Array) -> pa.Array:
-        classes, sizes, values = [], [], []
+        classes, sizes, values, marks = [], [], [], [np.zeros(0, bool)]
         for sets, bounds in _sets(column):
             n = np.diff(bounds)
             late = last[np.minimum(np.searchsorted(last, sets), len(last) - 1)] == sets if len(last) else np.zeros(len(sets), bool)
@@ -116,7 +122,11 @@ def _first_shingles(last: np.ndarray):
             classes.append(_class_of(sets, bounds))
             sizes.append(texts.per_text(keep, bounds))
             values.append(sets[keep])
-        return _with_lists(classes, sizes, values)
+            marks.append(late[keep])
+        found = _with_lists(classes, sizes, values)
+        lists = found.field("items")
+        late = pa.ListArray.from_arrays(lists.offsets, pa.array(np.concatenate(marks)))
+        return pa.StructArray.from_arrays([found.field("cls"), lists, late], names=["cls", "items", "late"])
 
     return first
 
@@ -163,22 +173,51 @@ def _frequent(docs: DataFrame, text: str) -> np.ndarray:
     return np.sort(rows["shingle"].to_numpy().view(np.uint64))
 
 
+def _among(keys: DataFrame, key: str):
+    """A function of a column of 64-bit hashes: whether a hash may be one of ``keys``.  It may let others through, never
+    loses one.
+
+    A bit array, as large as the number of keys asks for but at most MOST_BITS; with more keys than that it lets more
+    through.  Its words are put together by a grouping; only they reach the driver and the tasks.
+    """
+    bits = min(MOST_BITS, max(_LEAST_BITS, 1 << (BITS_PER_KEY * keys.count()).bit_length()))
+    place = F.col(key).bitwiseAND(F.lit(bits - 1))
+    words = keys.select(F.shiftright(place, 6).alias("at"), F.expr(f"shiftleft(1L, cast({key} & 63 AS int))").alias("bit"))
+    found = words.groupBy("at").agg(F.bit_or("bit").alias("word")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[found["at"].to_numpy()] = found["word"].to_numpy()
+    shared = keys.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf(T.BooleanType())
+    def may(hashes: pa.Array) -> pa.Array:
+        at = hashes.to_numpy() & (bits - 1)
+        return pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1, pa.bool_())
+
+    return may
+
+
 class _Corpus:
-    """Documents with their classes; sets are worked out anew for the few classes that need comparing."""
+    """Documents with their classes; sets are worked out anew for the few classes that need comparing.
+
+    A text is known by its document's id and a hash of the text, so rows without an id are as good as others.
+    """
 
     def __init__(self, docs: DataFrame, key: str, text: str):
         small_batches(docs.sparkSession)
-        self.docs = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
-        self.members = settle(self.docs.select("doc", _sketch("text").alias("s")).select("doc", "s.*"))
+        plain = docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
+        self.docs = plain.select("doc", "text", F.xxhash64("doc", "text").alias("row"))
+        self.members = settle(self.docs.select("doc", "row", _sketch("text").alias("s")).select("doc", "row", "s.*"))
+        first = F.min_by(F.struct("doc", "row"), F.struct(F.col("doc").isNull(), "doc", "row")).alias("first")
         self.classes = settle(
-            self.members.filter(F.col("n") > 0).groupBy("cls")
-            .agg(F.min("doc").alias("doc"), F.max("n").alias("n"), F.first("bits").alias("bits"))
+            self.members.filter(F.col("n") > 0).groupBy("cls").agg(first, F.max("n").alias("n"), F.first("bits").alias("bits"))
+            .select("cls", F.col("first.doc").alias("doc"), F.col("first.row").alias("row"), "n", "bits")
         )
 
     def verified(self, pairs: DataFrame, many: bool) -> DataFrame:
         """The pairs (a, b) of classes that link; ``many``: a good part of all classes are in pairs.
 
-        Then texts and classes are both shuffled whatever the size, so that the plan does not change
+        Only texts of classes that the bitmaps leave open are fetched: the others are left out before the exchange.  With
+        ``many``, texts and classes are both shuffled whatever the size, so that the plan does not change
         where the list of classes outgrows a broadcast; texts stream by the classes of their partition unsorted.
         """
         sized = self.classes.select("cls", "n", "bits")
@@ -186,8 +225,9 @@ class _Corpus:
         close = pairs.join(a, F.col("a") == F.col("cls_a")).join(b, F.col("b") == F.col("cls_b"))
         possible = settle(close.filter(_may_link("n_a", "n_b", "bits_a", "bits_b")).select("a", "b", "n_a", "n_b"))
         needed = possible.select(F.col("a").alias("cls")).unionByName(possible.select(F.col("b").alias("cls"))).distinct()
-        named = settle(needed.join(self.classes.select("cls", F.col("doc").alias("of")), "cls"))  # its size is then known to the join
-        own = self.docs.join(named.hint("shuffle_hash") if many else named, F.col("doc").eqNullSafe(F.col("of")))
+        named = settle(needed.join(self.classes.select("cls", "row"), "cls"))  # its size is then known to the join
+        wanted = self.docs.filter(_among(named, "row")("row")).select("row", "text")
+        own = wanted.join(named.hint("shuffle_hash") if many else named, "row")
         sets = (
             own.select("cls", _shingles("text").alias("s")).filter(F.col("s.cls") == F.col("cls"))
             .groupBy("cls").agg(F.first("s.items").alias("items"))
@@ -245,12 +285,16 @@ def _components(corpus: _Corpus) -> DataFrame:
     """(node, root) of the classes that link with another one."""
     spark = corpus.docs.sparkSession
     first = _first_shingles(_frequent(corpus.docs, "text"))
-    listed = corpus.docs.select(first("text").alias("s"))
-    shared = settle(
-        listed.select(F.explode("s.items").alias("shingle")).groupBy("shingle").count().filter(F.col("count") > 1).select("shingle")
-    )
-    release_shuffles(spark)
-    met = settle(listed.select("s.cls", F.explode("s.items").alias("shingle")).join(shared, "shingle"))
+    # shingles go through one exchange, in which those of a single class are dropped; frequent ones are kept
+    # unseen, and spread over it
+    each = F.arrays_zip(F.col("s.items").alias("shingle"), F.col("s.late").alias("late"))
+    listed = corpus.docs.select(first("text").alias("s")).select("s.cls", F.inline(each))
+    spread = F.when(F.col("late"), F.col("cls").bitwiseAND(F.lit(1023))).otherwise(F.lit(0).cast("bigint"))
+    same = W.partitionBy("shingle", "spread")
+    shared = F.col("late") | (F.min("cls").over(same) < F.max("cls").over(same))
+    copy = F.coalesce(F.lag("cls").over(same.orderBy("cls")) == F.col("cls"), F.lit(False))
+    marked = listed.withColumn("spread", spread).select("cls", "shingle", shared.alias("shared"), copy.alias("copy"))
+    met = settle(marked.filter("shared AND NOT copy").select("cls", "shingle"))
     release_shuffles(spark)
     pairs = _partners(met, _ORDERS[:1])
     release_shuffles(spark)
@@ -293,15 +337,17 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     """
     corpus = _Corpus(docs, key, text)
     known = F.col("doc").isNull()
+    names = {n: fresh(n, docs.columns) for n in ("keep_doc", "keep_cls", "sketch", "cls")}
     keepers = settle(
         _labelled(corpus).groupBy("root").agg(F.min_by(F.struct("doc", "cls"), F.struct(known, "doc", "cls")).alias("k"))
-        .select(F.col("k.doc").alias("_keep_doc"), F.col("k.cls").alias("_keep_cls"))
-    )
-    s = fresh("sketch", docs.columns)
-    sketched = docs.withColumn(s, _sketch(F.col(text).cast("string")))
-    kept = sketched.filter(F.col(s)["n"] > 0).join(
-        keepers, F.col(key).eqNullSafe(F.col("_keep_doc")) & (F.col(s)["cls"] == F.col("_keep_cls")), "left_semi"
+        .select(F.col("k.doc").alias(names["keep_doc"]), F.col("k.cls").alias(names["keep_cls"]))
     )
-    cls = fresh("cls", [*docs.columns, s])
-    single = kept.withColumn(cls, F.col(s)["cls"]).dropDuplicates([key, cls])
-    return single.select(*docs.columns).unionByName(sketched.filter(F.col(s)["n"] == 0).select(*docs.columns))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    n, cls = F.col(names["sketch"])["n"], F.col(names["cls"])
+    sketched = docs.withColumn(names["sketch"], _sketch(F.col(f"`{text}`").cast("string"))).withColumn(names["cls"], F.col(names["sketch"])["cls"])
+    same = F.col(f"`{key}`").eqNullSafe(F.col(names["keep_doc"])) & (cls == F.col(names["keep_cls"]))
+    kept = sketched.filter(n > 0).join(keepers, same, "left_semi")
+    first = F.row_number().over(W.partitionBy(F.col(f"`{key}`"), cls).orderBy(F.xxhash64(F.col(f"`{text}`"))))
+    place = fresh("place", [*docs.columns, *names.values()])
+    single = kept.withColumn(place, first).filter(F.col(place) == 1)
+    return single.select(*own).unionByName(sketched.filter(n == 0).select(*own))

@@ -2,7 +2,7 @@
 
 A word is a maximal run of characters other than space and U+0009 to U+000D.  Those separators are
 single bytes that occur in no longer UTF-8 sequence, so words can be found on bytes.  Work goes through
-a column in chunks of whole texts (about a megabyte), which bounds the memory of a task; only a single
+a column in chunks of whole texts (about a quarter of a megabyte), which bounds the memory of a task; only a single
 text that is longer makes a longer chunk.
 """
 
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 SHINGLE_WORDS = 5
 
 U = np.uint64

@@ -71,7 +71,7 @@ def stretches(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Known:
     """Ids of the stretches that this process has met, by hash, up to a bounded number of them."""
 
-    def __init__(self, ranks: str, most: int = 1_000_000):
+    def __init__(self, ranks: str, most: int = 250_000):
         self.encoding, self.sizes = _ranked(ranks)
         self.most = most
         self.hashes = np.zeros(0, np.uint64)
