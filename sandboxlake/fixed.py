@@ -70,6 +70,7 @@ CONFIG_VALID, CONFIG_INVALID = "valid", "invalid"
 EDIT_PENDING = "CONFIG_EDIT_PENDING"
 EDIT_APPROVED = "CONFIG_EDIT_APPROVED"
 EDIT_REJECTED = "CONFIG_EDIT_REJECTED"
+EDIT_ACTIONS = (EDIT_PENDING, EDIT_APPROVED, EDIT_REJECTED)
 
 # Config fields whose edit on a provisioned request needs an approval.
 SENSITIVE_FIELDS = ("access.developers", "access.qa_users", "additional_objects")

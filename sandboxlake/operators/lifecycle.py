@@ -44,12 +44,25 @@ def visible_to(requests: DataFrame, user: str, is_admin: bool) -> DataFrame:
 
 
 def visible_requests(requests: DataFrame, viewers: DataFrame) -> DataFrame:
-    """(viewer, dr_id) for all viewers who are not admins; an admin sees ``requests`` as it is.
+    """What all viewers may list, as (viewer, scope, dr_id).
 
-    ``viewers`` is (viewer, is_admin).
+    An admin has one row of scope ``all``, which stands for every request; others have a row of scope ``own`` for each
+    request they created.  ``viewers`` is (viewer, is_admin); who is listed as both is an admin.
     """
-    owners = viewers.filter(~F.col("is_admin")).select("viewer").distinct()
-    return requests.join(owners, requests.created_by == owners.viewer).select("viewer", "dr_id")
+    listed = viewers.groupBy("viewer").agg(F.bool_or(F.coalesce("is_admin", F.lit(False))).alias("_admin"))
+    admins = listed.filter("_admin").select("viewer", F.lit("all").alias("scope"), F.lit(None).cast(requests.schema["dr_id"].dataType).alias("dr_id"))
+    owners = listed.filter("NOT _admin").select("viewer")
+    own = requests.join(owners, requests.created_by == owners.viewer).select("viewer", F.lit("own").alias("scope"), "dr_id")
+    return own.unionByName(admins)
+
+
+def may_list(requests: DataFrame, visible: DataFrame, viewer: str) -> DataFrame:
+    """The requests that a viewer's rows of ``visible_requests`` stand for."""
+    mine = visible.filter(F.col("viewer") == viewer)
+    own = mine.filter("scope = 'own'").select(F.col("dr_id").alias("_own")).distinct()
+    everything = mine.filter("scope = 'all'").select(F.lit(True).alias("_all")).limit(1)
+    flagged = requests.join(own, requests.dr_id == F.col("_own"), "left").join(F.broadcast(everything), F.lit(True), "left")
+    return flagged.filter(F.col("_own").isNotNull() | F.coalesce("_all", F.lit(False))).select(*requests.columns)
 
 
 def refresh_targets(objects: DataFrame, mode: str, selected: DataFrame | None = None) -> DataFrame:

@@ -1,18 +1,17 @@
 """The scan manifest: what a request touches, how large it is, and whether someone should look at it.
 
-The rows (objects, schemas, headers) are the manifest; the nested document is made of them at the
-end, in parts of bounded size, so that a request with very many objects never becomes one huge row.
+The rows are the manifest: one header per request, and one item row per object, schema, stream and listed object beside
+it, whatever their number.  The sink stores these.  The nested document, one per request, is made of them for reading
+by people and other programs; its size is what a single text can hold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sandboxlake.functions.names import catalog_of, schema_of
 
-ITEMS_PER_DOCUMENT = 10_000
-
 
 def with_sizes(objects: DataFrame, sizes: DataFrame) -> DataFrame:
     """Add ``estimated_size_gb``; only tables have one."""
@@ -70,56 +69,37 @@ def manifest_headers(objects: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
-def manifest_documents(
-    headers: DataFrame,
-    objects: DataFrame,
-    streams: DataFrame,
-    non_prod: DataFrame,
-    scanned_at: str,
-    items_per_document: int = ITEMS_PER_DOCUMENT,
-) -> DataFrame:
-    """Nested manifests as JSON: (dr_id, part, parts, manifest_json).
-
-    A request with up to ``items_per_document`` objects, schemas and streams has one part, which is
-    the whole manifest.
-    Larger ones are spread over more parts by a hash of the item; totals and flags are in each.
-    """
-    tag = lambda kind, when: F.when(F.col("kind") == kind, when)
-
+def manifest_items(objects: DataFrame, streams: DataFrame, non_prod: DataFrame) -> DataFrame:
+    """One row per item of a manifest: (dr_id, kind, name, object, stream); kind is object, stream, schema or non_prod."""
     def items(df: DataFrame, kind: str, name: Column, payload: Column | None = None) -> DataFrame:
+        stream = F.struct(F.col("name"), F.col("resource_id").alias("workflow_id"), F.col("task_keys").alias("tasks"))
         return df.select(
             "dr_id", F.lit(kind).alias("kind"), name.alias("name"),
             (payload if payload is not None else F.lit(None).cast(_OBJECT)).alias("object"),
-            (F.struct(F.col("name"), F.col("resource_id").alias("workflow_id"), F.col("task_keys").alias("tasks"))
-             if kind == "stream" else F.lit(None).cast(_STREAM)).alias("stream"),
+            (stream.cast(_STREAM) if kind == "stream" else F.lit(None).cast(_STREAM)).alias("stream"),
         )
 
     payload = F.struct(
         F.col("fqn"), F.col("object_type").alias("type"), "access_mode", "format", "estimated_size_gb"
     ).cast(_OBJECT)
-    everything = (
+    return (
         items(objects, "object", F.col("fqn"), payload)
         .unionByName(items(streams, "stream", F.col("name")))
         .unionByName(items(schemas_required(objects), "schema", F.col("schema_fqn")))
         .unionByName(items(non_prod, "non_prod", F.col("fqn")))
     )
-    named = streams.groupBy("dr_id").agg(F.count(F.lit(1)).alias("_streams"))
-    items_in_all = F.col("total_objects") + F.col("total_schemas") + F.coalesce("_streams", F.lit(0))
-    counts = headers.join(named, "dr_id", "left").select(
-        "dr_id", F.ceil(items_in_all / items_per_document).cast("int").alias("parts")
-    )
-    # Spread by part before gathering; the join alone would leave a large request in one place.
-    parted = everything.join(counts, "dr_id").withColumn(
-        "part", F.pmod(F.xxhash64("kind", "name"), F.col("parts")).cast("int")
-    ).repartition("dr_id", "part")
-    gathered = parted.groupBy("dr_id", "part", "parts").agg(
-        F.array_sort(F.collect_list("object")).alias("objects"),
-        F.array_sort(F.collect_list("stream")).alias("streams_scanned"),
-        F.array_sort(F.collect_list(tag("schema", F.col("name")))).alias("schemas_required"),
-        F.array_sort(F.collect_list(tag("non_prod", F.col("name")))).alias("non_prod_additional_objects"),
-    )
-    return gathered.join(headers, "dr_id").select(
-        "dr_id", "part", "parts",
+
+
+def documents_of(headers: DataFrame, items: DataFrame, scanned_at: str) -> DataFrame:
+    """Nested manifests as JSON, one per request with items: (dr_id, manifest_json)."""
+    tag = lambda kind, when: F.when(F.col("kind") == kind, when)
+    lists = {
+        "objects": F.col("object"), "streams_scanned": F.col("stream"), "schemas_required": tag("schema", F.col("name")),
+        "non_prod_additional_objects": tag("non_prod", F.col("name")),
+    }
+    gathered = items.groupBy("dr_id").agg(*[F.array_sort(F.collect_list(item)).alias(name) for name, item in lists.items()])
+    return headers.join(gathered, "dr_id").select(
+        "dr_id",
         F.to_json(
             F.struct(
                 F.struct(
@@ -132,10 +112,29 @@ def manifest_documents(
     )
 
 
+def manifest_documents(headers: DataFrame, objects: DataFrame, streams: DataFrame, non_prod: DataFrame, scanned_at: str) -> DataFrame:
+    """``documents_of`` the items of a scan."""
+    return documents_of(headers, manifest_items(objects, streams, non_prod), scanned_at)
+
+
 _OBJECT = "struct<fqn:string,type:string,access_mode:string,format:string,estimated_size_gb:double>"
 _STREAM = "struct<name:string,workflow_id:string,tasks:array<string>>"
+_ITEM = f"dr_id string, kind string, name string, object {_OBJECT}, stream {_STREAM}"
+_HEADER = (
+    "dr_id string, total_objects bigint, total_schemas bigint, review_required boolean, lineage_row_limit_hit boolean, "
+    "scanned_at string"
+)
+
+
+def write_manifests(headers: DataFrame, items: DataFrame, path: str, scanned_at: str) -> None:
+    """Manifest sink: JSON rows, headers and items side by side, for all requests of a scan.
+
+    The headers come last, so a folder without them is a scan that broke off.
+    """
+    items.write.mode("errorifexists").json(f"{path}/items")
+    headers.withColumn("scanned_at", F.lit(scanned_at)).write.mode("errorifexists").json(f"{path}/headers")
 
 
-def write_manifests(documents: DataFrame, path: str) -> None:
-    """Manifest sink: one JSON row per document."""
-    documents.write.mode("errorifexists").json(path)
+def read_manifests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(headers, items) of a folder that ``write_manifests`` has written."""
+    return spark.read.schema(_HEADER).json(f"{path}/headers"), spark.read.schema(_ITEM).json(f"{path}/items")

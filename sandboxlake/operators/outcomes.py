@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from sandboxlake import fixed
 
-NAMES_PER_LIST = 10_000
-
 
 def run_status(requests: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Final and audit status per request, with counters.  A run with no outcomes is a success."""
@@ -41,22 +39,18 @@ def cleanup_status(requests: DataFrame, outcomes: DataFrame) -> DataFrame:
     ).withColumn("audit_status", F.when(clean, fixed.SUCCESS).otherwise(fixed.PARTIAL_SUCCESS))
 
 
-def failed_objects(outcomes: DataFrame, names_per_list: int = NAMES_PER_LIST) -> DataFrame:
-    """Names of failed objects as JSON, (dr_id, part, error_message).
+def failures(outcomes: DataFrame) -> DataFrame:
+    """The failures of a run as rows of their own: (run_id, dr_id, target_environment, source_fqn, action, error)."""
+    return outcomes.filter(~F.col("success")).select("run_id", "dr_id", "target_environment", "source_fqn", "action", "error")
+
+
+def failed_objects(outcomes: DataFrame) -> DataFrame:
+    """Names of failed objects as JSON, one row per request: (dr_id, error_message).
 
-    A request with more failures than fit into one list gets several rows.
+    It is one text, for one audit row; ``failures`` has the same names as rows.
     """
-    failed = outcomes.filter(~F.col("success"))
-    counts = failed.groupBy("dr_id").agg(
-        F.ceil(F.count(F.lit(1)) / names_per_list).cast("int").alias("_parts")
-    )
-    return (
-        failed.join(counts, "dr_id")
-        .withColumn("part", F.pmod(F.xxhash64("source_fqn", "target_environment"), F.col("_parts")).cast("int"))
-        .repartition("dr_id", "part")
-        .groupBy("dr_id", "part")
-        .agg(F.to_json(F.struct(F.array_sort(F.collect_list("source_fqn")).alias("failed_objects"))).alias("error_message"))
-    )
+    names = F.array_sort(F.collect_list("source_fqn")).alias("failed_objects")
+    return outcomes.filter(~F.col("success")).groupBy("dr_id").agg(F.to_json(F.struct(names)).alias("error_message"))
 
 
 def run_counters(outcomes: DataFrame, actions: Sequence[str]) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 # Up to this n Spark cuts each key to n rows before the shuffle (its window group limit).
 _MAP_SIDE_LIMIT = 1000
-_SALTS = 64
 
 
 def ranked_rows(
@@ -19,14 +18,16 @@ def ranked_rows(
     """The first ``n`` rows of each key in the given order, numbered from 1.
 
     ``order`` should tell the rows of a key apart.  For a small ``n`` the cut happens before the
-    shuffle.  For a larger one a first pass cuts each salted part of a key to ``n`` rows, so no
-    task sees more than 64 x n rows of one key.
+    shuffle.  For a larger one a first pass cuts each part of a key to ``n`` rows; a key of m rows is spread over about
+    sqrt(m / n) parts, so neither a part nor what is left of the key is more than about sqrt(m n) rows.
     """
     if n > _MAP_SIDE_LIMIT:
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS))
+        counted = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.ceil(F.sqrt(F.count(F.lit(1)) / n)).alias("_parts"))
+        same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
         part = W.partitionBy(*keys, "_salt").orderBy(*order)
+        columns = df.columns
         df = (
-            df.withColumn("_salt", salt)
+            df.join(counted, same).withColumn("_salt", F.pmod(F.xxhash64(*columns), F.col("_parts"))).select(*columns, "_salt")
             .repartition(*keys, "_salt")  # also when the rows already come partitioned by the key alone
             .withColumn("_rn", F.row_number().over(part))
             .filter(F.col("_rn") <= n)

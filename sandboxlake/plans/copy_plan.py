@@ -126,12 +126,17 @@ def grant_plan(schemas_: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def _folded(people: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Distinct people per key as arrays, in up to 32 salted parts so that no group ends up in one row."""
-    return (
-        people.withColumn("_salt", F.pmod(F.xxhash64(*fields), F.lit(32)))
-        .groupBy(*keys, "_salt").agg(F.collect_set(F.struct(*fields)).alias("_people")).drop("_salt")
-    )
+PEOPLE_PER_ROW = 1000
+
+
+def _folded(people: DataFrame, keys: Sequence[str], fields: Sequence[str], per_row: int = PEOPLE_PER_ROW) -> DataFrame:
+    """Distinct people per key as arrays of about ``per_row``: a key has as many rows as its number of people asks for.
+
+    They are counted with a map-side step, and spread over the parts of their key before they are gathered.
+    """
+    counted = people.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / per_row).alias("_parts"))
+    parted = people.join(counted, list(keys)).withColumn("_part", F.pmod(F.xxhash64(*fields), F.col("_parts")))
+    return parted.repartition(*keys, "_part").groupBy(*keys, "_part").agg(F.collect_set(F.struct(*fields)).alias("_people")).drop("_part")
 
 
 def user_grant_plan(schemas_: DataFrame, changes: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def decide_edits(state: StateTables, decisions: DataFrame, now: str, by: str) ->
     An edit whose config changed hands since is not applied and stays pending.  Of several approved
     edits of one config the latest is what remains.
     """
-    pending = approvals.pending_edits(state.current("audit"))
+    pending = approvals.pending_edits(state.edit_rows(decisions), F.col("edit_key"))
     detailed = with_parsed(pending.select("dr_id", "pending_edit_id", "performed_at", "action_detail"), "_p", {"d": ("action_detail", schemas.PENDING_EDIT)})
     asked = decisions.join(
         detailed.select(

@@ -58,7 +58,7 @@ def _audit(
 
 
 def _with_failures(status: DataFrame, done: DataFrame) -> DataFrame:
-    """Status rows with the JSON list of failed objects; a very long list is cut into several rows."""
+    """Status rows, one per request, with the JSON list of its failed objects; the outcome rows say the same by run."""
     return status.join(results.failed_objects(done), "dr_id", "left")
 
 

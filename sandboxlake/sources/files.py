@@ -33,6 +33,13 @@ def move_into(spark: SparkSession, source: str, folder: str, name: str) -> None:
         system.rename(path, _resolve(spark, folder)[1])
 
 
+def rename_folder(spark: SparkSession, folder: str, new: str) -> None:
+    """Give a folder of ours its final name."""
+    system, path = _resolve(spark, folder)
+    if not system.rename(path, _resolve(spark, new)[1]):
+        raise OSError(f"cannot rename {folder}")
+
+
 def claim(spark: SparkSession, folder: str, name: str) -> bool:
     """Make an empty file; false if somebody has made it before.  One caller wins on file systems that create exclusively."""
     system, path = _resolve(spark, f"{folder}/{name}")

@@ -1,26 +1,35 @@
 """State tables as append-only change logs in a shared folder.
 
 A change is appended as a new row with a higher ``commit_version``; the current row of a key is the
-newest one (``as_of``).  Audit rows never change, so they carry no commit columns and are stored by
+newest one (``as_of``).  ``compact`` rewrites the newest rows as a generation, laid out by a hash of the request; after that
+a lookup by request reads its part of the generation and the changes since.  Audit rows never change, so they carry no commit columns and are stored by
 day: reading recent rows and purging old ones touch the matching folders only.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sandboxlake import fixed, schemas
+from sandboxlake.operators.approvals import edit_key
 from sandboxlake.operators.asof import as_of
 from sandboxlake.operators.lifecycle import audit_kept, audit_stays
-from sandboxlake.sources.files import claim_next, make_folder, move_into, names_in, remove_folder
+from sandboxlake.sources.files import claim_next, make_folder, move_into, names_in, remove_folder, rename_folder
 
 _PURGE = "_purge-"
+_GENERATION = r"_gen-([0-9]+)-([0-9]+)"
+BUCKETS = 64
 _COMMIT = "commit_version bigint, commit_ts timestamp_ntz, op string"
 
 
+def _bucket(dr_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(dr_id), F.lit(buckets)).cast("int")
+
+
 def evolve(rows: DataFrame, schema: str) -> DataFrame:
     """Rows under a newer schema: columns they lack are NULL, types and order follow the schema."""
     return rows.select(
@@ -64,7 +73,7 @@ class StateTables:
     @staticmethod
     def _schema(name: str) -> str:
         if name == "audit":
-            return f"{schemas.AUDIT}, day date"
+            return f"{schemas.AUDIT}, edit_key string, day date"
         return f"{schemas.STATE_SCHEMAS[name]}, {_COMMIT}"
 
     def _write(self, name: str, rows: DataFrame) -> None:
@@ -102,25 +111,97 @@ class StateTables:
         return claim_next(self.spark, claims, first)
 
     def append_audit(self, rows: DataFrame) -> None:
-        self._write("audit", audit_rows(rows).withColumn("day", F.to_date("performed_at")))
+        keyed = audit_rows(rows).withColumn("edit_key", F.when(F.col("action").isin(*fixed.EDIT_ACTIONS), edit_key()))
+        self._write("audit", keyed.withColumn("day", F.to_date("performed_at")))
+
+    def _generation(self, name: str) -> tuple[str, int, int] | None:
+        """The newest whole generation of a table: its folder, the version it goes up to, and its number of buckets."""
+        whole = [
+            (int(found[1]), int(found[2]), entry)
+            for entry in names_in(self.spark, self.path(name)) if (found := re.fullmatch(_GENERATION, entry))
+        ]
+        if not whole:
+            return None
+        bound, buckets, entry = max(whole)
+        return f"{self.path(name)}/{entry}", bound, buckets
 
-    def log(self, name: str) -> DataFrame:
+    def log(self, name: str, dr_ids: DataFrame | None = None) -> DataFrame:
+        """All changes that count: the newest generation, and what was appended since.
+
+        With ``dr_ids``, rows of those requests only, from their buckets of the generation.
+        """
         if name == "audit":
             self._end_purges()
-        return self.spark.read.schema(self._schema(name)).parquet(self.path(name))
-
-    def current(self, name: str) -> DataFrame:
+        schema = self._schema(name)
+        rows = self.spark.read.schema(schema).parquet(self.path(name))
+        generation = None if name == "audit" else self._generation(name)
+        if generation:
+            folder, bound, buckets = generation
+            wanted = [f"{folder}/{entry}" for entry in self._buckets(folder, buckets, dr_ids)]
+            rows = rows.filter(F.col("commit_version") > bound)
+            if wanted:
+                rows = self.spark.read.schema(schema).option("basePath", folder).parquet(*wanted).drop("bucket").unionByName(rows)
+        return rows if dr_ids is None else rows_of_requests(rows, dr_ids)
+
+    def _buckets(self, folder: str, buckets: int, dr_ids: DataFrame | None) -> list[str]:
+        there = [entry for entry in names_in(self.spark, folder) if entry.startswith("bucket=")]
+        if dr_ids is None:
+            return there
+        asked = dr_ids.select(_bucket(F.col("dr_id"), buckets).alias("b")).distinct().collect()  # at most ``buckets`` rows
+        return sorted({f"bucket={r['b']}" for r in asked} & set(there))
+
+    def current(self, name: str, dr_ids: DataFrame | None = None) -> DataFrame:
         """Current rows; older files that lack a newer column read it as NULL."""
         if name == "audit":
-            return self.log(name).drop("day")
-        return as_of(self.log(name), schemas.STATE_KEYS[name])
+            return self.log(name, dr_ids).drop("day", "edit_key")
+        return as_of(self.log(name, dr_ids), schemas.STATE_KEYS[name])
 
     def of_requests(self, name: str, dr_ids: DataFrame) -> DataFrame:
-        return rows_of_requests(self.current(name), dr_ids)
+        """Current rows of some requests; the cut to them comes before the newest row of a key is looked for."""
+        return self.current(name, dr_ids)
+
+    def compact(self, name: str, buckets: int = BUCKETS) -> int:
+        """Rewrite the current rows of a table as a new generation; returns the version it goes up to.
+
+        The generation is whole once its folder has its name, which says up to which version it goes: files of older
+        changes count no more then, and are removed.  A run that breaks off in between leaves nothing that is read twice.
+        Appends must not run at the same time: one that claimed its version before and arrives after would not count.
+        """
+        if name == "audit" or "dr_id" not in schemas.STATE_KEYS[name]:
+            raise ValueError(f"not laid out by request: {name}")
+        old = [entry for entry in names_in(self.spark, self.path(name)) if entry.endswith(".parquet")]
+        before = self._generation(name)
+        log = self.log(name)
+        reached = before[1] if before else 0
+        bound = max(log.agg(F.max("commit_version").alias("v")).first()["v"] or 0, reached)
+        if bound == reached:
+            return bound
+        newest = as_of(log.filter(F.col("commit_version") <= bound), schemas.STATE_KEYS[name], keep_commit=True)
+        laid = newest.withColumn("bucket", _bucket(F.col("dr_id"), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "dr_id")
+        building = f"{self.path(name)}/_building-{uuid.uuid4().hex}"
+        laid.write.partitionBy("bucket").parquet(building)
+        rename_folder(self.spark, building, f"{self.path(name)}/_gen-{bound}-{buckets}")
+        # files listed before the bound was taken hold no newer change
+        for entry in old:
+            remove_folder(self.spark, self.path(name), f"{self.path(name)}/{entry}")
+        if before:
+            remove_folder(self.spark, self.path(name), before[0])
+        return bound
 
     def audit_since(self, first: str) -> DataFrame:
         """Audit rows from a day on; folders before it are not read."""
-        return self.log("audit").filter(F.col("day") >= F.lit(first).cast("date")).drop("day")
+        return self.log("audit").filter(F.col("day") >= F.lit(first).cast("date")).drop("day", "edit_key")
+
+    def edit_rows(self, edits: DataFrame | None = None) -> DataFrame:
+        """Audit rows about staged edits, with their ``edit_key``; only those of ``edits`` (pending_edit_id), if given.
+
+        The key is a column of its own, stored when the rows are appended; only rows from before there was one are parsed.
+        """
+        rows = self.log("audit").filter(F.col("action").isin(*fixed.EDIT_ACTIONS)).withColumn("edit_key", F.coalesce("edit_key", edit_key())).drop("day")
+        if edits is None:
+            return rows
+        asked = edits.select(F.col("pending_edit_id").alias("edit_key")).distinct()
+        return rows.join(asked, "edit_key", "left_semi")
 
     def purge_audit(self, now: str, days: int = fixed.AUDIT_RETENTION_DAYS) -> int:
         """Remove audit rows older than ``days``: whole day folders, plus part of the day of the cut.

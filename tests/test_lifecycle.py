@@ -36,7 +36,9 @@ def test_filters(requests, frame):
     assert ids(lifecycle.requests_to_notify(requests, today, F.lit(8))) == ["1", "2", "3"]
     assert ids(lifecycle.visible_to(requests, "c", False)) == ["6", "7"] and ids(lifecycle.visible_to(requests, "c", True)) == list("1234567")
     viewers = frame("viewer string, is_admin boolean", ("a", False), ("b", True), ("a", False))
-    assert rows(lifecycle.visible_requests(requests, viewers)) == [("a", "1"), ("a", "2")]
+    visible = lifecycle.visible_requests(requests, viewers)
+    assert rows(visible) == [("a", "own", "1"), ("a", "own", "2"), ("b", "all", None)]
+    assert [len(ids(lifecycle.may_list(requests, visible, v))) for v in ("a", "b", "nobody")] == [2, 7, 0]
     assert rows(lifecycle.with_eligibility(requests, today), "dr_id", "reason") == [
         ("1", None), ("2", None), ("3", None), ("4", "expired"), ("5", "not_active"), ("6", None), ("7", "not_active"),
     ]
@@ -102,11 +104,14 @@ def test_run_status(frame, ok, bad, want):
     assert rows(outcomes.cleanup_status(frame("dr_id string", ("1",)), done), "final_status", "audit_status") == [clean]
 
 
-def test_failed_lists_in_parts(frame):
-    done = frame("dr_id string, source_fqn string, target_environment string, success boolean", *[("1", f"t{i}", "dev", i > 20) for i in range(30)])
-    assert json.loads(outcomes.failed_objects(done).first()["error_message"])["failed_objects"] == sorted(f"t{i}" for i in range(21))
-    parts = outcomes.failed_objects(done, 5).collect()
-    assert len(parts) > 1 and sorted(n for p in parts for n in json.loads(p["error_message"])["failed_objects"]) == sorted(f"t{i}" for i in range(21))
+def test_failed_lists(frame, spark):
+    """One row per request however long its list is, and the same failures as rows of the run."""
+    done = spark.range(12_000).selectExpr(
+        "'r' AS run_id", "'1' AS dr_id", "concat('t', id) AS source_fqn", "'dev' AS target_environment", "'clone' AS action", "id > 11000 AS success", "'e' AS error"
+    )
+    found = outcomes.failed_objects(done).collect()
+    assert len(found) == 1 and json.loads(found[0]["error_message"])["failed_objects"] == sorted(f"t{i}" for i in range(11_001))
+    assert outcomes.failures(done).filter("run_id = 'r' AND dr_id = '1'").count() == 11_001
 
 
 def change(frame, old, new):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from sandboxlake import schemas
+from sandboxlake.operators import approvals
 from sandboxlake.operators import classify as c
 from sandboxlake.operators import manifest as m
 from sandboxlake.operators.resolve import ambiguous_streams, resolve_streams, scannable_requests
@@ -155,7 +156,7 @@ def test_scan_over_the_limit_asks_for_review(frame, spark):
     assert rows(s.headers, "dr_id", "review_required", "lineage_row_limit_hit") == [("DR-1", True, True), ("DR-3", False, False)]
 
 
-def test_documents_whole_and_in_parts(frame, spark, tmp_path):
+def test_documents(frame, spark, tmp_path):
     s = scanned(frame, spark)
     docs = m.manifest_documents(s.headers, s.objects, s.streams, s.non_prod, "2026-01-01T00:00:00+00:00")
     doc = json.loads(docs.filter("dr_id = 'DR-1'").first()["manifest_json"])["scan_result"]
@@ -163,11 +164,30 @@ def test_documents_whole_and_in_parts(frame, spark, tmp_path):
     assert doc["schemas_required"] == ["other.s", "prod_a.s", "prod_b.s"] and doc["non_prod_additional_objects"] == ["other.s.x"]
     assert doc["streams_scanned"][0] == {"name": "one", "workflow_id": "1", "tasks": ["a"]}
     assert "estimated_size_gb" not in doc["objects"][0]
-    small = m.manifest_documents(s.headers, s.objects, s.streams, s.non_prod, "x", items_per_document=3)
-    assert small.filter("dr_id = 'DR-1'").count() > 1
-    assert rows(documents.manifest_objects(small), "dr_id", "fqn") == rows(s.objects, "dr_id", "fqn")
-    m.write_manifests(docs, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).count() == 2
+    assert docs.count() == 2 and rows(documents.manifest_objects(docs), "dr_id", "fqn") == rows(s.objects, "dr_id", "fqn")
+
+
+def test_manifest_sink(frame, spark, tmp_path):
+    s = scanned(frame, spark)
+    items = m.manifest_items(s.objects, s.streams, s.non_prod)
+    m.write_manifests(s.headers, items, str(tmp_path / "out"), "2026-01-01")
+    headers, again = m.read_manifests(spark, str(tmp_path / "out"))
+    assert rows(headers.drop("scanned_at")) == rows(s.headers.select(headers.drop("scanned_at").columns))
+    assert rows(again) == rows(items) and again.count() == items.count()
+    assert rows(m.documents_of(headers, again, "x")) == rows(m.manifest_documents(s.headers, s.objects, s.streams, s.non_prod, "x"))
+
+
+def test_a_long_manifest_is_one_document_and_one_pending_row(frame, spark):
+    many = spark.range(12_000).select(
+        F.lit("DR-1").alias("dr_id"), F.concat(F.lit("prod_a.s.t"), F.col("id").cast("string")).alias("fqn"), F.lit("table").alias("object_type"),
+        F.lit("READ_ONLY").alias("access_mode"), F.lit("delta").alias("format"), F.lit(None).cast("double").alias("estimated_size_gb"), F.lit(False).alias("is_additional"),
+    )
+    headers = m.manifest_headers(many, frame("dr_id string, row_limit_hit boolean", ("DR-1", False)))
+    streams = frame("dr_id string, name string, resource_id string, task_keys array<string>")
+    docs = m.manifest_documents(headers, many, streams, frame("dr_id string, fqn string"), "x")
+    configs = docs.select("dr_id", "manifest_json", *[F.lit(v).alias(c) for c, v in (("status", "scanned"), ("description", "d"), ("created_by", "u"), ("scanned_at", "x"))])
+    assert rows(approvals.pending_provisions(configs), "dr_id", "total_objects", "total_schemas") == [("DR-1", 12_000, 1)]
+    assert documents.manifest_objects(docs).count() == 12_000
 
 
 def test_manifest_needs_an_object_list(frame):

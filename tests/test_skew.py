@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from sandboxlake import fixed
 from sandboxlake.operators import asof, classify, slices, topn
+from sandboxlake.plans import copy_plan as plans
 from sandboxlake.session import forget_settled, settle, shared_dir
 
 
@@ -114,3 +115,18 @@ def test_settled_rows_stay(spark):
     assert rows(df) == rows(df)
     assert spark.conf.get("spark.checkpoint.dir", None) in (None, shared_dir(spark))
     forget_settled(spark)
+
+
+def test_people_of_a_hot_request_are_folded_into_as_many_rows_as_they_need(spark):
+    """One request holds most people; no row holds more than about what is asked for, and no statement is lost."""
+    people = spark.range(3000).select(
+        F.when(F.col("id") < 2500, "hot").otherwise(F.concat(F.lit("r"), (F.col("id") % 50).cast("string"))).alias("dr_id"),
+        F.concat(F.lit("u"), F.col("id").cast("string")).alias("principal"),
+    )
+    folded = plans._folded(people.unionByName(people), ["dr_id"], ["principal"], 100)
+    sizes = [(r["dr_id"], r["n"]) for r in folded.select("dr_id", F.size("_people").alias("n")).collect()]
+    assert max(n for _, n in sizes) < 200 and sum(n for _, n in sizes) == 3000
+    assert len([1 for d, _ in sizes if d == "hot"]) > 25 and len([1 for d, _ in sizes if d == "r1"]) == 1
+    objects = people.select("dr_id", F.lit("c.s.t").alias("target_fqn")).distinct()
+    access = people.withColumnRenamed("principal", "user_email")
+    assert plans.revoke_plan(objects, access).select("dr_id", "principal").distinct().count() == 3000

@@ -184,6 +184,34 @@ def test_versions_are_claimed_in_order(spark, frame, tmp_path):
     assert not files.claim(spark, f"{tmp_path}/claims", "2")
 
 
+def test_a_lookup_reads_its_buckets(spark, frame, tmp_path, monkeypatch):
+    state = StateTables(spark, f"{tmp_path}/state")
+    state.create()
+    state.append("requests", frame("dr_id string, status string", *[(f"DR-{i}", "ACTIVE") for i in range(200)]), "2026-01-01")
+    state.append("requests", frame("dr_id string, status string", *[(f"DR-{i}", "EXPIRED") for i in range(0, 200, 7)]), "2026-01-02")
+    state.append("requests", frame("dr_id string", ("DR-3",), ("DR-14",)), "2026-01-03", "delete")
+    want = rows(state.current("requests"))
+    assert state.compact("requests", 8) == state.compact("requests", 8)
+    assert rows(state.current("requests")) == want and len(want) == 198
+    asked = frame("dr_id string", ("DR-7",), ("DR-3",), ("DR-nowhere",))
+    found = state.of_requests("requests", asked)
+    assert rows(found, "dr_id", "status") == [("DR-7", "EXPIRED")]
+    read = {part for f in found.inputFiles() for part in f.split("/") if part.startswith("bucket=")}
+    assert 1 <= len(read) <= 3 and len({p.name for p in (tmp_path / "state").rglob("bucket=*")}) == 8
+    # a run that breaks off before the old files are gone: deleted rows stay deleted
+    state.append("requests", frame("dr_id string", ("DR-7",)), "2026-01-04", "delete")
+    with monkeypatch.context() as patch:
+        patch.setattr(state_module, "remove_folder", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            state.compact("requests", 4)
+    assert rows(state.current("requests")) == [r for r in want if r[0] != "DR-7"]
+    state.append("requests", frame("dr_id string, status string", ("DR-7", "ACTIVE")), "2026-01-05")
+    state.compact("requests", 4)
+    assert state.current("requests").count() == 198 and rows(state.of_requests("requests", asked), "status") == [("ACTIVE",)]
+    with pytest.raises(ValueError):
+        state.compact("audit")
+
+
 def test_ranges_of_the_stored_counter(spark, frame, tmp_path, monkeypatch):
     state = StateTables(spark, f"{tmp_path}/state")
     state.create()

@@ -38,8 +38,9 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "visible_requests",
-    """SELECT r.created_by AS viewer, r.dr_id FROM fx_requests r
-    WHERE r.created_by IN (SELECT concat('user', c_custkey, '@co.com') FROM customer WHERE c_mktsegment <> 'BUILDING')""",
+    """SELECT r.created_by AS viewer, 'own' AS scope, r.dr_id FROM fx_requests r
+    WHERE r.created_by IN (SELECT concat('user', c_custkey, '@co.com') FROM customer WHERE c_mktsegment <> 'BUILDING')
+    UNION ALL SELECT concat('user', c_custkey, '@co.com'), 'all', NULL FROM customer WHERE c_mktsegment = 'BUILDING'""",
 )
 def _(t: Tables) -> DataFrame:
     viewers = t.base("customer").select(
@@ -210,7 +211,7 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "failed_objects",
-    """SELECT dr_id, 0 AS part, concat('{"failed_objects":["', string_agg(source_fqn, '","' ORDER BY source_fqn), '"]}') AS error_message
+    """SELECT dr_id, concat('{"failed_objects":["', string_agg(source_fqn, '","' ORDER BY source_fqn), '"]}') AS error_message
     FROM fx_outcomes WHERE NOT success GROUP BY dr_id""",
 )
 def _(t: Tables) -> DataFrame:

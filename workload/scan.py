@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sandboxlake import fixed
 from sandboxlake.operators import approvals, classify as classifying, manifest, resolve, validate
 from sandboxlake.plans.scan import scan
+from sandboxlake.session import shared_dir
 from sandboxlake.sources import commits, documents, inventory, lineage, sizes
-from workload.fixtures import TODAY
+from workload.fixtures import NOW, TODAY
 from workload.registry import Tables, query
 
 EDGE = ", ".join(lineage.EDGE_COLUMNS)
@@ -240,6 +243,17 @@ def _(t: Tables) -> DataFrame:
     return _scan(t).headers
 
 
+def _manifest_rows(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Headers, objects, streams and listed objects away from the others."""
+    objects = t.view("fx_manifest_objects").withColumn("format", F.lit("delta")).withColumn("is_additional", F.lit(False))
+    hits = objects.groupBy("dr_id").agg((F.count(F.lit(1)) > 3).alias("row_limit_hit"))
+    headers = manifest.manifest_headers(objects, hits)
+    streams = t.view("fx_request_streams").select(
+        "dr_id", "name", F.lit(None).cast("string").alias("resource_id"), F.lit(None).cast("array<string>").alias("task_keys")
+    )
+    return headers, objects, streams, manifest.non_prod_additional(objects, t.view("fx_additional"))
+
+
 @query(
     "manifest_documents",
     f"""WITH {_NON_PROD.format(objects='fx_manifest_objects')}
@@ -252,14 +266,7 @@ def _(t: Tables) -> DataFrame:
     LEFT JOIN (SELECT dr_id, count(*) AS non_prod FROM non_prod GROUP BY dr_id) p USING (dr_id)""",
 )
 def _(t: Tables) -> DataFrame:
-    objects = t.view("fx_manifest_objects").withColumn("format", F.lit("delta")).withColumn("is_additional", F.lit(False))
-    hits = objects.groupBy("dr_id").agg((F.count(F.lit(1)) > 3).alias("row_limit_hit"))
-    headers = manifest.manifest_headers(objects, hits)
-    streams = t.view("fx_request_streams").select(
-        "dr_id", "name", F.lit(None).cast("string").alias("resource_id"), F.lit(None).cast("array<string>").alias("task_keys")
-    )
-    away = manifest.non_prod_additional(objects, t.view("fx_additional"))
-    docs = manifest.manifest_documents(headers, objects, streams, away, f"{TODAY}T00:00:00+00:00")
+    docs = manifest.manifest_documents(*_manifest_rows(t), f"{TODAY}T00:00:00+00:00")
     parsed = docs.withColumn("m", F.from_json("manifest_json", documents.schemas.MANIFEST)["scan_result"])
     return parsed.select(
         "dr_id", F.explode("m.objects").alias("o"), "m.total_objects", "m.lineage_row_limit_hit",
@@ -271,6 +278,26 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "manifest_sink",
+    f"""WITH {_NON_PROD.format(objects='fx_manifest_objects')}, items AS (
+      SELECT dr_id, 'object' AS kind, fqn AS name, access_mode FROM fx_manifest_objects
+      UNION ALL SELECT dr_id, 'stream', name, NULL FROM fx_request_streams
+      UNION ALL SELECT DISTINCT dr_id, 'schema', regexp_extract(fqn, '^([^.]*[.][^.]*)', 1), NULL FROM fx_manifest_objects
+      UNION ALL SELECT dr_id, 'non_prod', fqn, NULL FROM non_prod)
+    SELECT i.*, n.total_objects FROM items i JOIN (SELECT dr_id, count(*) AS total_objects FROM fx_manifest_objects GROUP BY dr_id) n USING (dr_id)""",
+)
+def _(t: Tables) -> DataFrame:
+    """Written and read back: a header per request, and all its items beside it."""
+    headers, objects, streams, away = _manifest_rows(t)
+    path = f"{shared_dir(t.spark)}/manifests-{uuid.uuid4().hex}"
+    manifest.write_manifests(headers, manifest.manifest_items(objects, streams, away), path, NOW)
+    headers, items = manifest.read_manifests(t.spark, path)
+    return headers.select("dr_id", "total_objects").join(items, "dr_id").select(
+        "dr_id", "kind", "name", F.col("object.access_mode").alias("access_mode"), "total_objects"
+    )
+
+
 @query(
     "manifest_objects",
     """SELECT dr_id, json_extract_string(o, '$.fqn') AS fqn, json_extract_string(o, '$.type') AS type, json_extract_string(o, '$.access_mode') AS access_mode

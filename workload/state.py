@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sandboxlake import fixed, schemas
 from sandboxlake.operators import asof, lifecycle, updates
-from sandboxlake.session import shared_dir
+from sandboxlake.session import settle, shared_dir
 from sandboxlake.sources import state
 from workload.fixtures import NOW, TODAY
 from workload.registry import Tables, query
@@ -87,6 +87,32 @@ def _(t: Tables) -> DataFrame:
     return state.rows_of_requests(t.view("fx_objects"), live)
 
 
+@query(
+    "compact_state",
+    """WITH now AS (SELECT * REPLACE (CASE WHEN status = 'REFRESH_PENDING' THEN 'PROVISIONED' WHEN status = 'FAILED' THEN 'REFRESH_PENDING' ELSE status END AS status)
+      FROM fx_objects WHERE status IS DISTINCT FROM 'DROPPED')
+    SELECT 'before' AS seen, dr_id, source_fqn, target_environment, CASE WHEN status = 'PROVISIONED' AND source_fqn IN
+      (SELECT source_fqn FROM fx_objects o WHERE o.dr_id = now.dr_id AND o.target_environment = now.target_environment AND status = 'REFRESH_PENDING')
+      THEN 'REFRESH_PENDING' ELSE status END AS status FROM now
+    UNION ALL SELECT 'after', dr_id, source_fqn, target_environment, status FROM now
+    UNION ALL SELECT 'lookup', dr_id, source_fqn, target_environment, status FROM now WHERE dr_id IN (SELECT dr_id FROM fx_requests WHERE status = 'ACTIVE')""",
+)
+def _(t: Tables) -> DataFrame:
+    """Rows, changes and deletes made one generation; further changes on top of it; a lookup by request."""
+    tables, objects = new_state(t), t.view("fx_objects")
+    tables.append("objects", objects, NOW)
+    tables.append("objects", objects.filter("status = 'FAILED'").withColumn("status", F.lit("REFRESH_PENDING")), NOW)
+    tables.append("objects", objects.filter("status = 'DROPPED'"), NOW, "delete")
+    tables.compact("objects")
+    columns = ["dr_id", "source_fqn", "target_environment", "status"]
+    before = settle(tables.current("objects").select(F.lit("before").alias("seen"), *columns))
+    tables.append("objects", objects.filter("status = 'REFRESH_PENDING'").withColumn("status", F.lit("PROVISIONED")), NOW)
+    tables.compact("objects")
+    live = t.view("fx_requests").filter(F.col("status") == fixed.ACTIVE)
+    after = tables.current("objects").select(F.lit("after").alias("seen"), *columns)
+    return before.unionByName(after).unionByName(tables.of_requests("objects", live).select(F.lit("lookup").alias("seen"), *columns))
+
+
 # ---- compare and set ---------------------------------------------------------------------------
 
 
