@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sandboxlake.llm import jaccard, line_dedup, mixing, packing, quality
+from sandboxlake.llm.running import small_batches
 from sandboxlake.session import shared_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -56,6 +57,7 @@ ORACLE_SQL = None  # token ids are beyond SQL; tests compare with brute force
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written to the shared folder and read again."""
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
