@@ -20,7 +20,7 @@ def small_batches(spark: SparkSession) -> None:
     now = int(spark.conf.get(_ROWS, "0"))
     if not 0 < now <= TEXTS_PER_BATCH:
         spark.conf.set(_ROWS, str(TEXTS_PER_BATCH))
-    size = re.fullmatch(r"(-?[0-9]+)b?", spark.conf.get(_BYTES, "0"))
+    size = re.fullmatch(r"(-?[0-9]+)b?", spark.conf.get(_BYTES))
     if size and not 0 < int(size[1]) <= BYTES_PER_BATCH:
         spark.conf.set(_BYTES, str(BYTES_PER_BATCH))
 
