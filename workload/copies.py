@@ -212,29 +212,26 @@ def clone_outcomes(t: Tables) -> DataFrame:
 
 
 def _requests(t: Tables) -> DataFrame:
-    rows = [
-        ("DR-1", "first", True, ["ann@co.com"], ["quinn@co.com"], "2099-01-01"),
-        ("DR00002", "second", False, ["bob@co.com", "group-1"], None, "2099-01-01"),
-    ]
-    return t.spark.createDataFrame(
-        rows, "dr_id string, description string, qa_enabled boolean, developers array<string>, qa_users array<string>, day string"
-    ).select(
-        "*", F.lit("{}").alias("config_json"), F.lit(None).cast("string").alias("target_catalog"), F.lit("latest").alias("rev_mode"),
-        F.lit(None).cast("bigint").alias("rev_version"), F.lit(None).cast("string").alias("rev_timestamp"),
-        F.col("day").cast("date").alias("expiration_date"),
-    ).drop("day")
+    none = F.lit(None)
+    return t.view("fx_run_requests").select(
+        "dr_id", "description", "qa_enabled", F.array("developer", "second_developer").alias("developers"), F.array("tester").alias("qa_users"),
+        F.lit("{}").alias("config_json"), none.cast("string").alias("target_catalog"), F.lit("latest").alias("rev_mode"),
+        none.cast("bigint").alias("rev_version"), none.cast("string").alias("rev_timestamp"), F.lit("2099-01-01").cast("date").alias("expiration_date"),
+    )
 
 
-def _manifest(t: Tables, requests: DataFrame) -> DataFrame:
-    """Each request uses the four tables, each table with another strategy."""
-    def entry(table: str, strategy: str):
-        return F.struct(
-            F.lit(source(table)).alias("fqn"), F.lit("table").alias("object_type"), F.lit("READ_ONLY").alias("access_mode"),
-            F.lit(strategy).alias("clone_strategy"), F.lit(None).cast("double").alias("estimated_size_gb"),
-        )
+def _dr_ids(t: Tables, description: str) -> DataFrame:
+    return t.view("fx_run_requests").filter(F.col("description") == description)
 
-    entries = [entry(x, s) for x, s in zip(SALES, STRATEGIES, strict=True)] + [entry("absent", "deep_clone")]
-    return requests.select("dr_id", F.inline(F.array(*entries)))
+
+def _manifest(t: Tables) -> DataFrame:
+    """Each request uses the four tables, which table with which strategy follows from its orders, and one that is not there."""
+    listed = t.view("fx_run_objects")
+    absent = t.view("fx_run_requests").select("dr_id", F.lit("absent").alias("table_name"), F.lit("deep_clone").alias("clone_strategy"))
+    return listed.unionByName(absent).select(
+        "dr_id", F.concat(F.lit(source("")), "table_name").alias("fqn"), F.lit("table").alias("object_type"), F.lit("READ_ONLY").alias("access_mode"),
+        "clone_strategy", F.lit(None).cast("double").alias("estimated_size_gb"),
+    )
 
 
 def provisioned(t: Tables, growing: bool = False) -> tuple[Sandbox, object, runs.Run]:
@@ -243,35 +240,39 @@ def provisioned(t: Tables, growing: bool = False) -> tuple[Sandbox, object, runs
     if growing:
         for table in SALES:
             growing_source(t, box, table)
-    state, requests = new_state(t), _requests(t)
-    objects = _manifest(t, requests)
-    done = runs.provision(box, state, requests, objects, _headers(objects), NOW)
+    state, objects = new_state(t), _manifest(t)
+    done = runs.provision(box, state, _requests(t), objects, _headers(objects), NOW)
     return box, state, done
 
 
-_TARGETS = [("DR-1", "dev", "dev_main.dr_1_sales"), ("DR-1", "qa", "dev_main.qa_1_sales"), ("DR00002", "dev", "dev_main.dr_dr00002_sales")]
+_KEY = ["dr_id", "target_environment", "source_fqn"]
 
 
-def _target_rows(box: Sandbox) -> DataFrame:
-    return rows_in(
-        box, [(dr, env, source(x), f"{schema}.{x}") for dr, env, schema in _TARGETS for x in SALES], "dr_id target_environment source_fqn"
-    )
+def _targets(state) -> list[tuple[str, ...]]:
+    """(request, environment, source, target) of all object rows; a handful of them."""
+    return [tuple(r) for r in state.current("objects").select(*_KEY, "target_fqn").collect()]
+
 
+def _target_rows(box: Sandbox, state) -> DataFrame:
+    there = [x for x in _targets(state) if box.spark.catalog.tableExists(box.table_name(x[-1]))]
+    return rows_in(box, there, " ".join(_KEY))
 
-_WHERE = "(VALUES ('DR-1', 'dev'), ('DR-1', 'qa'), ('DR00002', 'dev')) AS e(dr_id, target_environment)"
+
+_ENVS = "(SELECT dr_id, 'dev' AS target_environment FROM fx_run_requests UNION ALL SELECT dr_id, 'qa' FROM fx_run_requests WHERE qa_enabled)"
+_SIZES = "(" + " UNION ALL ".join(f"SELECT '{x}' AS table_name, count(*) AS n FROM {x}" for x in SALES) + ")"
 
 
 def _expected(rows: dict[str, str]) -> str:
-    """SQL (dr_id, target_environment, source_fqn, clone_strategy, rows) of the provisioned objects."""
-    parts = [
-        f"SELECT e.*, 'prod_main.sales.{x}' AS source_fqn, '{s}' AS clone_strategy, CAST({rows[s].format(x)} AS BIGINT) AS rows FROM {_WHERE}"
-        for x, s in zip(SALES, STRATEGIES, strict=True)
-    ]
-    return " UNION ALL ".join(parts)
+    """SQL (dr_id, target_environment, source_fqn, clone_strategy, rows) of the provisioned objects; ``rows`` by strategy."""
+    cases = " ".join(f"WHEN '{s}' THEN {count}" for s, count in rows.items())
+    return f"""SELECT dr_id, target_environment, 'prod_main.sales.' || table_name AS source_fqn, clone_strategy,
+      CAST(CASE clone_strategy {cases} END AS BIGINT) AS rows FROM {_ENVS} JOIN fx_run_objects USING (dr_id) JOIN {_SIZES} USING (table_name)"""
+
+
+_ABSENT = f"SELECT dr_id, target_environment, 'prod_main.sales.absent' AS source_fqn, 'deep_clone' AS clone_strategy, CAST(NULL AS BIGINT) AS rows FROM {_ENVS}"
 
 
-_COUNT = {s: "(SELECT count(*) FROM {})" for s in STRATEGIES} | {"schema_only": "0"}
-_ABSENT = f"SELECT e.*, 'prod_main.sales.absent' AS source_fqn, 'deep_clone' AS clone_strategy, CAST(NULL AS BIGINT) AS rows FROM {_WHERE}"
+_COUNT = dict.fromkeys(STRATEGIES, "n") | {"schema_only": "0"}
 
 
 @query(
@@ -286,9 +287,9 @@ def provision_end_to_end(t: Tables) -> DataFrame:
         "dr_id", F.col("status").alias("audit_status")
     )
     return (
-        state.current("objects").join(_target_rows(box), ["dr_id", "target_environment", "source_fqn"], "left")
+        state.current("objects").join(_target_rows(box, state), _KEY, "left")
         .join(requests, "dr_id").join(audit, "dr_id")
-        .select("dr_id", "target_environment", "source_fqn", "clone_strategy", F.col("rows").cast("string").alias("rows"), "status", "request_status", "audit_status")
+        .select(*_KEY, "clone_strategy", F.col("rows").cast("string").alias("rows"), "status", "request_status", "audit_status")
     )
 
 
@@ -310,12 +311,12 @@ def _refreshed(t: Tables, mode: str, selected: DataFrame | None = None):
     return box, state, run
 
 
-_TWICE = {s: "2 * (SELECT count(*) FROM {})" for s in STRATEGIES} | {"schema_only": "0"}
+_TWICE = dict.fromkeys(STRATEGIES, "2 * n") | {"schema_only": "0"}
 
 
 def _with_strategy(box: Sandbox, state) -> DataFrame:
-    objects = state.current("objects").select("dr_id", "target_environment", "source_fqn", "clone_strategy")
-    return _target_rows(box).join(objects, ["dr_id", "target_environment", "source_fqn"])
+    objects = state.current("objects").select(*_KEY, "clone_strategy")
+    return _target_rows(box, state).join(objects, _KEY)
 
 
 @query(
@@ -327,14 +328,13 @@ def _(t: Tables) -> DataFrame:
     """Provisioned, and provisioned again after the sources have grown: copies are replaced, the request keeps its start."""
     box, state, _ = provisioned(t, growing=True)
     _grow(t, box)
-    requests = _requests(t)
-    objects = _manifest(t, requests)
-    runs.provision(box, state, requests, objects, _headers(objects), "1998-06-16 12:00:00")
+    objects = _manifest(t)
+    runs.provision(box, state, _requests(t), objects, _headers(objects), "1998-06-16 12:00:00")
     started = (F.col("created_at") == F.lit(NOW).cast("timestamp_ntz")).alias("same_start")
     live = state.current("requests").select("dr_id", F.col("status").alias("request_status"), started)
     return (
-        state.current("objects").join(_target_rows(box), ["dr_id", "target_environment", "source_fqn"], "left").join(live, "dr_id")
-        .select("dr_id", "target_environment", "source_fqn", "clone_strategy", F.col("rows").cast("string").alias("rows"), "status", "request_status", "same_start")
+        state.current("objects").join(_target_rows(box, state), _KEY, "left").join(live, "dr_id")
+        .select(*_KEY, "clone_strategy", F.col("rows").cast("string").alias("rows"), "status", "request_status", "same_start")
     )
 
 
@@ -350,7 +350,10 @@ def _(t: Tables) -> DataFrame:
     return _with_strategy(box, state)
 
 
-@query("refresh_selective", _expected(_TWICE | {"shallow_clone": "(SELECT count(*) FROM {})"}))
+_CHOSEN = dict.fromkeys(("shallow_clone", "deep_clone"), "CASE WHEN table_name IN ('lineitem', 'orders') THEN 2 * n ELSE n END")
+
+
+@query("refresh_selective", _expected(_TWICE | _CHOSEN))
 def _(t: Tables) -> DataFrame:
     chosen = t.spark.createDataFrame([(source(x),) for x in ("lineitem", "orders")], "source_fqn string")
     box, state, _ = _refreshed(t, "selective", chosen)
@@ -370,101 +373,112 @@ def _(t: Tables) -> DataFrame:
     )
 
 
-def _named(t: Tables, rows: list[tuple], schema: str) -> DataFrame:
-    return t.spark.createDataFrame(rows, schema)
+def _of(description: str) -> str:
+    return f"(SELECT * FROM fx_run_requests WHERE description = '{description}')"
 
 
-_ADDITION = "dr_id string, fqn string, object_type string, access_mode string, clone_strategy string, estimated_size_gb double"
+def _additions(requests: DataFrame, *fqns: str) -> DataFrame:
+    none = F.lit(None)
+    return requests.select(
+        "dr_id", F.explode(F.array(*[F.lit(x) for x in fqns])).alias("fqn"), F.lit("table").alias("object_type"), F.lit("READ_ONLY").alias("access_mode"),
+        F.lit("deep_clone").alias("clone_strategy"), none.cast("double").alias("estimated_size_gb"),
+    )
+
+
+def _rows_of(box: Sandbox, state, table: str) -> DataFrame:
+    return rows_in(box, [x for x in _targets(state) if x[2] == source(table)], " ".join(_KEY))
 
 
 @query(
     "modify_add",
-    "SELECT 'DR-1' AS dr_id, 'prod_main.sales.supplier' AS source_fqn, 'PROVISIONED' AS status, count(*) AS rows FROM supplier",
+    f"""SELECT dr_id, 'dev' AS target_environment, 'prod_main.sales.supplier' AS source_fqn, 'PROVISIONED' AS status,
+      (SELECT count(*) FROM supplier) AS rows FROM {_of('filled')}""",
 )
 def _(t: Tables) -> DataFrame:
     box, state, _ = provisioned(t)
     clone.register_source(box, source("supplier"), t.path("supplier"))
-    more = _named(t, [("DR-1", source("supplier"), "table", "READ_ONLY", "deep_clone", None), ("DR-1", "short.name", "table", "READ_ONLY", None, None)], _ADDITION)
-    runs.modify(box, state, NOW, additions=more)
-    rows = rows_in(box, [("DR-1", source("supplier"), "dev_main.dr_1_sales.supplier")], "dr_id source_fqn")
-    return state.current("objects").join(rows, ["dr_id", "source_fqn"]).select("dr_id", "source_fqn", "status", "rows")
+    runs.modify(box, state, NOW, additions=_additions(_dr_ids(t, "filled"), source("supplier"), "short.name"))
+    return state.current("objects").join(_rows_of(box, state, "supplier"), _KEY).select(*_KEY, "status", "rows")
 
 
 @query(
     "modify_remove",
-    f"""SELECT dr_id, target_environment, source_fqn, CASE WHEN dr_id = 'DR-1' AND source_fqn IN ('prod_main.sales.orders', 'prod_main.sales.part') THEN 'DROPPED'
-      WHEN source_fqn LIKE '%absent' THEN 'FAILED' ELSE 'PROVISIONED' END AS status FROM ({_expected(_COUNT)} UNION ALL {_ABSENT})""",
+    f"""SELECT dr_id, target_environment, source_fqn, CASE WHEN source_fqn LIKE '%absent' THEN 'FAILED'
+      WHEN clone_strategy IN ('view', 'deep_clone') AND dr_id IN (SELECT dr_id FROM {_of('filled')}) THEN 'DROPPED' ELSE 'PROVISIONED' END AS status
+    FROM ({_expected(_COUNT)} UNION ALL {_ABSENT})""",
 )
 def _(t: Tables) -> DataFrame:
+    """The filled request loses what it has as a view or a full copy."""
     box, state, _ = provisioned(t)
-    gone = _named(t, [("DR-1", source("orders")), ("DR-1", source("part"))], "dr_id string, source_fqn string")
-    runs.modify(box, state, NOW, removals=gone)
-    return state.current("objects").select("dr_id", "target_environment", "source_fqn", "status")
+    gone = t.view("fx_run_objects").filter("clone_strategy IN ('view', 'deep_clone')").join(_dr_ids(t, "filled").select("dr_id"), "dr_id")
+    runs.modify(box, state, NOW, removals=gone.select("dr_id", F.concat(F.lit(source("")), "table_name").alias("source_fqn")))
+    return state.current("objects").select(*_KEY, "status")
 
 
 @query(
     "modify_outcomes",
-    """SELECT 'DR-1' AS dr_id, 'add_objects:false;add_users:true;change_expiration:true;remove_objects:true;remove_users:true' AS actions,
-      'PARTIAL_SUCCESS' AS status, 3 * (SELECT count(*) > 0 FROM orders)::BIGINT AS statements
-    UNION ALL SELECT 'DR00002', 'change_expiration:false', 'FAILED', 0""",
+    f"""SELECT dr_id, 'add_objects:false;add_users:true;change_expiration:true;remove_objects:true;remove_users:true' AS actions,
+      'PARTIAL_SUCCESS' AS status, CASE WHEN qa_enabled THEN 3 ELSE 2 END::BIGINT AS statements FROM {_of('filled')}
+    UNION ALL SELECT dr_id, 'change_expiration:false', 'FAILED', 0 FROM {_of('open')}""",
 )
 def _(t: Tables) -> DataFrame:
+    """A tester becomes a developer of the filled request; whether there is a grant to revoke depends on its qa environment."""
     box, state, _ = provisioned(t)
+    filled, both = _dr_ids(t, "filled"), t.view("fx_run_requests")
+    users = filled.select("dr_id", F.inline(F.array(
+        F.struct(F.lit("dev").alias("environment"), F.lit("grant").alias("action"), F.col("tester").alias("principal")),
+        F.struct(F.lit("qa").alias("environment"), F.lit("revoke").alias("action"), F.col("tester").alias("principal")),
+    )))
+    ends = F.when(F.col("description") == "filled", "1998-09-01").otherwise("1998-01-01").cast("date").alias("expiration_date")
     run = runs.modify(
-        box, state, NOW,
-        additions=_named(t, [("DR-1", source("nowhere"), "table", "READ_ONLY", None, None)], _ADDITION),
-        removals=_named(t, [("DR-1", source("orders"))], "dr_id string, source_fqn string"),
-        users=_named(
-            t, [("DR-1", "dev", "grant", "cleo@co.com"), ("DR-1", "qa", "revoke", "quinn@co.com")],
-            "dr_id string, environment string, action string, principal string",
-        ),
-        expirations=_named(t, [("DR-1", "1998-09-01"), ("DR00002", "1998-01-01")], "dr_id string, day string").select(
-            "dr_id", F.col("day").cast("date").alias("expiration_date")
-        ),
+        box, state, NOW, additions=_additions(filled, source("nowhere")),
+        removals=filled.select("dr_id", F.lit(source("orders")).alias("source_fqn")), users=users, expirations=both.select("dr_id", ends),
     )
     audit = state.current("audit").filter("action = 'MODIFY'")
-    detail = F.from_json("action_detail", "actions array<struct<action: string, success: boolean>>")["actions"]
-    text = F.array_join(F.transform(detail, lambda a: F.concat_ws(":", a["action"], a["success"].cast("string"))), ";")
     statements = run.grants.unionByName(run.revokes).groupBy("dr_id").agg(F.count(F.lit(1)).alias("n"))
-    return audit.select("dr_id", text.alias("actions"), "status").join(statements, "dr_id", "left").select(
+    return audit.select("dr_id", _actions(), "status").join(statements, "dr_id", "left").select(
         "dr_id", "actions", "status", F.coalesce("n", F.lit(0)).cast("bigint").alias("statements")
     )
 
 
+def _actions():
+    """The actions of an audit row as text."""
+    detail = F.from_json("action_detail", "actions array<struct<action: string, success: boolean>>")["actions"]
+    return F.array_join(F.transform(detail, lambda a: F.concat_ws(":", a["action"], a["success"].cast("string"))), ";").alias("actions")
+
+
 @query(
     "cleanup_run",
-    f"""SELECT dr_id, target_environment, source_fqn, 'DROPPED' AS status, 'CLEANED_UP' AS request_status, 'SUCCESS' AS audit_status, false AS still_there
-    FROM ({_expected(_COUNT)} UNION ALL {_ABSENT})""",
+    f"""SELECT *, description = 'open' AND status = 'PROVISIONED' AS still_there, CASE WHEN description = 'filled' THEN 'CLEANED_UP' ELSE 'ACTIVE' END AS request_status
+    FROM (SELECT dr_id, target_environment, source_fqn, description,
+      CASE WHEN description = 'filled' THEN 'DROPPED' WHEN source_fqn LIKE '%absent' THEN 'FAILED' ELSE 'PROVISIONED' END AS status
+      FROM ({_expected(_COUNT)} UNION ALL {_ABSENT}) JOIN (SELECT dr_id, description FROM fx_run_requests) USING (dr_id))""",
 )
 def _(t: Tables) -> DataFrame:
+    """The filled request is taken down, the open one stays as it is."""
     box, state, _ = provisioned(t)
-    run = runs.clean_up(box, state, _requests(t), NOW)
-    names = [(dr, env, source(x), t.spark.catalog.tableExists(box.table_name(f"{schema}.{x}"))) for dr, env, schema in _TARGETS for x in (*SALES, "absent")]
-    there = t.spark.createDataFrame(names, "dr_id string, target_environment string, source_fqn string, still_there boolean")
-    requests = state.current("requests").select("dr_id", F.col("status").alias("request_status"))
-    return (
-        state.current("objects").select("dr_id", "target_environment", "source_fqn", "status")
-        .join(there, ["dr_id", "target_environment", "source_fqn"]).join(requests, "dr_id").join(run.status.select("dr_id", "audit_status"), "dr_id")
-    )
+    names = _targets(state)
+    runs.clean_up(box, state, _dr_ids(t, "filled"), NOW)
+    found = [(*x[:3], t.spark.catalog.tableExists(box.table_name(x[3]))) for x in names]
+    there = t.spark.createDataFrame(found, "dr_id string, target_environment string, source_fqn string, still_there boolean")
+    requests = state.current("requests").select("dr_id", "description", F.col("status").alias("request_status"))
+    return state.current("objects").select(*_KEY, "status").join(there, _KEY).join(requests, "dr_id")
 
 
 @query(
     "modify_add_streams",
-    """SELECT 'DR-1' AS dr_id, 'prod_main.sales.supplier' AS source_fqn, 'PROVISIONED' AS status, 'add_streams:true' AS actions, count(*) AS rows FROM supplier""",
+    f"""SELECT dr_id, 'dev' AS target_environment, 'prod_main.sales.supplier' AS source_fqn, 'PROVISIONED' AS status, 'add_streams:true' AS actions,
+      (SELECT count(*) FROM supplier) AS rows FROM fx_run_requests""",
 )
 def _(t: Tables) -> DataFrame:
+    """Both requests get a stream of their own that reads the suppliers and the orders, which they have already."""
     box, state, _ = provisioned(t)
     clone.register_source(box, source("supplier"), t.path("supplier"))
-    lineage = _named(
-        t, [(source("supplier"), None, "TABLE", None, "7", 1), (source("orders"), None, "TABLE", None, "7", 2)],
-        "source_table_full_name string, target_table_full_name string, source_type string, target_type string, entity_id string, edge_seq bigint",
-    )
+    requests = t.view("fx_run_requests")
+    inventory = requests.select(F.lit("job").alias("kind"), F.concat(F.lit("nightly-"), "description").alias("name"), F.col("orders").cast("string").alias("resource_id"))
     runs.modify(
-        box, state, NOW, streams=_named(t, [("DR-1", "nightly")], "dr_id string, name string"), lineage=lineage,
-        inventory=_named(t, [("job", "nightly", "7")], "kind string, name string, resource_id string"), revision=("latest", None),
+        box, state, NOW, streams=requests.select("dr_id", F.concat(F.lit("nightly-"), "description").alias("name")), lineage=t.view("fx_run_edges"),
+        inventory=inventory, revision=("latest", None),
     )
-    detail = F.from_json("action_detail", "actions array<struct<action: string, success: boolean>>")["actions"]
-    text = F.array_join(F.transform(detail, lambda a: F.concat_ws(":", a["action"], a["success"].cast("string"))), ";")
-    audit = state.current("audit").filter("action = 'MODIFY'").select("dr_id", text.alias("actions"))
-    rows = rows_in(box, [("DR-1", source("supplier"), "dev_main.dr_1_sales.supplier")], "dr_id source_fqn")
-    return state.current("objects").join(rows, ["dr_id", "source_fqn"]).join(audit, "dr_id").select("dr_id", "source_fqn", "status", "actions", "rows")
+    audit = state.current("audit").filter("action = 'MODIFY'").select("dr_id", _actions())
+    return state.current("objects").join(_rows_of(box, state, "supplier"), _KEY).join(audit, "dr_id").select(*_KEY, "status", "actions", "rows")

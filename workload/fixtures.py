@@ -268,3 +268,24 @@ SELECT c_custkey AS no,
             WHEN c_custkey % 7 = 4 THEN concat('9R', {txt('c_custkey')}) WHEN c_custkey % 7 = 5 THEN concat('dr-', {txt('c_custkey')})
             ELSE concat('T1', {txt('c_custkey + 10000')}) END AS dr_id
 FROM customer"""
+
+# Bulk runs: a request for the filled orders and one for the open ones, whose settings and objects follow from the orders.
+VIEWS["fx_run_requests"] = f"""
+SELECT CASE WHEN o_orderstatus = 'F' THEN concat('DR-', {txt('max(o_orderkey)')}) ELSE concat('AB', lpad({txt('max(o_orderkey)')}, 8, '0')) END AS dr_id,
+       CASE WHEN o_orderstatus = 'F' THEN 'filled' ELSE 'open' END AS description, count(*) AS orders, count(*) % 3 <> 0 AS qa_enabled,
+       {user('min(o_custkey)')} AS developer, {user('max(o_custkey)')} AS second_developer, {user('max(o_custkey) + 1')} AS tester
+FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_orderstatus"""
+
+RUN_TABLES = ("customer", "lineitem", "orders", "part")
+VIEWS["fx_run_objects"] = " UNION ALL ".join(
+    f"""SELECT dr_id, '{table}' AS table_name, CASE (orders + {place}) % 4 WHEN 0 THEN 'shallow_clone' WHEN 1 THEN 'deep_clone' WHEN 2 THEN 'view'
+       ELSE 'schema_only' END AS clone_strategy FROM fx_run_requests"""
+    for place, table in enumerate(RUN_TABLES)
+)
+
+# Lineage of the stream that is added to a request: a table it has, and one it does not have yet.
+VIEWS["fx_run_edges"] = " UNION ALL ".join(
+    f"""SELECT 'prod_main.sales.{table}' AS source_table_full_name, CAST(NULL AS STRING) AS target_table_full_name, 'TABLE' AS source_type,
+       CAST(NULL AS STRING) AS target_type, {txt('orders')} AS entity_id, CAST({place} AS BIGINT) AS edge_seq FROM fx_run_requests"""
+    for place, table in enumerate(("supplier", "orders"))
+)
