@@ -37,6 +37,7 @@ from sandboxlake.llm.running import release_shuffles, small_batches
 from sandboxlake.session import settle
 
 MIN_PERCENT = 80
+_HAS_WORD = r"[^\x20\x09-\x0D]"
 SAMPLE = 64  # one in so many distinct texts is looked at for the order of shingles
 FREQUENT = 4  # a shingle in so many of them comes last
 MOST_FREQUENT = 500_000  # of those, as many are told to the tasks: four megabytes; the others keep their place
@@ -213,12 +214,13 @@ class _Corpus:
             .select("cls", F.col("first.doc").alias("doc"), F.col("first.row").alias("row"), "n", "bits")
         )
 
-    def verified(self, pairs: DataFrame, many: bool) -> DataFrame:
-        """The pairs (a, b) of classes that link; ``many``: a good part of all classes are in pairs.
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of classes that link.
 
-        Only texts of classes that the bitmaps leave open are fetched: the others are left out before the exchange.  With
-        ``many``, texts and classes are both shuffled whatever the size, so that the plan does not change
-        where the list of classes outgrows a broadcast; texts stream by the classes of their partition unsorted.
+        Only texts of classes that the bitmaps leave open are fetched: the others are left out before the exchange.
+        Texts and classes are both shuffled whatever the size, so that the plan does not change where the list of
+        classes outgrows a broadcast, and no task runs two Python workers; texts stream by the classes of their
+        partition unsorted.
         """
         sized = self.classes.select("cls", "n", "bits")
         a, b = (sized.select(*[F.col(c).alias(f"{c}_{x}") for c in sized.columns]) for x in "ab")
@@ -227,11 +229,9 @@ class _Corpus:
         needed = possible.select(F.col("a").alias("cls")).unionByName(possible.select(F.col("b").alias("cls"))).distinct()
         named = settle(needed.join(self.classes.select("cls", "row"), "cls"))  # its size is then known to the join
         wanted = self.docs.filter(_among(named, "row")("row")).select("row", "text")
-        own = wanted.join(named.hint("shuffle_hash") if many else named, "row")
-        sets = (
-            own.select("cls", _shingles("text").alias("s")).filter(F.col("s.cls") == F.col("cls"))
-            .groupBy("cls").agg(F.first("s.items").alias("items"))
-        )
+        own = wanted.join(named.hint("shuffle_hash"), "row")
+        # no filter on what the function gives: it would be worked out once for the filter and once more behind it
+        sets = own.select("cls", _shingles("text").alias("s")).groupBy("cls").agg(F.max_by("s.items", F.col("s.cls") == F.col("cls")).alias("items"))
         a, b = (sets.select(F.col("cls").alias(f"cls_{x}"), F.col("items").alias(f"items_{x}")) for x in "ab")
         both = possible.join(a, F.col("a") == F.col("cls_a")).join(b, F.col("b") == F.col("cls_b"))
         shared = both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("sum"), _overlap("items_a", "items_b").alias("shared"))
@@ -298,16 +298,16 @@ def _components(corpus: _Corpus) -> DataFrame:
     release_shuffles(spark)
     pairs = _partners(met, _ORDERS[:1])
     release_shuffles(spark)
-    links = corpus.verified(pairs, many=True)
+    links = corpus.verified(pairs)
     release_shuffles(spark)
     # a group of near copies may still be in many components: other partners join most of them
     tiles = settle(_open_tiles(met, connected(links)))
     pairs = _partners(tiles, _ORDERS[1:])
     release_shuffles(spark)
-    links = settle(links.unionByName(corpus.verified(pairs, many=True)))
+    links = settle(links.unionByName(corpus.verified(pairs)))
     release_shuffles(spark)
     rows = _open_tiles(tiles, connected(links))
-    more = corpus.verified(_across(rows, corpus.classes), many=False)
+    more = corpus.verified(_across(rows, corpus.classes))
     return connected(links.unionByName(more))
 
 
@@ -315,7 +315,7 @@ def _labelled(corpus: _Corpus) -> DataFrame:
     """(cls, root) for every class with shingles."""
     roots = _components(corpus)
     return settle(
-        corpus.classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "doc", F.coalesce("root", "cls").alias("root"))
+        corpus.classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "doc", "row", F.coalesce("root", "cls").alias("root"))
     )
 
 
@@ -336,18 +336,15 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     Rows that repeat both the key and the set of shingles stay once.
     """
     corpus = _Corpus(docs, key, text)
-    known = F.col("doc").isNull()
-    names = {n: fresh(n, docs.columns) for n in ("keep_doc", "keep_cls", "sketch", "cls")}
+    names = {n: fresh(n, docs.columns) for n in ("keep_doc", "keep_row", "row", "place")}
+    first = F.min_by(F.struct("doc", "row"), F.struct(F.col("doc").isNull(), "doc", "row")).alias("k")
     keepers = settle(
-        _labelled(corpus).groupBy("root").agg(F.min_by(F.struct("doc", "cls"), F.struct(known, "doc", "cls")).alias("k"))
-        .select(F.col("k.doc").alias(names["keep_doc"]), F.col("k.cls").alias(names["keep_cls"]))
+        _labelled(corpus).groupBy("root").agg(first).select(F.col("k.doc").alias(names["keep_doc"]), F.col("k.row").alias(names["keep_row"]))
     )
     own = [F.col(f"`{c}`") for c in docs.columns]
-    n, cls = F.col(names["sketch"])["n"], F.col(names["cls"])
-    sketched = docs.withColumn(names["sketch"], _sketch(F.col(f"`{text}`").cast("string"))).withColumn(names["cls"], F.col(names["sketch"])["cls"])
-    same = F.col(f"`{key}`").eqNullSafe(F.col(names["keep_doc"])) & (cls == F.col(names["keep_cls"]))
-    kept = sketched.filter(n > 0).join(keepers, same, "left_semi")
-    first = F.row_number().over(W.partitionBy(F.col(f"`{key}`"), cls).orderBy(F.xxhash64(F.col(f"`{text}`"))))
-    place = fresh("place", [*docs.columns, *names.values()])
-    single = kept.withColumn(place, first).filter(F.col(place) == 1)
-    return single.select(*own).unionByName(sketched.filter(n == 0).select(*own))
+    doc, content, row, place = F.col(f"`{key}`"), F.col(f"`{text}`").cast("string"), F.col(names["row"]), F.col(names["place"])
+    known = docs.withColumn(names["row"], F.xxhash64(doc, content))
+    kept = known.join(keepers, doc.eqNullSafe(F.col(names["keep_doc"])) & (row == F.col(names["keep_row"])), "left_semi")
+    single = kept.withColumn(names["place"], F.row_number().over(W.partitionBy(doc, row).orderBy(row))).filter(place == 1)
+    wordless = docs.filter(~F.coalesce(F.regexp_like(content, F.lit(_HAS_WORD)), F.lit(False)))
+    return single.select(*own).unionByName(wordless.select(*own))
