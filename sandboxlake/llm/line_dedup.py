@@ -18,10 +18,10 @@ other columns are passed on.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sandboxlake.llm.columns import fresh
+from sandboxlake.llm.columns import fresh, let
 from sandboxlake.session import settle
 
 WINDOW_LINES = 3
@@ -30,8 +30,8 @@ _HAS_WORD = r"[^\x20\x09-\x0D]"
 
 def later_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, mark, ats): for each document the positions at which a window begins that has occurred before."""
-    lines = docs.filter(F.col(text).isNotNull()).select(
-        F.col(key).alias("doc"), F.xxhash64(text).alias("mark"), F.split(text, "\n").alias("lines")
+    lines = docs.filter(F.col(f"`{text}`").isNotNull()).select(
+        F.col(f"`{key}`").alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("mark"), F.split(F.col(f"`{text}`"), "\n").alias("lines")
     ).filter(F.size("lines") >= WINDOW_LINES)
     starts = F.sequence(F.lit(0), F.size("lines") - WINDOW_LINES)
     cut = lines.select("doc", "mark", F.posexplode(F.transform(starts, lambda i: F.array_join(F.slice("lines", i + 1, WINDOW_LINES), "\n"))).alias("at", "window"))
@@ -50,14 +50,29 @@ def later_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str | None = None) -> DataFrame:
     """``docs`` without the lines that later occurrences cover; ``removed`` names a column for their number."""
-    names = {n: fresh(n, docs.columns) for n in ("mark", "ats", "lines", "gone")}
-    found = settle(later_windows(docs, key, text)).select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("ats").alias(names["ats"]))
-    marked = docs.withColumn(names["mark"], F.xxhash64(F.col(f"`{text}`")))
-    same = F.col(f"`{key}`").eqNullSafe(F.col("_doc")) & (F.col(names["mark"]) == F.col("_mark"))
+    names = {n: fresh(n, docs.columns) for n in ("mark", "ats", "found_doc", "found_mark", "kept", "lines")}
+    found = settle(later_windows(docs, key, text)).select(
+        F.col("doc").alias(names["found_doc"]), F.col("mark").alias(names["found_mark"]), F.array_sort("ats").alias(names["ats"])
+    )
+    content = F.col(f"`{text}`")
+    marked = docs.withColumn(names["mark"], F.xxhash64(content))
+    same = F.col(f"`{key}`").eqNullSafe(F.col(names["found_doc"])) & (F.col(names["mark"]) == F.col(names["found_mark"]))
     joined = marked.join(found.hint("merge"), same, "left")
-    covered = F.array_distinct(F.flatten(F.transform(names["ats"], lambda a: F.sequence(a, a + (WINDOW_LINES - 1)))))
-    cut = joined.withColumn(names["gone"], F.coalesce(covered, F.array().cast("array<int>")))
-    stays = F.filter(F.split(f"`{text}`", "\n"), lambda line, i: ~F.array_contains(names["gone"], i))
-    cleaned = F.when(F.size(names["gone"]) > 0, F.array_join(stays, "\n")).otherwise(F.col(f"`{text}`"))
+    cut = joined.withColumn(names["lines"], F.when(F.col(names["ats"]).isNotNull(), F.split(content, "\n")))
+    kept = let(F.struct(F.col(names["lines"]).alias("lines"), F.col(names["ats"]).alias("ats")), _uncovered)
+    thinned = cut.withColumn(names["kept"], F.when(F.col(names["ats"]).isNotNull(), kept))
+    lines, stays = F.col(names["lines"]), F.col(names["kept"])
+    cleaned = F.when(stays.isNotNull(), F.array_join(stays, "\n")).otherwise(content)
     columns = [(cleaned if c == text else F.col(f"`{c}`")).alias(c) for c in docs.columns]
-    return cut.select(*columns, *([F.size(names["gone"]).cast("long").alias(removed)] if removed else []))
+    number = F.coalesce(F.size(lines) - F.size(stays), F.lit(0)).cast("long")
+    return thinned.select(*columns, *([F.when(stays.isNotNull(), number).otherwise(F.lit(0).cast("long")).alias(removed)] if removed else []))
+
+
+def _uncovered(s: Column) -> Column:
+    """The lines that no later window covers: what lies between a window's last line and the next one's first, in one walk."""
+    def between(k: Column) -> Column:
+        start = F.coalesce(F.get(s["ats"], k - 1) + WINDOW_LINES, F.lit(0))
+        end = F.coalesce(F.get(s["ats"], k), F.size(s["lines"]))
+        return F.slice(s["lines"], start + 1, F.greatest(end - start, F.lit(0)))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(s["ats"])), between))

@@ -72,16 +72,17 @@ def with_copies(docs: DataFrame, weights=rotating_weights, key: str = "doc_id",
     ``weights`` makes (source, weight) from the distinct sources, or is such a frame.
     """
     names = {n: fresh(n, docs.columns) for n in ("size", "source_size", "target", "copies")}
-    sizes = settle(docs.groupBy(F.col(source).alias("source")).agg(F.sum(n_words(F.col(text))).alias("source_size")))
+    of = fresh("aim_source", [*docs.columns, *names.values()])
+    sizes = settle(docs.groupBy(F.col(f"`{source}`").alias("source")).agg(F.sum(n_words(F.col(f"`{text}`"))).alias("source_size")))
     table = weights if isinstance(weights, DataFrame) else weights(sizes.select("source"))
     aims = settle(targets(sizes, table, most)).select(
-        F.col("source").alias("_source"), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"])
+        F.col("source").alias(of), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"])
     )
-    joined = docs.join(aims, F.col(f"`{source}`").eqNullSafe(F.col("_source")), "left").drop("_source")
+    joined = docs.join(aims, F.col(f"`{source}`").eqNullSafe(F.col(of)), "left").drop(of)
     total = F.col(names["source_size"])
     rate = F.when(total > 0, F.col(names["target"]) / total).otherwise(F.lit(0.0))
     extra = (draw(F.col(f"`{key}`"), seed) < rate - F.floor(rate)).cast("long")
-    return joined.withColumn(names["size"], n_words(F.col(text))).withColumn(names["copies"], F.floor(rate) + extra), names
+    return joined.withColumn(names["size"], n_words(F.col(f"`{text}`"))).withColumn(names["copies"], F.floor(rate) + extra), names
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -137,7 +137,7 @@ def communication_matrix(counts: DataFrame, parts: int, shards: int, seed: int)
 
 def shard(docs: DataFrame, shards: int, seed: int = 0, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """``docs`` with ``shard`` and ``slot`` (0, 1, ... without gaps in each shard)."""
-    names = {name: fresh(name, docs.columns) for name in ("shard", "slot", "part", "at", "cut", "before")}
+    names = {name: fresh(name, docs.columns) for name in ("shard", "slot", "part", "at", "cut", "before", "of_part", "ends")}
     at, part, cut, before = (F.col(names[n]) for n in ("at", "part", "cut", "before"))
     entry = fresh("entry", docs.columns)
     permuted = (
@@ -152,15 +152,15 @@ def shard(docs: DataFrame, shards: int, seed: int = 0, rows_per_slice: int = ROW
     size = counts.agg(F.coalesce(F.max("part"), F.lit(-1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     matrix = settle(
         communication_matrix(counts, size[0] + 1, shards, seed)
-        .select(F.col("part").alias("_part"), F.transform("takes", lambda x, i: _sum(F.slice("takes", 1, i + 1))).alias("_ends"))
+        .select(F.col("part").alias(names["of_part"]), F.transform("takes", lambda x, i: _sum(F.slice("takes", 1, i + 1))).alias(names["ends"]))
     )
     slices = -(-size[1] // (shards * rows_per_slice)) or 1
 
     def sent(rows: DataFrame) -> DataFrame:
         """Adds the shard, and the slice of it, from the place in the input partition."""
-        number = F.size(F.filter(F.col("_ends"), lambda e: e <= at))
+        number = F.size(F.filter(F.col(names["ends"]), lambda e: e <= at))
         again = F.pmod(F.xxhash64(F.lit(seed + 1), part, at), F.lit(slices))
-        return rows.join(matrix, part == F.col("_part")).withColumn(names["shard"], number).withColumn(names["cut"], again).drop("_part", "_ends")
+        return rows.join(matrix, part == F.col(names["of_part"])).withColumn(names["shard"], number).withColumn(names["cut"], again).drop(names["of_part"], names["ends"])
 
     keys = [names["shard"], names["cut"]]
     sizes = sent(placed.select(names["part"], names["at"])).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

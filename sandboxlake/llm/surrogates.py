@@ -170,20 +170,20 @@ def assign(entities: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
 
 def replace_entities(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY, counted: str | None = None) -> DataFrame:
     """``docs`` with surrogates in the text; ``counted`` names a column for the number of mentions."""
-    names = {n: fresh(n, docs.columns) for n in ("row", "mentions", "table")}
+    names = {n: fresh(n, docs.columns) for n in ("row", "mentions", "table", "of_row")}
     row, mentions = F.col(names["row"]), F.col(names["mentions"])
     content = F.col(f"`{text}`")
     found = docs.withColumn(names["mentions"], F.regexp_extract_all(content, F.lit(ANY), F.lit(0)))
     has = F.coalesce(F.regexp_like(content, F.lit(ANY)), F.lit(False))
     hits = settle(found.filter(has).withColumn(names["row"], F.monotonically_increasing_id()))
-    spelled = hits.select(row.alias("_row"), F.explode(F.array_distinct(mentions)).alias("mention")).withColumn("kind", _type_of(F.col("mention")))
+    spelled = hits.select(row.alias(names["of_row"]), F.explode(F.array_distinct(mentions)).alias("mention")).withColumn("kind", _type_of(F.col("mention")))
     listed = settle(spelled.filter(F.col("kind").isNotNull()).withColumn("canon", canonical(F.col("kind"), F.col("mention"))))
     table = settle(assign(listed.select("kind", "canon").distinct(), key))
     known = listed.join(table, ["kind", "canon"])
-    by_row = known.groupBy("_row").agg(
+    by_row = known.groupBy(names["of_row"]).agg(
         F.map_from_entries(F.collect_list(F.struct("mention", rendered(F.col("kind"), F.col("mention"), F.col("canon"), F.col("surrogate"))))).alias(names["table"])
     )
-    joined = hits.join(by_row, row == F.col("_row"), "left")
+    joined = hits.join(by_row, row == F.col(names["of_row"]), "left")
     between = F.split(content, ANY, -1)
     new = F.transform(mentions, lambda m: F.coalesce(F.try_element_at(F.col(names["table"]), m), m))
     whole = F.array_join(F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
