@@ -194,7 +194,7 @@ def _among(keys: DataFrame, key: str):
         at = hashes.to_numpy() & (bits - 1)
         return pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1, pa.bool_())
 
-    return may
+    return may.asNondeterministic()  # or the optimizer tries it on nulls where the texts come from an outer join
 
 
 class _Corpus:
