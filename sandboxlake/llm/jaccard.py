@@ -194,7 +194,7 @@ def _among(keys: DataFrame, key: str):
         at = hashes.to_numpy() & (bits - 1)
         return pa.array((shared.value[at >> 6] >> (at & 63)) & 1 == 1, pa.bool_())
 
-    return may.asNondeterministic()  # or the optimizer tries it on nulls where the texts come from an outer join
+    return may.asNondeterministic()  # so that a filter on it is not moved to where its arguments come from
 
 
 class _Corpus:
@@ -228,7 +228,7 @@ class _Corpus:
         possible = settle(close.filter(_may_link("n_a", "n_b", "bits_a", "bits_b")).select("a", "b", "n_a", "n_b"))
         needed = possible.select(F.col("a").alias("cls")).unionByName(possible.select(F.col("b").alias("cls"))).distinct()
         named = settle(needed.join(self.classes.select("cls", "row"), "cls"))  # its size is then known to the join
-        wanted = self.docs.filter(_among(named, "row")("row")).select("row", "text")
+        wanted = self.docs.select("row", "text", _among(named, "row")("row").alias("may")).filter("may").select("row", "text")
         own = wanted.join(named.hint("shuffle_hash"), "row")
         # no filter on what the function gives: it would be worked out once for the filter and once more behind it
         sets = own.select("cls", _shingles("text").alias("s")).groupBy("cls").agg(F.max_by("s.items", F.col("s.cls") == F.col("cls")).alias("items"))
