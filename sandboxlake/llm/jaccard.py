@@ -222,18 +222,20 @@ class _Corpus:
         classes outgrows a broadcast, and no task runs two Python workers; texts stream by the classes of their
         partition unsorted.
         """
-        sized = self.classes.select("cls", "n", "bits")
+        sized = self.classes.select("cls", "row", "n", "bits")
         a, b = (sized.select(*[F.col(c).alias(f"{c}_{x}") for c in sized.columns]) for x in "ab")
         close = pairs.join(a, F.col("a") == F.col("cls_a")).join(b, F.col("b") == F.col("cls_b"))
-        possible = settle(close.filter(_may_link("n_a", "n_b", "bits_a", "bits_b")).select("a", "b", "n_a", "n_b"))
-        needed = possible.select(F.col("a").alias("cls")).unionByName(possible.select(F.col("b").alias("cls"))).distinct()
-        named = settle(needed.join(self.classes.select("cls", "row"), "cls"))  # its size is then known to the join
+        possible = settle(close.filter(_may_link("n_a", "n_b", "bits_a", "bits_b")).select("a", "b", "row_a", "row_b", "n_a", "n_b"))
+        named = settle(  # its size is then known to the join
+            possible.select(F.col("a").alias("cls"), F.col("row_a").alias("row")).unionByName(possible.select(F.col("b").alias("cls"), F.col("row_b").alias("row"))).distinct()
+        )
         wanted = self.docs.select("row", "text", _among(named, "row")("row").alias("may")).filter("may").select("row", "text")
         own = wanted.join(named.hint("shuffle_hash"), "row")
-        # no filter on what the function gives: it would be worked out once for the filter and once more behind it
-        sets = own.select("cls", _shingles("text").alias("s")).groupBy("cls").agg(F.max_by("s.items", F.col("s.cls") == F.col("cls")).alias("items"))
-        a, b = (sets.select(F.col("cls").alias(f"cls_{x}"), F.col("items").alias(f"items_{x}")) for x in "ab")
-        both = possible.join(a, F.col("a") == F.col("cls_a")).join(b, F.col("b") == F.col("cls_b"))
+        # no filter on what the function gives: it would be worked out once for the filter and once more behind it;
+        # sets are known by the row they come from, so they stay where the join has brought their texts
+        sets = own.select("row", "cls", _shingles("text").alias("s")).groupBy("row").agg(F.max_by("s.items", F.col("s.cls") == F.col("cls")).alias("items"))
+        a, b = (sets.select(F.col("row").alias(f"row_{x}"), F.col("items").alias(f"items_{x}")) for x in "ab")
+        both = possible.join(a, "row_a").join(b, "row_b")
         shared = both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("sum"), _overlap("items_a", "items_b").alias("shared"))
         return settle(shared.filter(100 * F.col("shared") >= MIN_PERCENT * (F.col("sum") - F.col("shared"))).select("a", "b"))
 
