@@ -8,7 +8,9 @@ A table has a few hash functions floor((a . x + b) / w) with normal a.  A query
 then perturbed ones, in the order of estimated success: going to a neighbouring cell costs the squared
 distance to its border, and sets of such steps are taken by rising sum (a step and its opposite exclude
 each other).  Candidates of all tables and probes are scored exactly in double precision, and the best
-ones of each bucket are merged per query.
+ones of each bucket are merged per query.  A row lies in one bucket per table, so a pair is found once per
+table at most: the best k times tables rows of a query hold its k best, and everything beyond them is cut
+before the shuffle.
 
 The parameters are for vectors without cluster structure, whose nearest neighbours are hardly nearer than
 other vectors: to find nine of ten, a query has to see most rows, so cells are wide and many are visited.
@@ -18,7 +20,8 @@ in the same slices.
 
 Defined results: vectors that are null or zero or hold a null or non-finite component take no part, nor do
 rows without an id; all candidates come back where there are fewer than asked for; ties go to the smaller
-id; repeated ids are separate rows, but a query's own id is never its neighbour; vectors of a length other
+id; rows with an id that repeats are rows of their own, as candidates and as queries (each has its ranks), and a query
+leaves out its own row alone; vectors of a length other
 than the most frequent one take no part; an empty table gives an empty result; other columns are not read.
 """
 
@@ -29,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,17 +158,17 @@ def _probed_buckets(hashing: Hashing, probes: int):
     return buckets
 
 
-def _usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v) of the rows that take part."""
+def _usable(vectors: DataFrame, is_query: Column, key: str, vector: str) -> DataFrame:
+    """(id, v, asked) of the rows that take part."""
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     plain = vectors.schema[vector].dataType.simpleString() in ("array<float>", "array<double>")
     numbers = F.col(vector) if plain else F.col(vector).cast("array<double>")
-    rows = vectors.select(F.col(key).cast("long").alias("id"), numbers.alias("v"))
+    rows = vectors.select(F.col(key).cast("long").alias("id"), numbers.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked"))
     return rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
 
 
-_FOUND = "query_id long, vec_id long, score double"
-_SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+_FOUND = "query_row long, query_id long, vec_row long, vec_id long, score double"
+_SCHEMA = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 def _best_of(k: int):
@@ -173,15 +176,15 @@ def _best_of(k: int):
         """The k best rows of a slice for each of the queries that visit it."""
         if not len(left) or not len(right):
             return _SCHEMA.empty_table()
-        ids = right["id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, rows = ids[order], _matrix(right["v"].combine_chunks())[order]
-        asked, vectors = left["id"].to_numpy(), _matrix(left["v"].combine_chunks())
+        ids, places = right["id"].to_numpy(), right["row"].to_numpy()
+        order = np.lexsort((places, ids))
+        ids, places, rows = ids[order], places[order], _matrix(right["v"].combine_chunks())[order]
+        asked, own_places, vectors = left["id"].to_numpy(), left["row"].to_numpy(), _matrix(left["v"].combine_chunks())
         take, found = min(k, len(ids)), []
         for low in range(0, len(asked), QUERIES_AT_ONCE):
-            own, q = asked[low : low + QUERIES_AT_ONCE], vectors[low : low + QUERIES_AT_ONCE]
+            own, own_id, q = (x[low : low + QUERIES_AT_ONCE] for x in (own_places, asked, vectors))
             scores = q @ rows.T
-            scores[own[:, None] == ids[None, :]] = -np.inf
+            scores[own[:, None] == places[None, :]] = -np.inf
             bar = -np.partition(-scores, take - 1, axis=1)[:, take - 1]
             # a matrix product may add equal rows up differently; whoever could be among the best is added up
             # in one order, so that equal vectors tie
@@ -191,52 +194,56 @@ def _best_of(k: int):
             first = np.lexsort((which, -score, at))
             at, which, score = at[first], which[first], score[first]
             keep = np.arange(len(at)) - np.searchsorted(at, at) < take
-            found.append(pa.table([own[at[keep]], ids[which[keep]], score[keep]], schema=_SCHEMA))
+            at, which = at[keep], which[keep]
+            found.append(pa.table([own[at], own_id[at], places[which], ids[which], score[keep]], schema=_SCHEMA))
         return pa.concat_tables(found)
 
     return best
 
 
 def _within(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """Best rows per (bucket, slice, block of queries), for frames (bucket, id, v); the buckets are cut to bounded groups."""
+    """Best rows per (bucket, slice, block of queries), for frames (bucket, row, id, v); the buckets are cut to bounded groups."""
     sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_SLICE).cast("int").alias("slices"))
     asked = queries.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_SLICE).cast("int").alias("blocks"))
     cuts = settle(sizes.join(asked, "bucket"))
-    here = rows.join(cuts, "bucket").withColumn("slice", F.pmod(F.xxhash64("id"), "slices"))
-    there = queries.join(cuts, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    spread_rows = here.select("bucket", "slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long"))).alias("block"), "id", "v")
-    spread_queries = there.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - F.lit(1).cast("long"))).alias("slice"), "block", "id", "v")
+    here = rows.join(cuts, "bucket").withColumn("slice", F.pmod(F.xxhash64("row"), "slices"))
+    there = queries.join(cuts, "bucket").withColumn("block", F.pmod(F.xxhash64("row"), "blocks"))
+    spread_rows = here.select("bucket", "slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long"))).alias("block"), "row", "id", "v")
+    spread_queries = there.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - F.lit(1).cast("long"))).alias("slice"), "block", "row", "id", "v")
     group = ["bucket", "slice", "block"]
     return spread_queries.groupBy(*group).cogroup(spread_rows.groupBy(*group)).applyInArrow(_best_of(k), _FOUND)
 
 
+def _first(found: DataFrame, k: int) -> DataFrame:
+    """The first k rows of each query; Spark cuts each task's rows to k per query before it shuffles them."""
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "vec_row")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def nearest(
     vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20,
     tables: int = TABLES, functions: int = FUNCTIONS, width: float = WIDTH, probes: int = PROBES, seed: int = 0,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row for which ``is_query`` holds."""
     small_batches(vectors.sparkSession)
-    usable = _usable(vectors, key, vector)
+    usable = settle(_usable(vectors, is_query, key, vector).withColumn("row", F.monotonically_increasing_id()))
     lengths = usable.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if lengths is None:
-        return empty
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     usable = usable.filter(F.size("v") == lengths["d"])
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     norm = usable.agg(F.sqrt(F.max(squares))).first()[0]
     hashing = Hashing(lengths["d"], norm, tables, functions, width, seed)
-    asked = _usable(vectors.filter(is_query), key, vector).filter(F.size("v") == lengths["d"])
-    rows = usable.select(F.explode(_own_buckets(hashing)("v")).alias("bucket"), "id", "v")
-    queries = asked.select(F.explode(F.array_distinct(_probed_buckets(hashing, probes)("v"))).alias("bucket"), "id", "v")
-    found = settle(_within(queries, rows, k).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
-
-    few = found.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("done"))
-    rest = asked.join(few, F.col("id") == F.col("done"), "left_anti").select(F.lit(0).cast("long").alias("bucket"), "id", "v")
-    everything = usable.select(F.lit(0).cast("long").alias("bucket"), "id", "v")
-    whole = _within(rest, everything, k).select("query_id", "vec_id", "score")
-    merged = found.unionByName(whole).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-
-    place = F.struct((-F.col("score")).alias("order"), "vec_id")
-    ranked = merged.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(place)), 1, k).alias("best"))
-    listed = ranked.select("query_id", F.posexplode("best").alias("p", "b"))
-    return listed.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.order")).alias("score"))
+    # columns of their own, as queries and rows come from one table and meet in a cogroup
+    asked = usable.filter("asked").select(*[F.col(c).alias(c) for c in ("row", "id", "v")])
+    rows = usable.select(F.explode(_own_buckets(hashing)("v")).alias("bucket"), "row", "id", "v")
+    queries = asked.select(F.explode(F.array_distinct(_probed_buckets(hashing, probes)("v"))).alias("bucket"), "row", "id", "v")
+    pair = ["query_row", "query_id", "vec_row", "vec_id"]
+    found = _first(_within(queries, rows, k), k * tables).groupBy(*pair).agg(F.max("score").alias("score"))
+    found = settle(found)
+
+    few = found.groupBy("query_row").count().filter(F.col("count") >= k).select(F.col("query_row").alias("done"))
+    rest = asked.join(few, F.col("row") == F.col("done"), "left_anti").select(F.lit(0).cast("long").alias("bucket"), "row", "id", "v")
+    everything = usable.select(F.lit(0).cast("long").alias("bucket"), "row", "id", "v")
+    merged = _first(found.unionByName(_within(rest, everything, k)), 2 * k).groupBy(*pair).agg(F.max("score").alias("score"))
+    return _first(merged, k).select("query_id", "rank", "vec_id", "score")

@@ -313,6 +313,38 @@ def test_nearest_of_hard_vectors(spark):
     assert rows(probing.nearest(few.filter("false"), F.col("vec_id") == 0)) == []
 
 
+def test_nearest_of_rows_that_share_an_id(spark):
+    """Each row is a candidate of its own, of a query with the same id too; equal rows tie."""
+    data = [(0, [1.0, 0.0]), (1, [1.0, 0.5]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (0, [0.5, 0.0]), (3, [-1.0, 1.0])]
+    got = defaultdict(list)
+    for r in rows(probing.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=4)):
+        got[r["query_id"], r["rank"]].append((r["vec_id"], r["score"]))
+    assert {rank: sorted(found) for (_, rank), found in got.items()} == {
+        1: [(1, 1.0), (1, 2.0)], 2: [(1, 1.0), (1, 2.0)], 3: [(0, 0.5), (1, 1.0)], 4: [(0, 0.5), (1, 0.5)],
+    }
+
+
+def test_clustered_vectors_are_found_in_few_buckets(spark):
+    """With cells as wide as clusters need, a query finds its neighbours among a small part of all rows."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 16))
+    vectors = np.concatenate([c + rng.normal(scale=0.02, size=(50, 16)) for c in centres])
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    data = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    hashing = probing.Hashing(16, 1.0, width=0.5)
+    own = probing._bucket_keys(np.floor(hashing.scores(np.column_stack((vectors, np.zeros(len(vectors)))))))
+    sizes = [Counter(own[:, t].tolist()) for t in range(own.shape[1])]
+    probed = spark.createDataFrame(data[::100], "vec_id long, v array<double>").select(probing._probed_buckets(hashing, 8)("v").alias("b"))
+    seen = [sum(sizes[t][b] for b in set(r["b"]) for t in range(len(sizes))) for r in probed.collect()]
+    assert np.mean(seen) < 0.35 * len(vectors)
+    got = defaultdict(set)
+    for r in rows(probing.nearest(df, F.col("vec_id") % 100 == 0, width=0.5, probes=8)):
+        got[r["query_id"]].add(r["vec_id"])
+    want = plain_nearest(data, {i for i, _ in data if i % 100 == 0})
+    assert sum(len(got[q] & {i for i, _ in want[q]}) for q in want) >= 0.9 * 20 * len(want)
+
+
 def test_nearest_query(spark, duck):
     got = defaultdict(dict)
     for r in rows(QUERIES["op5_multiprobe_search"](spark, FOLDER)):
