@@ -278,11 +278,59 @@ def test_surrogates(spark, hard, empty):
 
 
 def test_surrogates_stay_distinct_in_a_small_space(spark):
+    """Formats of which more than half occur: distinct, never an entity, and all still addresses of the same length."""
     entities = spark.createDataFrame([("email", f"{a}@{b}.c") for a in "abcdefghij0123" for b in "aeiouxyz"], "kind string, canon string")
     got = rows(surrogates.assign(entities))
     drawn = {r["surrogate"] for r in got}
     assert len(drawn) == len(got) == 14 * 8
     assert not drawn & {r["canon"] for r in got}
+    assert all(re.fullmatch(r"[a-z0-9]@[a-z0-9]\.c", d) for d in drawn)
+
+
+SPACES = {
+    "name": [f"m/{a}{b}" for a in "aeioubcd" for b in "aeioubz"], "phone": [f"{i:03d}" for i in range(1000)],
+    "card": [f"4{i:03d}" for i in range(1000)], "iban": [f"de{i:02d}" for i in range(100)], "secret": [f"{i:02x}" for i in range(256)],
+    "email": [f"{a}{b}@a.c" for a in "aeiou" for b in "0123456789"], "ip": [f"10.0.{i}.7" for i in range(256)],
+}
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_permutation_of_whole_formats(spark, wide):
+    """Every text of a format goes to a text of the same format, no two to one; other keys give other permutations."""
+    df = spark.createDataFrame([(k, c) for k, v in SPACES.items() for c in v], "kind string, canon string")
+    drawn = {key: defaultdict(dict) for key in "ab"}
+    for key in drawn:
+        for r in df.select("kind", "canon", surrogates.permuted(key, F.col("kind"), F.col("canon"), wide).alias("to")).collect():
+            drawn[key][r["kind"]][r["canon"]] = r["to"]
+    for kind, canons in SPACES.items():
+        to = drawn["a"][kind]
+        assert len(set(to.values())) == len(canons)
+        assert to != drawn["b"][kind]
+        if kind in ("phone", "card", "iban", "secret"):
+            assert set(to.values()) == set(canons)
+
+    def luhn(digits):
+        return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10
+
+    assert all((luhn(c) == 0) == (luhn(t) == 0) for c, t in drawn["a"]["card"].items())
+    ends = "ao"
+    assert all((c[-1] in ends) == (t[-1] in ends) and (c[-1] not in ends or c[-1] == t[-1]) for c, t in drawn["a"]["name"].items())
+    assert all(re.fullmatch(r"\d+\.\d+\.\d+\.\d+", t) for t in drawn["a"]["ip"].values())
+
+
+def test_mentions_of_one_entity_agree(spark):
+    """Names without their form of address, shorter forms and numbers without country code follow the entity; other documents' words stay."""
+    data = [
+        (1, "Mr John Smith wrote. John Smith signed; Mr Smith left. SMITH, smith and Smithson. Call +1 (017) 555-7713 or (017) 555-7713."),
+        (2, "John Smith and Paris are words here: John."), (3, "Dear Mrs Smith, Smith@mail.example.com wrote to Smith."),
+    ]
+    got = {r["doc_id"]: (r["text"], r["n"]) for r in rows(surrogates.replace_entities(spark.createDataFrame(data, "doc_id long, text string"), counted="n"))}
+    text = got[1][0]
+    m = re.fullmatch(r"Mr (\S+) (\S+) wrote\. \1 \2 signed; Mr \2 left\. (\S+), smith and Smithson\. Call \+1 \((\d{3})\) (\d{3})-(\d{4}) or \(\4\) \5-\6\.", text)
+    assert m and m[3] == m[2].upper() and "John" not in text and "Smith " not in text and got[1][1] == 7
+    assert got[2] == (data[1][1], 0)
+    m = re.fullmatch(r"Dear Mrs (\S+), (\S+)@(\S+)\.com wrote to (\S+)\.", got[3][0])
+    assert m and m[1] == m[4] != "Smith" and m[2] != "Smith" and got[3][1] == 3
 
 
 def plain_nearest(data, queries, k=20):
