@@ -474,3 +474,16 @@ def test_pipeline(spark, duck):
     copies = Counter(r["doc_id"] for r in rows(mixed))
     packed = corpus_pipeline.run(spark, FOLDER)
     assert Counter(r["doc_id"] for r in rows(packed.filter("piece = 0"))) == copies
+
+
+def test_model_learns_from_every_position(frame):
+    texts = ["a b c d e f g", "a", "b a", None, "", " ".join(f"w{i % 37}" for i in range(1000))]
+    docs = frame("doc_id long, text string", *enumerate(texts))
+    words = lm_scoring.vocabulary(docs)
+    network = lm_scoring.Network.fresh(words.counts, 0)
+    batch = docs.select("text").toArrow().to_batches()
+    learnt = sum(
+        part["weight"][0].as_py()
+        for number in range(lm_scoring.ROUNDS) for part in lm_scoring._trained(words, network, number, lm_scoring.ROUNDS)(iter(batch))
+    )
+    assert learnt == sum(len((text or "").split()) for text in texts)
