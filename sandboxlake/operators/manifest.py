@@ -129,10 +129,10 @@ _HEADER = (
 def write_manifests(headers: DataFrame, items: DataFrame, path: str, scanned_at: str) -> None:
     """Manifest sink: JSON rows, headers and items side by side, for all requests of a scan.
 
-    The headers come last, so a folder without them is a scan that broke off.
+    The headers come last, so a folder without them is a scan that broke off.  Files are compressed: most of a row is names of fields.
     """
-    items.write.mode("errorifexists").json(f"{path}/items")
-    headers.withColumn("scanned_at", F.lit(scanned_at)).write.mode("errorifexists").json(f"{path}/headers")
+    items.write.mode("errorifexists").json(f"{path}/items", compression="gzip")
+    headers.withColumn("scanned_at", F.lit(scanned_at)).write.mode("errorifexists").json(f"{path}/headers", compression="gzip")
 
 
 def read_manifests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

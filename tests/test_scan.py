@@ -200,3 +200,10 @@ def test_request_files(spark, tmp_path):
     (tmp_path / "docs.json").write_text('{"version": "1.0", "development_request": {"dr_id": "DR-1"}}\nnot json\n')
     got = documents.read_request_documents(spark, str(tmp_path))
     assert rows(got.select("doc.development_request.dr_id", "reject")) == [("DR-1", None), (None, "not json")]
+
+
+def test_manifest_sink_is_compressed(frame, spark, tmp_path):
+    s = scanned(frame, spark)
+    m.write_manifests(s.headers, m.manifest_items(s.objects, s.streams, s.non_prod), str(tmp_path / "out"), "2026-01-01")
+    parts = [f.name for part in ("items", "headers") for f in (tmp_path / "out" / part).glob("part-*")]
+    assert parts and all(name.endswith(".gz") for name in parts)
