@@ -1,11 +1,13 @@
 """Every registered query against its SQL on the smallest tables."""
 
 import os
+import re
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from workload.fixtures import SPARK_VIEWS, VIEWS
 from workload.registry import BASE_TABLES, ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -40,3 +42,18 @@ def test_query(spark, duck, name):
 
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(SPARK_VIEWS))
+def test_views_of_few_columns_have_the_same_rows(spark, name):
+    lines = spark.createDataFrame(
+        [(o, p, s) for o in (1, 2, None) for p in (*range(1, 60), None) for s in ("O", "F", "X", None) for _ in range(2)],
+        "l_orderkey long, l_partkey long, l_linestatus string",
+    )
+    lines.createOrReplaceTempView("lineitem")
+    plain, few = spark.sql(VIEWS[name]), spark.sql(SPARK_VIEWS[name])
+    spark.catalog.dropTempView("lineitem")
+    assert plain.columns == few.columns and plain.count() == few.count() == few.distinct().count()
+    assert plain.exceptAll(few).count() == 0
+    keys = re.search(r"Aggregate \[([^\]]*)\]", few._jdf.queryExecution().optimizedPlan().toString())[1]
+    assert "DR-" not in keys and "dr_id" not in keys
