@@ -35,5 +35,9 @@ def is_legacy_id(dr_id: Column) -> Column:
     return F.coalesce(dr_id.rlike(fixed.LEGACY_ID), F.lit(False))
 
 
+def is_generated_id(dr_id: Column) -> Column:
+    return F.coalesce(dr_id.rlike(fixed.GENERATED_ID), F.lit(False))
+
+
 def is_request_id(dr_id: Column) -> Column:
-    return is_legacy_id(dr_id) | F.coalesce(dr_id.rlike(fixed.GENERATED_ID), F.lit(False))
+    return is_legacy_id(dr_id) | is_generated_id(dr_id)

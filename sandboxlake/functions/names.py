@@ -5,16 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sandboxlake.functions.checks import is_legacy_id, is_request_id
+from sandboxlake.functions.checks import is_generated_id, is_legacy_id, is_request_id
 
 
-def _part(name: Column, index: int) -> Column:
-    return F.get(F.split(name, r"\."), F.lit(index))
+def _dots(name: Column) -> Column:
+    return F.length(name) - F.length(F.replace(name, F.lit("."), F.lit("")))
+
+
+def has_three_parts(name: Column) -> Column:
+    return _dots(name) == 2
+
+
+def _second(name: Column) -> Column:
+    """The second part of a name; NULL when it has only one."""
+    return F.when(_dots(name) >= 1, F.substring_index(F.substring_index(name, ".", 2), ".", -1))
 
 
 def request_number(dr_id: Column) -> Column:
     """Trailing digits of either id form; NULL for anything else."""
-    return F.when(is_request_id(dr_id), F.regexp_extract(dr_id, "([0-9]+)$", 1))
+    return F.when(is_request_id(dr_id), _last_digits(dr_id))
+
+
+def _last_digits(dr_id: Column) -> Column:
+    return F.regexp_extract(dr_id, "([0-9]+)$", 1)
 
 
 def request_tag(dr_id: Column) -> Column:
@@ -25,13 +38,16 @@ def request_tag(dr_id: Column) -> Column:
     underscore follows a digit in it, so neither form can be taken for the other or run into what follows it.
     """
     own = F.lower(F.regexp_replace(dr_id, "([a-z])", "$1_"))
-    return F.when(is_legacy_id(dr_id), request_number(dr_id)).when(is_request_id(dr_id), own)
+    return F.when(is_legacy_id(dr_id), _last_digits(dr_id)).when(is_generated_id(dr_id), own)
+
 
+def schema_prefix(dr_id: Column, env: Column, tag: Column | None = None) -> Column:
+    """``dr_<tag>`` for dev, ``qa_<tag>`` for qa; NULL for another environment.
 
-def schema_prefix(dr_id: Column, env: Column) -> Column:
-    """``dr_<tag>`` for dev, ``qa_<tag>`` for qa; NULL for another environment."""
+    Here and below, ``tag`` is the ``request_tag`` of the id where it was worked out before, once per request.
+    """
     letter = F.when(env == "dev", "dr_").when(env == "qa", "qa_")
-    return F.concat(letter, request_tag(dr_id))
+    return F.concat(letter, request_tag(dr_id) if tag is None else tag)
 
 
 def target_catalog(source_catalog: Column, env: Column, override: Column | None = None) -> Column:
@@ -44,25 +60,27 @@ def target_catalog(source_catalog: Column, env: Column, override: Column | None
     return F.coalesce(F.nullif(F.trim(override), F.lit("")), derived)
 
 
-def target_schema(schema_fqn: Column, dr_id: Column, env: Column, override: Column | None = None) -> Column:
+def target_schema(
+    schema_fqn: Column, dr_id: Column, env: Column, override: Column | None = None, tag: Column | None = None
+) -> Column:
     """``catalog.schema`` of the copy; NULL when the name has fewer than two parts."""
     return F.concat(
-        target_catalog(_part(schema_fqn, 0), env, override),
-        F.lit("."), schema_prefix(dr_id, env), F.lit("_"), _part(schema_fqn, 1),
+        target_catalog(catalog_of(schema_fqn), env, override),
+        F.lit("."), schema_prefix(dr_id, env, tag), F.lit("_"), _second(schema_fqn),
     )
 
 
-def target_object(object_fqn: Column, dr_id: Column, env: Column, override: Column | None = None) -> Column:
+def target_object(
+    object_fqn: Column, dr_id: Column, env: Column, override: Column | None = None, tag: Column | None = None
+) -> Column:
     """``catalog.schema.object`` of the copy; NULL unless the name has exactly three parts."""
-    three = F.size(F.split(object_fqn, r"\.")) == 3
-    return F.when(
-        three, F.concat(target_schema(object_fqn, dr_id, env, override), F.lit("."), _part(object_fqn, 2))
-    )
+    schema = target_schema(object_fqn, dr_id, env, override, tag)
+    return F.when(has_three_parts(object_fqn), F.concat(schema, F.lit("."), F.substring_index(object_fqn, ".", -1)))
 
 
 def schema_of(object_fqn: Column) -> Column:
     """The first two parts of a name; NULL when it has only one."""
-    return F.when(F.size(F.split(object_fqn, r"\.")) >= 2, F.substring_index(object_fqn, ".", 2))
+    return F.when(_dots(object_fqn) >= 1, F.substring_index(object_fqn, ".", 2))
 
 
 def catalog_of(object_fqn: Column) -> Column:

@@ -114,3 +114,15 @@ def test_drops_take_views_first(frame):
     assert rows(plans.drop_plan(objects), "target_fqn", "drop_rank", "action") == [("t1", 1, "drop"), ("t2", 0, "drop"), ("t3", 1, "skip")]
     removed = frame("dr_id string, source_fqn string", ("d", "s2"), ("d", "s3"))
     assert rows(plans.removal_plan(objects, removed), "target_fqn", "drop_kind") == [("t2", "VIEW")]
+
+
+def test_names_of_a_tag_worked_out_before(frame):
+    ids = ("DR-12", "AB00000012", "aB123", "none", None)
+    fqns = ("prod_a.s.t", "a", "a.b", "a.b.c.d", "", "a..", None)
+    df = frame("dr_id string, fqn string", *[(d, f) for d in ids for f in fqns]).withColumn("tag", names.request_tag(F.col("dr_id")))
+    args = F.col("fqn"), F.col("dr_id"), F.lit("qa"), F.lit(None).cast("string")
+    for name in (names.target_schema, names.target_object):
+        assert df.filter(~name(*args).eqNullSafe(name(*args, F.col("tag")))).count() == 0
+    got = {(r[0], r[1]): r[2] for r in df.select("dr_id", "fqn", names.target_object(*args, F.col("tag"))).collect()}
+    assert got[("DR-12", "prod_a.s.t")] == "dev_a.qa_12_s.t" and got[("aB123", "a..")] == "a_qa.qa_a_b123_."
+    assert [f for d, f in got if d == "DR-12" and got[d, f] is not None] == ["prod_a.s.t", "a.."]

@@ -42,15 +42,17 @@ x AS (SELECT e.*, o.fqn, o.object_type, o.access_mode, o.clone_strategy, o.estim
 )
 def _(t: Tables) -> DataFrame:
     digits = F.lpad(F.substring("dr_id", 4, 20), 8, "0")
-    forms = F.array("dr_id", *[F.concat(F.lit(prefix), digits) for prefix in ("DR", "DS", "Ds", "dS")])
-    rows = t.view("fx_manifest_objects").select("dr_id", "fqn").distinct().join(settings(t), "dr_id").select(
-        F.explode(forms).alias("dr_id"), "fqn", "target_catalog", "qa_enabled"
-    ).select("dr_id", "fqn", "target_catalog", F.explode(plans.environments(F.col("qa_enabled"))).alias("env"))
-    dr, fqn, env, cat = F.col("dr_id"), F.col("fqn"), F.col("env"), F.col("target_catalog")
+    forms = [F.col("dr_id"), *[F.concat(F.lit(prefix), digits) for prefix in ("DR", "DS", "Ds", "dS")]]
+    ids = F.array(*[F.struct(i.alias("dr_id"), names.request_number(i).alias("request_number"), names.request_tag(i).alias("tag")) for i in forms])
+    requests = settings(t).select("dr_id", "target_catalog", ids.alias("ids"), plans.environments(F.col("qa_enabled")).alias("envs"))
+    rows = t.view("fx_manifest_objects").select("dr_id", "fqn").distinct().join(requests, "dr_id").select(
+        "fqn", "target_catalog", "envs", F.inline_outer("ids")
+    ).withColumn("env", F.explode("envs"))
+    dr, fqn, env, cat, tag = F.col("dr_id"), F.col("fqn"), F.col("env"), F.col("target_catalog"), F.col("tag")
     return rows.select(
-        "dr_id", "fqn", "env", names.request_number(dr).alias("request_number"),
-        names.target_schema(fqn, dr, env, cat).alias("target_schema"),
-        names.target_object(fqn, dr, env, cat).alias("target_object"),
+        "dr_id", "fqn", "env", "request_number",
+        names.target_schema(fqn, dr, env, cat, tag).alias("target_schema"),
+        names.target_object(fqn, dr, env, cat, tag).alias("target_object"),
     )
 
 
