@@ -6,12 +6,13 @@ import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sandboxlake import fixed, schemas
 from sandboxlake.functions.checks import is_principal, is_schema_name
 from sandboxlake.functions.names import (
-    default_strategy, formatted_id, revision_value, schema_of, target_object, target_schema,
+    default_strategy, formatted_id, has_three_parts, request_tag, revision_value, schema_of, target_object, target_schema,
 )
 from sandboxlake.operators.slices import row_numbers
 from sandboxlake.session import settle
@@ -32,18 +33,19 @@ def copy_plan(objects: DataFrame, requests: DataFrame) -> DataFrame:
     row per request.  Names that do not have three parts are left out.
     """
     settings = requests.select(
-        "dr_id", "target_catalog", environments(F.col("qa_enabled")).alias("_envs"),
+        "dr_id", "target_catalog", environments(F.col("qa_enabled")).alias("_envs"), request_tag(F.col("dr_id")).alias("_tag"),
         F.coalesce("rev_mode", F.lit("latest")).alias("clone_revision_mode"),
         revision_value(F.col("rev_mode"), F.col("rev_version"), F.col("rev_timestamp")).alias("clone_revision_value"),
     )
-    wide = objects.join(settings, "dr_id").withColumn("target_environment", F.explode("_envs"))
+    # these are the names that have a target; asked like this, no target is built twice
+    named = objects.filter(has_three_parts(F.col("fqn")))
+    wide = named.join(settings.filter(F.col("_tag").isNotNull()), "dr_id").withColumn("target_environment", F.explode("_envs"))
     none = F.lit(None)
     return (
         wide.withColumn(
             "target_fqn",
-            target_object(F.col("fqn"), F.col("dr_id"), F.col("target_environment"), F.col("target_catalog")),
+            target_object(F.col("fqn"), F.col("dr_id"), F.col("target_environment"), F.col("target_catalog"), F.col("_tag")),
         )
-        .filter(F.col("target_fqn").isNotNull())
         .select(
             "dr_id", F.col("fqn").alias("source_fqn"), "target_fqn", "target_environment",
             F.coalesce("object_type", F.lit("table")).alias("object_type"),
@@ -59,7 +61,9 @@ def copy_plan(objects: DataFrame, requests: DataFrame) -> DataFrame:
 
 def target_schemas(objects: DataFrame, requests: DataFrame) -> DataFrame:
     """Distinct (dr_id, target_environment, schema_fqn) that a plan needs."""
-    settings = requests.select("dr_id", "target_catalog", environments(F.col("qa_enabled")).alias("_envs"))
+    settings = requests.select(
+        "dr_id", "target_catalog", environments(F.col("qa_enabled")).alias("_envs"), request_tag(F.col("dr_id")).alias("_tag")
+    ).filter(F.col("_tag").isNotNull())
     wanted = (
         objects.select("dr_id", schema_of(F.col("fqn")).alias("_schema"))
         .filter(F.col("_schema").isNotNull()).distinct()
@@ -69,9 +73,10 @@ def target_schemas(objects: DataFrame, requests: DataFrame) -> DataFrame:
         .withColumn("target_environment", F.explode("_envs"))
         .select(
             "dr_id", "target_environment",
-            target_schema(F.col("_schema"), F.col("dr_id"), F.col("target_environment"), F.col("target_catalog")).alias("schema_fqn"),
+            target_schema(
+                F.col("_schema"), F.col("dr_id"), F.col("target_environment"), F.col("target_catalog"), F.col("_tag")
+            ).alias("schema_fqn"),
         )
-        .filter(F.col("schema_fqn").isNotNull())
         .repartition("dr_id", "schema_fqn")  # by schema, so that the join above may split a large request
         .distinct()
     )
@@ -265,10 +270,22 @@ def target_conflicts(planned: DataFrame, stored: DataFrame) -> DataFrame:
     and names are compared without case, as catalogs do.
     """
     key = schemas.STATE_KEYS["objects"]
-    kept = stored.filter(~F.col("status").eqNullSafe(F.lit(fixed.DROPPED))).join(planned.select(*key), key, "left_anti")
-    owners = planned.select(*key, "target_fqn").unionByName(kept.select(*key, "target_fqn")).distinct()
+    live = stored.filter(~F.col("status").eqNullSafe(F.lit(fixed.DROPPED)))
+    sides = [rows.select(*key, "target_fqn", F.lit(side).alias("_planned")) for rows, side in ((planned, True), (live, False))]
+    # both sides meet in one exchange: the plan is worked out once
+    both = sides[0].unionByName(sides[1]).repartition(*key)
+    own = [F.xxhash64(*key), *key]  # numbers are sorted faster than texts
+    again = F.row_number().over(W.partitionBy(*own, "target_fqn").orderBy(F.desc("_planned"))) > 1
+    replaced = ~F.col("_planned") & F.bool_or("_planned").over(W.partitionBy(*own))
+    known = F.lit(True)
+    for column in key:
+        known = known & F.col(column).isNotNull()  # a key with a NULL is nobody's
+    owners = both.withColumn("_again", again).withColumn("_replaced", replaced & known).filter(~F.col("_again") & ~F.col("_replaced"))
     return (
-        owners.groupBy(F.lower("target_fqn").alias("target_fqn"))
-        .agg(F.count(F.lit(1)).alias("owners"), F.count_distinct("dr_id").alias("dr_ids"))
+        owners.select(F.lower("target_fqn").alias("target_fqn"), "dr_id")
+        .repartition("target_fqn")  # owners and ids are counted behind the same exchange
+        .groupBy("target_fqn", "dr_id").agg(F.count(F.lit(1)).alias("_owners"))
+        .groupBy("target_fqn")
+        .agg(F.sum("_owners").alias("owners"), F.count("dr_id").alias("dr_ids"))
         .filter(F.col("owners") > 1)
     )

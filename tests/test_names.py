@@ -126,3 +126,16 @@ def test_names_of_a_tag_worked_out_before(frame):
     got = {(r[0], r[1]): r[2] for r in df.select("dr_id", "fqn", names.target_object(*args, F.col("tag"))).collect()}
     assert got[("DR-12", "prod_a.s.t")] == "dev_a.qa_12_s.t" and got[("aB123", "a..")] == "a_qa.qa_a_b123_."
     assert [f for d, f in got if d == "DR-12" and got[d, f] is not None] == ["prod_a.s.t", "a.."]
+
+
+def test_a_plan_is_worked_out_once_for_its_conflicts(frame):
+    key = "dr_id string, source_fqn string, target_environment string, target_fqn string"
+    planned = frame(key, ("DR-1", "a.s.t", "dev", "x.s.t"), ("DR-1", "a.s.t", "dev", "x.s.t"), ("DR-1", None, "dev", "x.s.n"), ("DR-2", "b.s.t", "dev", "X.s.t"))
+    stored = frame(
+        f"{key}, status string", ("DR-1", "a.s.t", "dev", "x.s.old", None), ("DR-3", "c.s.t", "dev", "x.s.old", "FAILED"),
+        ("DR-1", None, "dev", "x.s.N", None), ("DR-4", "d.s.t", "qa", "x.s.t", "DROPPED"),
+    )
+    conflicts = plans.target_conflicts(planned, stored)
+    assert rows(conflicts, "target_fqn", "owners", "dr_ids") == [("x.s.n", 2, 1), ("x.s.t", 2, 2)]
+    plan = conflicts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LocalRelation") + plan.count("LogicalRDD") == 2
