@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sandboxlake.functions.names import catalog_of, schema_of
+from sandboxlake.functions.names import catalog_of, has_three_parts, schema_of
+from sandboxlake.session import settle
 
 
 def with_sizes(objects: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -36,8 +37,8 @@ def non_prod_additional(objects: DataFrame, additional: DataFrame) -> DataFrame:
     A request without any such other object has no baseline, and nothing is reported for it.
     """
     listed = additional.select("dr_id", "fqn").distinct()
-    three = F.size(F.split("fqn", r"\.")) == 3
-    baseline = (
+    three = has_three_parts(F.col("fqn"))
+    baseline = settle(
         objects.select("dr_id", "fqn").filter(three).join(listed, ["dr_id", "fqn"], "left_anti")
         .select("dr_id", catalog_of(F.col("fqn")).alias("catalog")).distinct()
     )

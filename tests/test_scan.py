@@ -207,3 +207,12 @@ def test_manifest_sink_is_compressed(frame, spark, tmp_path):
     m.write_manifests(s.headers, m.manifest_items(s.objects, s.streams, s.non_prod), str(tmp_path / "out"), "2026-01-01")
     parts = [f.name for part in ("items", "headers") for f in (tmp_path / "out" / part).glob("part-*")]
     assert parts and all(name.endswith(".gz") for name in parts)
+
+
+def test_listed_objects_read_the_objects_once(frame):
+    objects = frame("dr_id string, fqn string", ("DR-1", "a.s.t"), ("DR-1", "a.s.u"), ("DR-2", "a.t"))
+    listed = frame("dr_id string, fqn string", ("DR-1", "b.s.x"), ("DR-1", "a.s.u"), ("DR-2", "b.s.x"))
+    found = m.non_prod_additional(objects, listed)
+    assert rows(found) == [("DR-1", "b.s.x")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
