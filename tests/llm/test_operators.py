@@ -487,3 +487,38 @@ def test_model_learns_from_every_position(frame):
         for number in range(lm_scoring.ROUNDS) for part in lm_scoring._trained(words, network, number, lm_scoring.ROUNDS)(iter(batch))
     )
     assert learnt == sum(len((text or "").split()) for text in texts)
+
+
+def test_two_levels_of_shares_against_one_by_one():
+    rng = np.random.default_rng(1)
+    network = lm_scoring.Network.fresh(rng.integers(0, 1000, lm_scoring.PAD), 0)
+    network = network.like((network.flat() * 3).astype(np.float32))
+    ids = np.sort(rng.integers(0, lm_scoring.PAD, 300))
+    around = rng.integers(0, lm_scoring.PAD + 1, (len(lm_scoring.SIDES), 300))
+    got = network.log_probabilities(around, ids)
+    h = network.hidden(around).astype(float)
+
+    def share(logits):
+        return np.exp(logits) / np.exp(logits).sum()
+
+    for i, number in enumerate(ids):
+        g, m = divmod(number, lm_scoring.MEMBERS)
+        whole = share(h[i] @ network.group_out + network.group_prior)[g] * share(h[i] @ network.out[g] + network.prior[g])[m]
+        assert abs(np.log(whole) - got[i]) < 1e-4
+    everything = np.arange(lm_scoring.PAD)
+    assert abs(np.exp(network.log_probabilities(np.repeat(around[:, :1], lm_scoring.PAD, axis=1), everything)).sum() - 1) < 1e-5
+
+    steps, _ = network.steps(around, ids)
+    for name, step in steps.items():
+        part = getattr(network, name).reshape(-1)  # a view
+        for at in rng.integers(0, part.size, 5):
+            kept, losses = part[at], []
+            for moved in (0.02, -0.02):
+                part[at] = kept + np.float32(moved)
+                losses.append(-network.log_probabilities(around, ids).mean())
+            part[at] = kept
+            assert abs((losses[0] - losses[1]) / 0.04 - step.reshape(-1)[at]) < 2e-4
+    # an output that is far off stays a number
+    network.group_prior[3] = 500
+    network.prior[3, 1] = -500
+    assert np.isfinite(network.log_probabilities(around, ids)).all()
