@@ -476,10 +476,13 @@ def notify(state: StateTables, now: str, days: int = fixed.NOTICE_DAYS, lease_mi
     Nothing is stamped yet.  A notice that is not confirmed comes due again when its lease has run out, one that
     failed at once.
     """
-    asked = lifecycle.notices(state.current("requests"), state.current("objects"), now[:10], days)
     outbox = state.current("notices").select("dr_id", F.col("attempts").alias("_attempts"), F.col("leased_until").alias("_leased"))
     free = F.col("_leased").isNull() | (F.col("_leased") <= _at(now))
-    due = settle(asked.join(outbox, "dr_id", "left").filter(free).drop("_leased"))
+    in_time = lifecycle.requests_to_notify(state.current("requests"), now[:10], days)
+    # objects are looked up for the requests that are due only
+    asked = settle(in_time.join(outbox, "dr_id", "left").filter(free).drop("_leased"))
+    texts = lifecycle.notices(asked.drop("_attempts"), state.of_requests("objects", asked), now[:10], days)
+    due = settle(texts.join(asked.select("dr_id", "_attempts"), "dr_id"))
     until = _at(now) + F.expr(f"INTERVAL {int(lease_minutes)} MINUTES")
     state.append(
         "notices",

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from sandboxlake.operators import approvals, lifecycle, outcomes, principals, validate
+from sandboxlake.plans import runs
 from sandboxlake.sources import documents
+from sandboxlake.sources.state import StateTables
 
 REQUEST = "dr_id string, status string, expiration_date date, notification_sent_at timestamp_ntz, created_by string"
 
@@ -209,3 +211,22 @@ def test_validation(frame, changes, want):
 @pytest.mark.parametrize("text, ok", [("2026-04-01", True), ("2026-04-01T10:30:00+02:00", True), ("2026-04-01 10:30", True), ("2026-04-01T24:00:00", False), ("2026-02-30T00:00:00Z", False), ("April", False)])
 def test_iso_timestamps(frame, text, ok):
     assert frame("t string", (text,)).select(validate.is_iso_timestamp(F.col("t"))).first()[0] is ok
+
+
+def test_notices_look_up_objects_of_due_requests_only(spark, frame, tmp_path, monkeypatch):
+    state = StateTables(spark, str(tmp_path / "due"))
+    state.create()
+    one = "dr_id string, description string, status string, created_by string, expiration_date date"
+    day = date(2026, 1, 4)
+    state.append("requests", frame(one, *[(f"DR-{i}", "d", "ACTIVE", "a@co.com", day if i == 1 else date(2027, 1, 1)) for i in (1, 2)]), "2026-01-01 00:00:00")
+    objects = frame("dr_id string, source_fqn string, target_environment string, status string", ("DR-1", "a", "dev", None), ("DR-1", "b", "dev", None), ("DR-2", "a", "dev", None))
+    state.append("objects", objects, "2026-01-01 00:00:00")
+    looked, whole = [], state.current
+
+    def current(name, dr_ids=None):
+        looked.append((name, None if dr_ids is None else sorted(r["dr_id"] for r in dr_ids.collect())))
+        return whole(name, dr_ids)
+
+    monkeypatch.setattr(state, "current", current)
+    assert rows(runs.notify(state, "2026-01-01 00:00:00"), "dr_id", "total_objects") == [("DR-1", 2)]
+    assert ("objects", ["DR-1"]) in looked and ("objects", None) not in looked
