@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 
 from sandboxlake import fixed, schemas
 from sandboxlake.operators.approvals import edit_key
-from sandboxlake.operators.asof import as_of
+from sandboxlake.operators.asof import COMMIT_COLUMNS, as_of
 from sandboxlake.operators.lifecycle import audit_kept, audit_stays
 from sandboxlake.sources.files import claim_next, make_folder, move_into, names_in, remove_folder, rename_folder
 
 _PURGE = "_purge-"
 _GENERATION = r"_gen-([0-9]+)-([0-9]+)"
 BUCKETS = 64
+CELLS = 8  # parts of a bucket that may go to tasks of their own, so a request of very many rows does not stay in one
 _COMMIT = "commit_version bigint, commit_ts timestamp_ntz, op string"
 
 
@@ -80,10 +81,10 @@ class StateTables:
         """Append rows.  Audit rows go to their days; others are written aside and moved in, so that appends at the same
         time do not share a folder for unfinished files."""
         if name == "audit":
-            rows.write.mode("append").partitionBy("day").parquet(self.path(name))
+            rows.write.mode("append").partitionBy("day").parquet(self.path(name), compression="zstd")
             return
         staged = f"{self.path(name)}/_staged-{uuid.uuid4().hex}"
-        rows.write.parquet(staged)
+        rows.write.parquet(staged, compression="zstd")
         for file in names_in(self.spark, staged):
             if file.endswith(".parquet"):
                 move_into(self.spark, staged, self.path(name), file)
@@ -154,7 +155,13 @@ class StateTables:
         """Current rows; older files that lack a newer column read it as NULL."""
         if name == "audit":
             return self.log(name, dr_ids).drop("day", "edit_key")
-        return as_of(self.log(name, dr_ids), schemas.STATE_KEYS[name])
+        rows = self.log(name, dr_ids)
+        # asked after the files were listed: an append in between only means one look for the newest rows too many
+        return rows.drop(*COMMIT_COLUMNS) if self._is_compact(name) else as_of(rows, schemas.STATE_KEYS[name])
+
+    def _is_compact(self, name: str) -> bool:
+        """Whether a table is its newest generation alone, which holds one row per key and no deletes."""
+        return bool(self._generation(name)) and not any(entry.endswith(".parquet") for entry in names_in(self.spark, self.path(name)))
 
     def of_requests(self, name: str, dr_ids: DataFrame) -> DataFrame:
         """Current rows of some requests; the cut to them comes before the newest row of a key is looked for."""
@@ -166,6 +173,9 @@ class StateTables:
         The generation is whole once its folder has its name, which says up to which version it goes: files of older
         changes count no more then, and are removed.  A run that breaks off in between leaves nothing that is read twice.
         Appends must not run at the same time: one that claimed its version before and arrives after would not count.
+
+        Rows move once: by bucket and cell, which hold all changes of a key, so the newest one is found where the bucket is
+        written.  They are not cut before that, as a key has at most one row per append and appends are files of their own.
         """
         if name == "audit" or "dr_id" not in schemas.STATE_KEYS[name]:
             raise ValueError(f"not laid out by request: {name}")
@@ -176,10 +186,14 @@ class StateTables:
         bound = max(log.agg(F.max("commit_version").alias("v")).first()["v"] or 0, reached)
         if bound == reached:
             return bound
-        newest = as_of(log.filter(F.col("commit_version") <= bound), schemas.STATE_KEYS[name], keep_commit=True)
-        laid = newest.withColumn("bucket", _bucket(F.col("dr_id"), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "dr_id")
+        keys = schemas.STATE_KEYS[name]
+        bucket, cell = _bucket(F.col("dr_id"), buckets), _bucket(F.struct(*keys), CELLS)
+        moved = log.filter(F.col("commit_version") <= bound).repartition(bucket, cell)
+        placed = moved.withColumn("bucket", bucket).withColumn("_cell", cell)
+        newest = as_of(placed, ["bucket", *keys, "_cell"], keep_commit=True)
+        laid = newest.sortWithinPartitions("bucket", *keys).drop("_cell")  # the order they are in
         building = f"{self.path(name)}/_building-{uuid.uuid4().hex}"
-        laid.write.partitionBy("bucket").parquet(building)
+        laid.write.partitionBy("bucket").parquet(building, compression="zstd")
         rename_folder(self.spark, building, f"{self.path(name)}/_gen-{bound}-{buckets}")
         # files listed before the bound was taken hold no newer change
         for entry in old:

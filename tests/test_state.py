@@ -212,6 +212,36 @@ def test_a_lookup_reads_its_buckets(spark, frame, tmp_path, monkeypatch):
         state.compact("audit")
 
 
+def test_compaction_moves_rows_once(spark, frame, tmp_path, monkeypatch):
+    """One shuffle by bucket and cell; a table that is its generation alone is read without another one."""
+    state = StateTables(spark, f"{tmp_path}/state")
+    state.create()
+    schema = "dr_id string, source_fqn string, target_environment string, status string"
+    state.append("objects", frame(schema, *[(f"DR-{i % 9}", f"t{i}", "dev", "A") for i in range(300)], (None, "t", None, "A")), "2026-01-01")
+    state.append("objects", frame(schema, *[(f"DR-{i % 9}", f"t{i}", "dev", "B") for i in range(0, 300, 5)]), "2026-01-02")
+    state.append("objects", frame(schema, ("DR-1", "t1", "dev", None)), "2026-01-03", "delete")
+    want = rows(state.current("objects"))
+    plans, real = [], state_module.as_of
+
+    def watched(log, keys, **more):
+        plans.append(real(log, keys, **more))
+        return plans[-1]
+
+    with monkeypatch.context() as patch:
+        patch.setattr(state_module, "as_of", watched)
+        state.compact("objects", 4)
+    assert plans[0]._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert rows(state.current("objects")) == want and len(want) == 300
+    assert "Exchange" not in state.current("objects")._jdf.queryExecution().executedPlan().toString()
+    files_of = {p.parent.name for p in (tmp_path / "state").rglob("bucket=*/*.parquet")}
+    assert files_of == {f"bucket={b}" for b in range(4)}
+    for path in (tmp_path / "state" / "objects").rglob("bucket=*/*.parquet"):
+        ids = [r.dr_id or "" for r in spark.read.parquet(str(path)).coalesce(1).collect()]
+        assert ids == sorted(ids)
+    state.append("objects", frame(schema, ("DR-1", "t1", "dev", "C")), "2026-01-04")
+    assert rows(state.current("objects").filter("status = 'C'"), "source_fqn") == [("t1",)] and state.current("objects").count() == 301
+
+
 def test_ranges_of_the_stored_counter(spark, frame, tmp_path, monkeypatch):
     state = StateTables(spark, f"{tmp_path}/state")
     state.create()
