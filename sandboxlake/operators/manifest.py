@@ -7,6 +7,8 @@ by people and other programs; its size is what a single text can hold.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,33 +74,52 @@ def manifest_headers(objects: DataFrame, hits: DataFrame) -> DataFrame:
 
 def manifest_items(objects: DataFrame, streams: DataFrame, non_prod: DataFrame) -> DataFrame:
     """One row per item of a manifest: (dr_id, kind, name, object, stream); kind is object, stream, schema or non_prod."""
-    def items(df: DataFrame, kind: str, name: Column, payload: Column | None = None) -> DataFrame:
-        stream = F.struct(F.col("name"), F.col("resource_id").alias("workflow_id"), F.col("task_keys").alias("tasks"))
-        return df.select(
-            "dr_id", F.lit(kind).alias("kind"), name.alias("name"),
-            (payload if payload is not None else F.lit(None).cast(_OBJECT)).alias("object"),
-            (stream.cast(_STREAM) if kind == "stream" else F.lit(None).cast(_STREAM)).alias("stream"),
-        )
+    schemas, (*rest, listed) = schemas_required(objects), _own_items(objects, streams, non_prod)
+    return _united([*rest, _items(schemas, "schema", F.col("schema_fqn")), listed])
+
+
+def _items(df: DataFrame, kind: str, name: Column, payload: Column | None = None) -> DataFrame:
+    stream = F.struct(F.col("name"), F.col("resource_id").alias("workflow_id"), F.col("task_keys").alias("tasks"))
+    return df.select(
+        "dr_id", F.lit(kind).alias("kind"), name.alias("name"),
+        (payload if payload is not None else F.lit(None).cast(_OBJECT)).alias("object"),
+        (stream.cast(_STREAM) if kind == "stream" else F.lit(None).cast(_STREAM)).alias("stream"),
+    )
+
 
+def _own_items(objects: DataFrame, streams: DataFrame, non_prod: DataFrame) -> list[DataFrame]:
+    """Items of objects, streams and listed objects; those of schemas follow from the objects."""
     payload = F.struct(
         F.col("fqn"), F.col("object_type").alias("type"), "access_mode", "format", "estimated_size_gb"
     ).cast(_OBJECT)
-    return (
-        items(objects, "object", F.col("fqn"), payload)
-        .unionByName(items(streams, "stream", F.col("name")))
-        .unionByName(items(schemas_required(objects), "schema", F.col("schema_fqn")))
-        .unionByName(items(non_prod, "non_prod", F.col("fqn")))
-    )
+    return [
+        _items(objects, "object", F.col("fqn"), payload), _items(streams, "stream", F.col("name")),
+        _items(non_prod, "non_prod", F.col("fqn")),
+    ]
+
 
+def _united(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
-def documents_of(headers: DataFrame, items: DataFrame, scanned_at: str) -> DataFrame:
-    """Nested manifests as JSON, one per request with items: (dr_id, manifest_json)."""
+
+def documents_of(headers: DataFrame, items: DataFrame, scanned_at: str, schemas: Column | None = None) -> DataFrame:
+    """Nested manifests as JSON, one per request with items: (dr_id, manifest_json).
+
+    Items move to their request before they are gathered: hardly any two of a request lie in one task before that, and lists
+    of one item are wider than the item.  ``schemas`` is the list of schemas in terms of the gathered lists; without it, it
+    is made of items.
+    """
     tag = lambda kind, when: F.when(F.col("kind") == kind, when)
     lists = {
         "objects": F.col("object"), "streams_scanned": F.col("stream"), "schemas_required": tag("schema", F.col("name")),
         "non_prod_additional_objects": tag("non_prod", F.col("name")),
     }
-    gathered = items.groupBy("dr_id").agg(*[F.array_sort(F.collect_list(item)).alias(name) for name, item in lists.items()])
+    if schemas is not None:
+        del lists["schemas_required"]
+    moved = items.select("dr_id", *[item.alias(name) for name, item in lists.items()]).repartition("dr_id")
+    gathered = moved.groupBy("dr_id").agg(*[F.array_sort(F.collect_list(name)).alias(name) for name in lists])
+    if schemas is not None:
+        gathered = gathered.withColumn("schemas_required", schemas)
     return headers.join(gathered, "dr_id").select(
         "dr_id",
         F.to_json(
@@ -114,8 +135,9 @@ def documents_of(headers: DataFrame, items: DataFrame, scanned_at: str) -> DataF
 
 
 def manifest_documents(headers: DataFrame, objects: DataFrame, streams: DataFrame, non_prod: DataFrame, scanned_at: str) -> DataFrame:
-    """``documents_of`` the items of a scan."""
-    return documents_of(headers, manifest_items(objects, streams, non_prod), scanned_at)
+    """``documents_of`` the items of a scan.  Schemas are those of the gathered objects, so they are no rows of their own."""
+    schemas = F.array_compact(F.transform("objects", lambda o: schema_of(o["fqn"])))
+    return documents_of(headers, _united(_own_items(objects, streams, non_prod)), scanned_at, F.array_sort(F.array_distinct(schemas)))
 
 
 _OBJECT = "struct<fqn:string,type:string,access_mode:string,format:string,estimated_size_gb:double>"

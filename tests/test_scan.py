@@ -177,6 +177,24 @@ def test_manifest_sink(frame, spark, tmp_path):
     assert rows(m.documents_of(headers, again, "x")) == rows(m.manifest_documents(s.headers, s.objects, s.streams, s.non_prod, "x"))
 
 
+def test_items_move_once_to_their_document(frame, spark):
+    """Items are not folded to lists before they move, and schemas are read off the gathered objects."""
+    objects = frame(
+        "dr_id string, fqn string, object_type string, access_mode string, format string, estimated_size_gb double, is_additional boolean",
+        *[("DR-1", name, "table", "READ_ONLY", "delta", 1.0, False) for name in ("b.s.x", "a.s.y", "b.s.w", "plain", "a.t")],
+    )
+    streams = frame("dr_id string, name string, resource_id string, task_keys array<string>", ("DR-1", "one", "1", ["k"]), ("DR-2", "two", None, None))
+    headers = m.manifest_headers(objects, frame("dr_id string, row_limit_hit boolean", ("DR-1", False)))
+    docs = m.manifest_documents(headers, objects, streams, frame("dr_id string, fqn string", ("DR-1", "c.s.z")), "x")
+    found = {r.dr_id: json.loads(r.manifest_json)["scan_result"] for r in docs.collect()}
+    assert list(found) == ["DR-1"] and found["DR-1"]["schemas_required"] == ["a.s", "a.t", "b.s"] and found["DR-1"]["total_objects"] == 5
+    assert [o["fqn"] for o in found["DR-1"]["objects"]] == ["a.s.y", "a.t", "b.s.w", "b.s.x", "plain"]
+    assert found["DR-1"]["streams_scanned"] == [{"name": "one", "workflow_id": "1", "tasks": ["k"]}] and found["DR-1"]["non_prod_additional_objects"] == ["c.s.z"]
+    plan = docs.select("*")._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("partial_collect_list"):]
+    assert below.count("REPARTITION_BY_COL") == 1 and below.count("Exchange") == 1
+
+
 def test_a_long_manifest_is_one_document_and_one_pending_row(frame, spark):
     many = spark.range(12_000).select(
         F.lit("DR-1").alias("dr_id"), F.concat(F.lit("prod_a.s.t"), F.col("id").cast("string")).alias("fqn"), F.lit("table").alias("object_type"),

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sandboxlake import fixed
+from sandboxlake.functions.parsing import with_parsed
 from sandboxlake.operators import approvals, classify as classifying, manifest, resolve, validate
 from sandboxlake.plans.scan import scan
-from sandboxlake.session import shared_dir
+from sandboxlake.session import settle, shared_dir
 from sandboxlake.sources import commits, documents, inventory, lineage, sizes
 from workload.fixtures import NOW, TODAY
 from workload.registry import Tables, query
@@ -244,8 +245,8 @@ def _(t: Tables) -> DataFrame:
 
 
 def _manifest_rows(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Headers, objects, streams and listed objects away from the others."""
-    objects = t.view("fx_manifest_objects").withColumn("format", F.lit("delta")).withColumn("is_additional", F.lit(False))
+    """Headers, objects, streams and listed objects away from the others.  Objects are read by each of these, so they are settled."""
+    objects = settle(t.view("fx_manifest_objects").drop("clone_strategy")).withColumn("format", F.lit("delta")).withColumn("is_additional", F.lit(False))
     hits = objects.groupBy("dr_id").agg((F.count(F.lit(1)) > 3).alias("row_limit_hit"))
     headers = manifest.manifest_headers(objects, hits)
     streams = t.view("fx_request_streams").select(
@@ -267,8 +268,8 @@ def _manifest_rows(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
 )
 def _(t: Tables) -> DataFrame:
     docs = manifest.manifest_documents(*_manifest_rows(t), f"{TODAY}T00:00:00+00:00")
-    parsed = docs.withColumn("m", F.from_json("manifest_json", documents.schemas.MANIFEST)["scan_result"])
-    return parsed.select(
+    parsed = with_parsed(docs, "_p", {"doc": ("manifest_json", documents.schemas.MANIFEST)})
+    return parsed.select("dr_id", F.col("_p.doc.scan_result").alias("m")).select(
         "dr_id", F.explode("m.objects").alias("o"), "m.total_objects", "m.lineage_row_limit_hit",
         F.size("m.streams_scanned").cast("bigint").alias("streams"), F.size("m.schemas_required").cast("bigint").alias("schemas"),
         F.size("m.non_prod_additional_objects").cast("bigint").alias("non_prod"),
