@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sandboxlake import fixed, schemas
 from sandboxlake.functions.parsing import with_parsed
 from sandboxlake.operators.principals import names_added, names_removed
-from sandboxlake.operators.updates import set_columns
+from sandboxlake.operators.updates import changed_rows, set_columns
+from sandboxlake.session import settle
 
 CHANGE = "struct<field:string,before:string,after:string>"
 
@@ -166,40 +167,54 @@ def drifted(edits: DataFrame, configs: DataFrame) -> DataFrame:
     )
 
 
-def approve(configs: DataFrame, approved: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+def approve(configs: DataFrame, approved: DataFrame, now: Column, only_changed: bool = False) -> tuple[DataFrame, DataFrame]:
     """Apply approved edits: the new configs, and the user changes they bring.
 
     ``approved`` is (dr_id, proposed_config_json, original_created_by), one row per request.  Edits
     without a proposal and edits whose config changed hands are left out.  The second result is
     (dr_id, environment, action, principal).
+
+    With ``only_changed`` just the configs that changed come back, ready to be appended to a log; both results are then read
+    off the edits and their configs, which are joined once and settled.
     """
-    owners = configs.select("dr_id", F.col("created_by").alias("_owner"), F.col("config_json").alias("_old_json"))
-    same = F.col("original_created_by").isNull() | F.col("original_created_by").eqNullSafe(F.col("_owner"))
-    usable = (
-        approved.filter(F.col("proposed_config_json").isNotNull()).join(owners, "dr_id").filter(same)
-    )
     form = schemas.CONFIG_FORM
-    usable = with_parsed(usable, "_form", {"old": ("_old_json", form), "new": ("proposed_config_json", form)})
-    changed = set_columns(
-        configs,
-        usable.select(
-            "dr_id", F.col("proposed_config_json").alias("config_json"),
-            F.col("_form.new.expiration_date").alias("expiration_date"), F.col("_form.new.description").alias("description"),
-        ),
-        ["dr_id"],
-        {
-            "config_json": F.col("new_config_json"),
-            "validation_errors": F.lit("[]"),
-            "expiration_date": F.coalesce("new_expiration_date", "expiration_date"),
-            "description": F.col("new_description"),
-            "updated_at": now,
-        },
+    usable = approved.filter(F.col("proposed_config_json").isNotNull()).join(
+        configs.select("dr_id", F.struct(*configs.columns).alias("_config")), "dr_id"
+    )
+    owner = F.col("_config.created_by")
+    usable = usable.filter(F.col("original_created_by").isNull() | F.col("original_created_by").eqNullSafe(owner))
+    parsed = with_parsed(
+        usable.withColumn("_old_json", F.col("_config.config_json")), "_form",
+        {"old": ("_old_json", form), "new": ("proposed_config_json", form)},
     )
-    return changed, user_changes(usable, "_form.old", "_form.new")
+    edited = parsed.select(
+        "dr_id", F.col("proposed_config_json").alias("new_config_json"), F.col("_form.new.expiration_date").alias("new_expiration_date"),
+        F.col("_form.new.description").alias("new_description"), _user_changes("_form.old", "_form.new").alias("_users"),
+        *(["_config"] if only_changed else []),
+    )
+    if only_changed:
+        edited = settle(edited)
+    kept = F.col("_config.expiration_date" if only_changed else "expiration_date")
+    values = {
+        "config_json": F.col("new_config_json"),
+        "validation_errors": F.lit("[]"),
+        "expiration_date": F.coalesce("new_expiration_date", kept),
+        "description": F.col("new_description"),
+        "updated_at": now,
+    }
+    users = edited.select("dr_id", F.inline_outer("_users")).filter(F.col("principal").isNotNull())
+    if only_changed:
+        return changed_rows(edited, "_config", values), users
+    news = {c: c.removeprefix("new_") for c in edited.columns}
+    return set_columns(configs, edited.drop("_users").withColumnsRenamed(news), ["dr_id"], values), users
 
 
 def user_changes(edits: DataFrame, old: str, new: str) -> DataFrame:
     """(dr_id, environment, action, principal) for every user an edit adds or removes."""
+    return edits.select("dr_id", F.inline_outer(_user_changes(old, new))).filter(F.col("principal").isNotNull())
+
+
+def _user_changes(old: str, new: str) -> Column:
     def rows(env: str, action: str, names: Column) -> Column:
         return F.transform(
             names, lambda n: F.struct(F.lit(env).alias("environment"), F.lit(action).alias("action"), n.alias("principal"))
@@ -209,4 +224,4 @@ def user_changes(edits: DataFrame, old: str, new: str) -> DataFrame:
     for env, field in (("dev", "developers"), ("qa", "qa_users")):
         before, after = F.col(f"{old}.{field}"), F.col(f"{new}.{field}")
         parts += [rows(env, "grant", names_added(before, after)), rows(env, "revoke", names_removed(before, after))]
-    return edits.select("dr_id", F.inline_outer(F.concat(*parts))).filter(F.col("principal").isNotNull())
+    return F.concat(*parts)

@@ -62,6 +62,16 @@ def set_columns(
     )
 
 
+def changed_rows(rows: DataFrame, stored: str, values: Mapping[str, Column]) -> DataFrame:
+    """New state rows, of rows that hold the stored one as struct ``stored``: ``values`` take the place of its columns."""
+    return rows.select(
+        *[
+            values[f.name].cast(f.dataType).alias(f.name) if f.name in values else F.col(f"{stored}.{f.name}").alias(f.name)
+            for f in rows.schema[stored].dataType
+        ]
+    )
+
+
 def _claims(changes: DataFrame, keys: Sequence[str], legal: DataFrame) -> DataFrame:
     """Per key and expected status, the legal change that comes first."""
     rest = [c for c in changes.columns if c not in (*keys, "current_status")]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sandboxlake import fixed, schemas
 from sandboxlake.functions.parsing import with_parsed
 from sandboxlake.operators import approvals
-from sandboxlake.operators.updates import set_columns
+from sandboxlake.operators.updates import changed_rows
 from sandboxlake.operators.validate import validate_requests
 from sandboxlake.plans.runs import change_users
 from sandboxlake.session import settle
@@ -32,31 +32,28 @@ def submit_edits(state: StateTables, edits: DataFrame, now: str) -> DataFrame:
     A sensitive change to a provisioned config is staged for approval; any other one is validated
     and stored at once.  Returns (dr_id, outcome): pending_review or applied.
     """
+    # The stored rows stay with the edits, so what becomes of them is told without another look at the configs.
     configs = state.current("configs")
-    stored = configs.select(
-        "dr_id", "created_by", F.col("config_json").alias("old_json"), F.col("status").alias("config_status")
-    )
-    compared = settle(approvals.compare_configs(edits.join(stored, "dr_id")))
-    to_stage = F.col("sensitive") & (F.col("config_status") == fixed.CONFIG_PROVISIONED)
+    stored = configs.select("dr_id", F.struct(*configs.columns).alias("config"))
+    joined = edits.join(stored, "dr_id").withColumn("old_json", F.col("config.config_json"))
+    compared = settle(approvals.compare_configs(joined).drop("old_json"))
+    to_stage = F.col("sensitive") & (F.col("config.status") == fixed.CONFIG_PROVISIONED)
     held = F.coalesce(to_stage, F.lit(False))
     at = F.lit(now).cast("timestamp_ntz")
-    state.append_audit(approvals.staged_audit_rows(compared.filter(held), at))
+    state.append_audit(approvals.staged_audit_rows(compared.filter(held).withColumn("created_by", F.col("config.created_by")), at))
 
-    forms = flat_forms(compared.filter(~held).select("dr_id", F.col("new_json").alias("config_json")))
-    checked = validate_requests(forms, now[:10]).select("dr_id", "errors", "config_status", "description", "expiration_date")
-    texts = edits.select("dr_id", F.col("new_json").alias("config_json"))
-    kept = (F.col("status") == fixed.CONFIG_PROVISIONED) & (F.col("new_config_status") == fixed.CONFIG_VALID)
-    changed = set_columns(
-        configs, checked.join(texts, "dr_id"), ["dr_id"],
+    forms = flat_forms(compared.filter(~held).select("dr_id", "config", "new_json"), "new_json", ["config", "new_json"])
+    kept = (F.col("config.status") == fixed.CONFIG_PROVISIONED) & (F.col("config_status") == fixed.CONFIG_VALID)
+    changed = changed_rows(
+        validate_requests(forms, now[:10]), "config",
         {
-            "config_json": F.col("new_config_json"),
-            "status": F.when(kept, fixed.CONFIG_PROVISIONED).otherwise(F.col("new_config_status")),
-            "validation_errors": F.to_json("new_errors"),
-            "description": F.col("new_description"),
-            "expiration_date": F.col("new_expiration_date"),
+            "config_json": F.col("new_json"),
+            "status": F.when(kept, fixed.CONFIG_PROVISIONED).otherwise(F.col("config_status")),
+            "validation_errors": F.to_json("errors"),
+            "description": F.col("description"),
+            "expiration_date": F.col("expiration_date"),
             "updated_at": F.lit(now),
         },
-        only_changed=True,
     )
     state.append("configs", changed, now)
     return compared.select("dr_id", F.when(held, "pending_review").otherwise("applied").alias("outcome"))
@@ -68,6 +65,7 @@ def decide_edits(state: StateTables, decisions: DataFrame, now: str, by: str) ->
     An edit whose config changed hands since is not applied and stays pending.  Of several approved
     edits of one config the latest is what remains.
     """
+    decisions = settle(decisions)
     pending = approvals.pending_edits(state.edit_rows(decisions), F.col("edit_key"))
     detailed = with_parsed(pending.select("dr_id", "pending_edit_id", "performed_at", "action_detail"), "_p", {"d": ("action_detail", schemas.PENDING_EDIT)})
     asked = decisions.join(
@@ -98,10 +96,9 @@ def decide_edits(state: StateTables, decisions: DataFrame, now: str, by: str) ->
             F.struct("proposed_config_json", "original_created_by"), F.struct("performed_at", "pending_edit_id")
         ).alias("e")
     ).select("dr_id", "e.*")
-    changed, users = approvals.approve(configs, approved, F.lit(now))
-    # Both rest on the configs as they were, so the user changes are settled before the configs move on.
-    users = settle(users)
-    state.append("configs", changed.join(approved.select("dr_id"), "dr_id", "left_semi"), now)
+    # Both are settled with the configs as they were, before the configs move on.
+    changed, users = approvals.approve(configs, approved, F.lit(now), only_changed=True)
+    state.append("configs", changed, now)
     statements = settle(change_users(state, users, now))
     state.append_audit(approvals.decision_rows(judged.filter("outcome IN ('approved', 'rejected')"), at, by))
     return Decided(judged.select("pending_edit_id", "dr_id", "decision", "outcome"), statements)

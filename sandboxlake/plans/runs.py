@@ -304,7 +304,7 @@ def change_users(state: StateTables, changes: DataFrame, now: str) -> DataFrame:
     Unsafe names never become a statement or a row.
     """
     named = changes.filter(is_principal(F.col("principal")))
-    schemas_ = plans.env_schemas(state.of_requests("objects", changes))
+    schemas_ = settle(plans.env_schemas(state.of_requests("objects", changes)))  # for both kinds of changes, and the statements
     with_schema = schemas_.select("dr_id", F.col("target_environment").alias("environment")).distinct()
     rows = named.join(with_schema, ["dr_id", "environment"], "left_semi").select(
         "dr_id", F.col("principal").alias("user_email"), "environment",

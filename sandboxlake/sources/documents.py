@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,11 +47,15 @@ def flat_requests(parsed: DataFrame) -> DataFrame:
     )
 
 
-def flat_forms(configs: DataFrame, column: str = "config_json") -> DataFrame:
-    """One flat row per config form, in the shape of ``flat_requests``; a broken text has all fields NULL."""
+def flat_forms(configs: DataFrame, column: str = "config_json", keep: Sequence[str] = ()) -> DataFrame:
+    """One flat row per config form, in the shape of ``flat_requests``; a broken text has all fields NULL.
+
+    Columns named in ``keep`` stay beside it.
+    """
     form = "_p.form"
     return with_parsed(configs, "_p", {"form": (column, schemas.CONFIG_FORM)}).select(
         "dr_id",
+        *keep,
         F.lit("1.0").alias("version"),
         F.col(f"{form}.description").alias("description"),
         F.col(f"{form}.streams").alias("streams"),

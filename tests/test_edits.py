@@ -86,3 +86,22 @@ def test_latest_approved_edit_remains(state, frame):
     assert outcomes == [("DR-1", "approved")] * 2
     assert json.loads(state.current("configs").filter("dr_id = 'DR-1'").first()["config_json"])["developers"] == ["c"]
     assert not any("`b`" in s[0] for s in statements)
+
+
+def test_configs_are_looked_up_once_per_step(state, frame, monkeypatch):
+    """What is stored stays with the edit, so the log of configs is not folded again for each thing told of it."""
+    seen, real = [], StateTables._write
+
+    def watched(self, name, new):
+        if name == "configs":
+            seen.append(new._jdf.queryExecution().executedPlan().toString())
+        return real(self, name, new)
+
+    monkeypatch.setattr(StateTables, "_write", watched)
+    submit(state, frame, ("DR-1", form(developers=["b"])), ("DR-2", form(description="new")))
+    decide(state, frame, (pending(state)["DR-1"], "approve"))
+    assert len(seen) == 2 and not any("Window" in plan or "Join" in plan for plan in seen)
+    now = {r.dr_id: r for r in state.current("configs").collect()}
+    assert json.loads(now["DR-1"].config_json)["developers"] == ["b"] and now["DR-1"].created_by == "own" and now["DR-1"].status == "provisioned"
+    assert (now["DR-2"].description, now["DR-2"].status, now["DR-2"].created_by) == ("new", "valid", "own")
+    assert json.loads(now["DR-3"].config_json) == json.loads(form()) and now["DR-3"].updated_at is None
