@@ -522,3 +522,16 @@ def test_two_levels_of_shares_against_one_by_one():
     network.group_prior[3] = 500
     network.prior[3, 1] = -500
     assert np.isfinite(network.log_probabilities(around, ids)).all()
+
+
+def test_contexts_of_some_words():
+    rng = np.random.default_rng(3)
+    for sizes in ([], [0], [1], [0, 3, 0, 0, 2, 1, 7], [40, 0, 5]):
+        first = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        ids = rng.integers(0, lm_scoring.PAD, first[-1])
+        want = [
+            [ids[i + side] if a <= i + side < b else lm_scoring.PAD for a, b in zip(first, first[1:]) for i in range(a, b)] for side in lm_scoring.SIDES
+        ]
+        some = np.flatnonzero(rng.random(len(ids)) < 0.5)
+        assert lm_scoring.contexts(ids, first).tolist() == want
+        assert lm_scoring.contexts(ids, first, some).tolist() == [[row[i] for i in some] for row in want]
