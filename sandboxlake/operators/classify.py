@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sandboxlake import fixed
@@ -66,6 +67,17 @@ def merge_facts(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+FACTS_PER_ROW = 1000
+
+
+def gathered_facts(facts: DataFrame, by: Sequence[str], per_row: int = FACTS_PER_ROW) -> DataFrame:
+    """At most ``per_row`` facts in a row, as a list of each column: (by..., chunk, n, columns...); a key with more of them has more rows."""
+    place = F.row_number().over(W.partitionBy(*by).orderBy(*by))
+    columns = [c for c in facts.columns if c not in by]
+    lists = facts.withColumn("chunk", F.floor((place - 1) / per_row)).groupBy(*by, "chunk").agg(F.collect_list(F.struct(*columns)).alias("_facts"))
+    return lists.select(*by, "chunk", F.size("_facts").alias("n"), *[F.col(f"_facts.{c}").alias(c) for c in columns])
+
+
 def from_facts(facts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Object type, access mode and format from folded edges.
 

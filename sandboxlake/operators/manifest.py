@@ -16,11 +16,20 @@ from sandboxlake.functions.names import catalog_of, has_three_parts, schema_of
 from sandboxlake.session import settle
 
 
-def with_sizes(objects: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Add ``estimated_size_gb``; only tables have one."""
-    known = sizes.select("fqn", F.col("size_gb").alias("_gb"))
-    return objects.join(known, "fqn", "left").select(
-        *objects.columns, F.when(F.col("object_type") == "table", F.col("_gb")).alias("estimated_size_gb")
+def with_known_sizes(facts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Add ``size`` and ``more_sizes``, the first size known of a name and a list of all others; NULL without any."""
+    known = sizes.groupBy("fqn").agg(F.array_sort(F.collect_list("size_gb")).alias("_sizes")).select(
+        "fqn", F.col("_sizes")[0].alias("size"), F.when(F.size("_sizes") > 1, F.slice("_sizes", 2, F.size("_sizes"))).alias("more_sizes")
+    )
+    return facts.join(known, "fqn", "left").select(*facts.columns, "size", "more_sizes")
+
+
+def with_sizes(objects: DataFrame) -> DataFrame:
+    """``estimated_size_gb`` in place of ``size`` and ``more_sizes``, a row for each; only tables have one."""
+    one, every = F.array("size"), F.concat(F.array("size"), F.col("more_sizes"))
+    return objects.withColumn("_gb", F.explode(F.when(F.col("more_sizes").isNull(), one).otherwise(every))).select(
+        *[c for c in objects.columns if c not in ("size", "more_sizes")],
+        F.when(F.col("object_type") == "table", F.col("_gb")).alias("estimated_size_gb"),
     )
 
 

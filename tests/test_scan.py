@@ -10,7 +10,7 @@ from sandboxlake.operators import approvals
 from sandboxlake.operators import classify as c
 from sandboxlake.operators import manifest as m
 from sandboxlake.operators.resolve import ambiguous_streams, resolve_streams, scannable_requests
-from sandboxlake.plans.scan import scan
+from sandboxlake.plans.scan import facts_of_requests, scan
 from sandboxlake.sources import documents, inventory, lineage, sizes
 
 
@@ -234,3 +234,40 @@ def test_listed_objects_read_the_objects_once(frame):
     assert rows(found) == [("DR-1", "b.s.x")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+def test_facts_move_once_and_packed(frame, spark):
+    """Objects come out of the one move to their request: none by name, none for what only other results need."""
+    s = scanned(frame, spark, None)
+    plan = s.objects._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1 and "hashpartitioning(fqn" not in plan and "hashpartitioning(dr_id#" in plan
+    above = plan[: plan.index("REPARTITION_BY_COL")]
+    assert above.count("Exchange") == 1 and "HashAggregate" in above and "SortAggregate" not in above
+
+
+def test_facts_of_a_large_request_are_spread(frame):
+    columns = "kind int, key string, fqn string, seq bigint"
+    many = [(0, "a", f"c.s.t{i}", i) for i in range(2500)] + [(0, "b", f"c.s.t{i}", -i) for i in range(5)] + [(1, "a", "other", 0)]
+    links = [("DR-1", 0, "a"), ("DR-1", 0, "b"), ("DR-2", 0, "b"), ("DR-3", 1, "a"), ("DR-4", 0, "none")]
+    facts, linked = frame(columns, *many), frame("dr_id string, kind int, key string", *links)
+    want = sorted(((d, *f[2:]) for d, kind, key in links for f in many if f[:2] == (kind, key)), key=repr)
+    for per_task in (100, 1_000_000):
+        got = facts_of_requests(facts, linked, per_task)
+        assert rows(got, "dr_id", "fqn", "seq") == want
+        parts = {(r["dr_id"], r["fqn"]): r["_part"] for r in got.collect()}  # one place for each name
+        assert len({p for (d, _), p in parts.items() if d == "DR-1"}) == (26 if per_task == 100 else 1)
+        assert got.groupBy("dr_id", "fqn").agg(F.countDistinct("_part").alias("n")).filter("n > 1").count() == 0
+    assert rows(facts_of_requests(facts.filter("false"), linked)) == [] == rows(facts_of_requests(facts, linked.filter("false")))
+
+
+def test_a_name_of_several_sizes_has_a_row_for_each(frame, spark):
+    gb = 1073741824
+    s = scan(
+        edges(frame, ("p.s.t", "p.s.v", "TABLE", "VIEW", "1"), ("p.s.u", None, None, None, "1")), frame("dr_id string, name string", ("DR-1", "one")),
+        inventory_frame(spark), frame("dr_id string, fqn string", ("DR-1", "p.s.x")),
+        frame("table_catalog string, table_schema string, table_name string, data_size_in_bytes bigint", *[("p", "s", n, k * gb) for n, k in (("t", 1), ("t", 2), ("t", 2), ("v", 1), ("v", 3), ("x", 4))]),
+    )
+    assert rows(s.objects, "fqn", "estimated_size_gb") == [
+        ("p.s.t", 1.0), ("p.s.t", 2.0), ("p.s.t", 2.0), ("p.s.u", None), ("p.s.v", None), ("p.s.v", None), ("p.s.x", 4.0),
+    ]
+    assert rows(s.headers, "total_objects") == [(4,)]
