@@ -272,20 +272,20 @@ def target_conflicts(planned: DataFrame, stored: DataFrame) -> DataFrame:
     key = schemas.STATE_KEYS["objects"]
     live = stored.filter(~F.col("status").eqNullSafe(F.lit(fixed.DROPPED)))
     sides = [rows.select(*key, "target_fqn", F.lit(side).alias("_planned")) for rows, side in ((planned, True), (live, False))]
-    # both sides meet in one exchange: the plan is worked out once
-    both = sides[0].unionByName(sides[1]).repartition(*key)
-    own = [F.xxhash64(*key), *key]  # numbers are sorted faster than texts
+    # both sides meet at their request: a plan has come there to meet its settings, so its names need not move again
+    tasks = int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = sides[0].unionByName(sides[1].repartition(tasks, "dr_id"))
+    own = [*key[:1], F.xxhash64(*key), *key[1:]]  # numbers are sorted faster than texts
     again = F.row_number().over(W.partitionBy(*own, "target_fqn").orderBy(F.desc("_planned"))) > 1
     replaced = ~F.col("_planned") & F.bool_or("_planned").over(W.partitionBy(*own))
     known = F.lit(True)
     for column in key:
         known = known & F.col(column).isNotNull()  # a key with a NULL is nobody's
     owners = both.withColumn("_again", again).withColumn("_replaced", replaced & known).filter(~F.col("_again") & ~F.col("_replaced"))
+    # owners of one id are counted before names move, so the id stays behind
+    named = owners.groupBy("dr_id", F.lower("target_fqn").alias("target_fqn")).agg(F.count(F.lit(1)).alias("_owners"))
     return (
-        owners.select(F.lower("target_fqn").alias("target_fqn"), "dr_id")
-        .repartition("target_fqn")  # owners and ids are counted behind the same exchange
-        .groupBy("target_fqn", "dr_id").agg(F.count(F.lit(1)).alias("_owners"))
-        .groupBy("target_fqn")
-        .agg(F.sum("_owners").alias("owners"), F.count("dr_id").alias("dr_ids"))
+        named.select("target_fqn", "_owners", F.col("dr_id").isNotNull().cast("long").alias("_ids")).repartition(tasks, "target_fqn")
+        .groupBy("target_fqn").agg(F.sum("_owners").alias("owners"), F.sum("_ids").alias("dr_ids"))
         .filter(F.col("owners") > 1)
     )

@@ -1,5 +1,8 @@
 """Names of targets, ids and plans."""
 
+import random
+from collections import defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +142,32 @@ def test_a_plan_is_worked_out_once_for_its_conflicts(frame):
     assert rows(conflicts, "target_fqn", "owners", "dr_ids") == [("x.s.n", 2, 1), ("x.s.t", 2, 2)]
     plan = conflicts._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LocalRelation") + plan.count("LogicalRDD") == 2
+
+
+@pytest.mark.parametrize("moved", [False, True])
+def test_conflicts_against_one_by_one(frame, spark, moved):
+    rng = random.Random(5)
+    pick = lambda *values: rng.choice(values)
+    row = lambda: (pick("1", "2", "3", None), pick("a", "b", "c", None), pick("dev", "qa", None), pick("x.T", "x.t", "y.t", "z.t", "w.t", None))
+    planned, stored = [row() for _ in range(12)], [(*row(), pick("ACTIVE", "DROPPED", None)) for _ in range(40)]
+    keys = {r[:3] for r in planned if None not in r[:3]}
+    owners = set(planned) | {r[:4] for r in stored if r[4] != "DROPPED" and r[:3] not in keys}
+    found = defaultdict(list)
+    for r in owners:
+        found[r[3] and r[3].lower()].append(r[0])
+    want = [(t, len(o), len(set(o) - {None})) for t, o in found.items() if len(o) > 1]
+    columns = "dr_id string, source_fqn string, target_environment string, target_fqn string"
+    plan = frame(columns, *planned)
+    got = plans.target_conflicts(plan.repartition("dr_id") if moved else plan, frame(columns + ", status string", *stored))
+    assert rows(got, "target_fqn", "owners", "dr_ids") == sorted(want, key=repr)
+
+
+def test_names_of_a_plan_move_once_more_for_their_conflicts(frame):
+    objects = frame("dr_id string, fqn string, object_type string, access_mode string, estimated_size_gb double, clone_strategy string", ("DR-1", "a.s.t", None, None, None, None), ("DR-1", "b.s.t", None, None, None, None))
+    requests = frame("dr_id string, qa_enabled boolean, target_catalog string, rev_mode string, rev_version long, rev_timestamp string", ("DR-1", True, "x", None, None, None))
+    stored = frame("dr_id string, source_fqn string, target_environment string, target_fqn string, status string", ("DR-2", "a.s.t", "dev", "x.dr_1_s.t", None))
+    conflicts = plans.target_conflicts(plans.copy_plan(objects.repartition("dr_id"), requests), stored)
+    assert rows(conflicts, "target_fqn", "owners", "dr_ids") == [("x.dr_1_s.t", 3, 2), ("x.qa_1_s.t", 2, 1)]
+    plan = conflicts._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Union")]
+    assert above.count("Exchange") == 1 and "hashpartitioning(target_fqn" in above

@@ -88,9 +88,12 @@ def copy_plan(t: Tables) -> DataFrame:
     FROM (SELECT * FROM planned UNION SELECT * FROM kept) GROUP BY lower(target_fqn) HAVING count(*) > 1""",
 )
 def _(t: Tables) -> DataFrame:
-    """Objects of two catalogs under one name each: they meet where the request sends both to one catalog."""
-    objects = t.view("fx_manifest_objects")
-    both = objects.unionByName(objects.withColumn("fqn", F.concat(F.lit("other_"), "fqn")))
+    """Objects of two catalogs under one name each: they meet where the request sends both to one catalog.
+
+    Objects move to their request before they are doubled.
+    """
+    objects = t.view("fx_manifest_objects").repartition("dr_id")
+    both = objects.withColumn("fqn", F.explode(F.array("fqn", F.concat(F.lit("other_"), "fqn"))))
     return plans.target_conflicts(plans.copy_plan(both, settings(t)), t.view("fx_objects"))
 
 
