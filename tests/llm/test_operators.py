@@ -535,3 +535,51 @@ def test_contexts_of_some_words():
         some = np.flatnonzero(rng.random(len(ids)) < 0.5)
         assert lm_scoring.contexts(ids, first).tolist() == want
         assert lm_scoring.contexts(ids, first, some).tolist() == [[row[i] for i in some] for row in want]
+
+
+def test_every_word_of_a_bucket_is_told_apart(spark, frame):
+    """Scores against the three levels one by one, and shares of all words of the corpus that add up to one."""
+    own = [f"own{i}" for i in range(lm_scoring.WORDS)]
+    rare = [w for i in range(600) for w in [f"rare{i}"] * (1 + i % 3)]
+    texts = [" ".join(own * 9), " ".join(rare), "rare5 own1 rare4 rare3", "RARE5", "", None, "rare5 own1 rare4 rare3"]
+    docs = frame("doc_id long, text string", *[(i % 6, t) for i, t in enumerate(texts)]).repartition(3)
+    counts = Counter(w for t in texts for w in (t or "").lower().split())
+    words = lm_scoring.vocabulary(docs)
+    network = lm_scoring.train(docs, words)
+
+    def numbers(found):
+        data = " ".join(found).encode()
+        hashes, _ = lm_scoring._word_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        return words.ids(hashes)
+
+    number = dict(zip(counts, numbers(counts).tolist(), strict=True))
+    inside = Counter()
+    for word, n in counts.items():
+        inside[number[word]] += n
+    assert {number[w] for w in own} == set(range(lm_scoring.WORDS)) and max(Counter(number.values()).values()) > 1
+    some = np.random.default_rng(2).integers(0, lm_scoring.PAD + 1, (len(lm_scoring.SIDES), 1))
+    share = np.exp(network.log_probabilities(np.repeat(some, lm_scoring.PAD, axis=1), np.arange(lm_scoring.PAD)))
+    assert abs(sum(share[number[w]] * counts[w] / inside[number[w]] for w in counts) - share[list(set(number.values()))].sum()) < 1e-6
+
+    got = rows(lm_scoring.score_documents(docs))
+    want = []
+    for i, text in enumerate(texts):
+        found = (text or "").lower().split()
+        ids = np.array([number[w] for w in found], np.int64)
+        around = lm_scoring.contexts(ids, np.array([0, len(ids)]))
+        score = network.log_probabilities(around, ids).sum() + sum(np.log(counts[w] / inside[number[w]]) for w in found)
+        want.append((i % 6, len(found), score))
+    assert [(r["doc_id"], r["n_words"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["n_words"], r["score"]))] == [w[:2] for w in sorted(want)]
+    for r, w in zip(sorted(got, key=lambda r: (r["doc_id"], r["n_words"], r["score"])), sorted(want), strict=True):
+        assert abs(r["score"] - w[2]) < 1e-3 * max(1, abs(w[2]))
+
+
+def test_numbers_of_texts_are_those_of_their_words(frame):
+    texts = ["a b c A", None, "", "zz " * 50_000, "b"]
+    docs = frame("doc_id long, text string", *enumerate(texts))
+    words = lm_scoring.vocabulary(frame("doc_id long, text string", (1, " ".join(f"w{i} w{i}" for i in range(600)) + " a")))
+    turned = docs.select("doc_id", lm_scoring._turned(words)("text").alias("t")).select("doc_id", "t.ids", "t.rare").orderBy("doc_id").toArrow()
+    plain = [ids.tolist() for ids, first in lm_scoring._ids(words, docs.toArrow()["text"].combine_chunks()) for ids in np.split(ids, first[1:-1])]
+    again = [ids.tolist() for ids, first in lm_scoring._ids(words, turned["ids"].combine_chunks()) for ids in np.split(ids, first[1:-1])]
+    assert again == plain and [len(ids) for ids in plain] == [4, 0, 0, 50_000, 1]
+    assert [len(r) for r in turned["rare"].to_pylist()] == [sum(n >= lm_scoring.WORDS for n in ids) for ids in plain]
